@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import quality, sharding
+from scriptorium.llm import near_dup, quality, sharding
 from scriptorium.llm.common import materialize, table
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.components(table(spark, sf_dir, "documents"), near_dup.Near(shingle=2))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents"))
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.POLICIES[1])) != 0
@@ -27,6 +32,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op10_sharding": op10_sharding,
     }
