@@ -8,9 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, near_dup, packing, quality, sharding
+from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, sharding
 from scriptorium.llm.common import materialize, table
 
+#: The key of the sample queries; a real one comes from a secret store.
+KEY = "sample-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), KEY, "n_entities").select("doc_id", "text", "n_entities")
+
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -42,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_decontaminate": op6_decontaminate,
