@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, sharding
+from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, reputation, sharding, web_text
 from scriptorium.llm.common import materialize, table
 
 #: The key of the sample queries; a real one comes from a secret store.
@@ -23,6 +23,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.components(table(spark, sf_dir, "documents"), near_dup.Near(shingle=2))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -41,6 +45,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (verdict, host/path) of the sample query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # a page shows the document whose number is in its path, so that document's label is the page's outcome
+    shown = pages.select("page_id", F.try_to_number(F.regexp_extract("url", r"://[^/?#]*/\w+/(\d{1,18})", 1), F.lit("9" * 18)).cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.greatest("toxic", 1 - F.col("quality")).alias("bad"))
+    outcomes = shown.join(labels, "doc_id").select("page_id", "bad")
+    return reputation.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "lower_bound")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(sharding.records(table(spark, sf_dir, "documents")), "shard-records")
     placed = sharding.assign(rows, sharding.slot_map(rows, 40))
@@ -51,9 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_site_templates": op3_site_templates,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
+        "op9_host_reputation": op9_host_reputation,
         "op10_sharding": op10_sharding,
     }
 
