@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, reputation, sharding, web_text
+from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, reputation, secrets, sharding, web_text
 from scriptorium.llm.common import materialize, table
 
 #: The key of the sample queries; a real one comes from a secret store.
@@ -32,6 +32,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op5_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.number(F.col("strong"), k).alias(f"n_{k}") for k in secrets.STRONG]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(F.col("strong")), 256).alias("base_sha256"), secrets.written(F.concat("strong", "linked")).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.summary(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_site_templates": op3_site_templates,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_multipart_secrets": op5_multipart_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
         "op9_host_reputation": op9_host_reputation,
