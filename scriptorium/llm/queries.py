@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, reputation, secrets, sharding, web_text
+from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, web_text
 from scriptorium.llm.common import materialize, table
 
 #: The key of the sample queries; a real one comes from a secret store.
@@ -51,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 #: (verdict, host/path) of the sample query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_multipart_secrets": op5_multipart_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_quality_rules": op7_quality_rules,
+        "op8_quotation_linking": op8_quotation_linking,
         "op9_host_reputation": op9_host_reputation,
         "op10_sharding": op10_sharding,
     }
