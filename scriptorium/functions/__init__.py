@@ -1,0 +1 @@
+"""Column functions: text rules, sizes, previews, keys."""

@@ -1,0 +1 @@
+"""Operators over documents: search, chunks, catalog, retention."""

@@ -1,9 +1,5 @@
-"""Registered queries over the sample tables and their SQL."""
+"""Registered queries over the sample tables, and the same in SQL."""
 
+from scriptorium.plans.registry import oracle_sql, queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]

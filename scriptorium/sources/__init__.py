@@ -1,0 +1 @@
+"""Sources: uploaded files and payloads, the text store, databases."""
