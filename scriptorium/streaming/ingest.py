@@ -13,7 +13,7 @@ from scriptorium.sources.uploads import accept
 
 def ingest_files(spark: SparkSession, engine: Engine, source: str, checkpoint: str) -> StreamingQuery:
     """Ingest what is new under a folder since the checkpoint, then stop; start it again for what comes later."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(source)
     taken = files.where(F.col("length") <= MAX_UPLOAD).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
     def store(batch: DataFrame, _: int) -> None:
