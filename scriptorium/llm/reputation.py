@@ -55,15 +55,18 @@ def levels(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def strength(rates: DataFrame, level: str, above: list[str]) -> DataFrame:
-    """Per group above, the prior strength by the method of moments over its children (n, bad, prior mean m)."""
-    # E[(bad - n m)^2] = m (1 - m) n (1 + (n - 1) rho); strength = 1 / rho - 1
-    used = rates.where("n > 1")
-    spread = F.sum(F.pow(F.col("bad") - F.col("n") * F.col("m"), 2)) / F.sum(F.col("m") * (1 - F.col("m")) * F.col("n"))
-    excess = (spread - 1) / (F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n"))
-    rho = F.greatest(F.coalesce(F.when(F.isnan(excess), None).otherwise(excess), F.lit(0.0)), F.lit(1 / (STRONGEST + 1)))
-    grouped = used.groupBy(*above) if above else used.groupBy()
-    return grouped.agg(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), 1 / rho - 1)).alias("k"))
+def strength(children: DataFrame) -> float:
+    """The prior strength of a level by the method of moments over all its children (n, bad, prior mean m)."""
+    # E[(bad - n m)^2] = n m (1 - m) (1 + (n - 1) rho), and strength = 1 / rho - 1
+    sums = children.where("n > 1 and m > 0 and m < 1").agg(
+        F.sum(F.pow(F.col("bad") - F.col("n") * F.col("m"), 2)),
+        F.sum(F.col("n") * F.col("m") * (1 - F.col("m"))),
+        F.sum(F.col("n") * F.col("m") * (1 - F.col("m")) * (F.col("n") - 1)),
+    )
+    spread, expected, weight = sums.first()  # one row of three sums
+    if not weight or spread <= expected:
+        return STRONGEST
+    return min(STRONGEST, max(WEAKEST, weight / (spread - expected) - 1))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -73,19 +76,18 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = materialize(hosts.select("*", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m"))  # one row
+    bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
+    overall = ((bad or 0) + 0.5) / ((n or 0) + 1)
 
-    def shrunk(children: DataFrame, parents: DataFrame, on: list[str], level: str) -> DataFrame:
-        """Posterior mean and strength of each child under the prior of its parent."""
-        given = children.join(parents, on) if on else children.crossJoin(F.broadcast(parents))
-        k = strength(given, level, [])  # one row: the spread of a level, measured over all of it
-        given = given.crossJoin(F.broadcast(k)).withColumn("k", F.coalesce("k", F.lit(STRONGEST)))
-        return given.withColumn("a", F.col("m") * F.col("k") + F.col("bad")).withColumn("b", (1 - F.col("m")) * F.col("k") + F.col("n") - F.col("bad"))
+    def shrunk(children: DataFrame) -> DataFrame:
+        """The beta posterior (a, b) of each child under the prior with mean m."""
+        k = strength(children)
+        return children.withColumn("a", F.col("m") * k + F.col("bad")).withColumn("b", (1 - F.col("m")) * k + F.col("n") - F.col("bad"))
 
     mean = F.col("a") / (F.col("a") + F.col("b"))
-    top = shrunk(suffixes, total, [], "suffix").select("suffix", mean.alias("m"))
-    middle = shrunk(domains, top, ["suffix"], "domain").select("domain", mean.alias("m"))
-    low = shrunk(hosts, middle, ["domain"], "host")
+    top = shrunk(suffixes.withColumn("m", F.lit(overall))).select("suffix", mean.alias("m"))
+    middle = materialize(shrunk(domains.join(top, "suffix")).select("domain", mean.alias("m")), "domain-rates")
+    low = shrunk(hosts.join(middle, "domain"))
     size = F.col("a") + F.col("b")
     # the normal bound of the beta posterior, continuous at both ends
     return low.select("host", "domain", "suffix", "pages", "n", "bad", mean.alias("bad_rate"), F.greatest(F.lit(0.0), mean - Z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("lower_bound"))

@@ -1,0 +1,87 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.llm import pii
+
+TEXTS = {
+    1: "Write to ann.lee7@mail.example.com or +1 (017) 555-7713.",
+    2: "ANN.LEE7@mail.example.com called from 97.51.17.173, card 9807915762804490 4845168114407329",
+    3: "Nothing here: version 4.0, year 2024, section 1.2.3, id 12345.",
+    4: "Mr Ivan Petrov met Frau Anna-Maria Weber; Mr Petrov left. Госпожа Иванова came.",
+    5: 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 36974748794293dd stays',
+    6: "SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00, call 212-555-0187 or +44 20 7946 0958.",
+    7: "+1-017-555-7713 is that phone again",
+}
+PRIVATE = ["ann.lee7@mail.example.com", "555-7713", "97.51.17.173", "9807915762804490", "4845168114407329", "Ivan", "Petrov", "Weber", "Иванова", "123-45-6789", "3704 0044", "212-555-0187", "7946 0958"]
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n) for r in pii.replace_pii(docs, "key", "n").collect()}
+
+
+def test_private_data_goes_and_the_rest_stays(replaced):
+    for text, _ in replaced.values():
+        for p in PRIVATE:
+            assert p.lower() not in text.lower()
+    assert [replaced[i][1] for i in range(1, 8)] == [2, 4, 0, 4, 0, 4, 1]
+    assert replaced[3][0] == TEXTS[3]
+    assert replaced[5][0] == TEXTS[5]
+    for i, t in TEXTS.items():  # what lies between the entities is untouched
+        assert re.sub(r"\S*[\d@]\S*", "", replaced[i][0]).split()[:1] == re.sub(r"\S*[\d@]\S*", "", t).split()[:1] or i in (2, 4)
+
+
+def test_types_and_formats(replaced):
+    assert re.fullmatch(r"Write to [a-z]{3}\.[a-z]{3}\d@[a-z0-9]+\.example or \+1 \(\d{3}\) \d{3}-\d{4}\.", replaced[1][0])
+    assert re.fullmatch(r"\S+@\S+ called from (\d{1,3}\.){3}\d{1,3}, card \d{16} \d{16}", replaced[2][0])
+    assert re.search(r"SSN \d{3}-\d{2}-\d{4}, IBAN DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d, call \d{3}-\d{3}-\d{4} or \+44 \d\d \d{4} \d{4}\.", replaced[6][0])
+
+
+def test_coreference_gender_and_script(replaced):
+    mail = re.compile(r"[^\s,]+@[a-z0-9.]+example")
+    assert mail.search(replaced[1][0])[0] == mail.search(replaced[2][0])[0]
+    digits = [re.sub(r"\D", "", re.search(r"\+1[^a-z]*\d", replaced[i][0])[0]) for i in (1, 7)]
+    assert digits[0] == digits[1]
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Frau (\w+) (\w+) (\w+); Mr (\w+) left\. Госпожа (\w+) came\.", replaced[4][0])
+    assert m[2] == m[6]
+    assert m[1].endswith("rt") and m[3].endswith("na")
+    assert re.fullmatch("[А-Яа-я]+", m[7])
+
+
+def test_keyed(spark):
+    docs = spark.createDataFrame([(1, TEXTS[1])], "doc_id long, text string")
+    a, b, c = (pii.replace_pii(docs, k).first().text for k in ("one", "one", "two"))
+    assert a == b != c
+
+
+def test_collisions_keep_entities_distinct(spark, monkeypatch):
+    real = pii.surrogate
+
+    def narrow(kind, norm, attempt, key):
+        """Only thirty addresses, so that most first surrogates collide, some with addresses of the corpus."""
+        few = F.concat(F.lit("10.0.0."), (F.pmod(F.xxhash64(norm, attempt), F.lit(30)) + 1).cast("string"))
+        return F.when(kind == "ip", few).otherwise(real(kind, norm, attempt, key))
+
+    monkeypatch.setattr(pii, "surrogate", narrow)
+    ips = [f"97.51.17.{i}" for i in range(20)] + ["10.0.0.3", "10.0.0.4"]
+    docs = spark.createDataFrame([(i, f"from {ip} to {ips[(i + 1) % len(ips)]}") for i, ip in enumerate(ips)], "doc_id long, text string")
+    new = {r.doc_id: re.findall(r"\d+\.\d+\.\d+\.\d+", r.text) for r in pii.replace_pii(docs, "key").collect()}
+    of = {ip: new[i][0] for i, ip in enumerate(ips)}
+    assert len(set(of.values())) == len(ips)
+    assert not set(of.values()) & set(ips)
+    assert all(new[i][1] == of[ips[(i + 1) % len(ips)]] for i in range(len(ips)))
+
+
+def test_odd_rows(odd_docs, no_docs):
+    out = pii.replace_pii(odd_docs, "key")
+    assert out.columns == odd_docs.columns
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, odd_docs.collect()))
+    assert pii.replace_pii(no_docs, "key", "n").count() == 0
+
+
+def test_long_runs_are_no_trap(spark):
+    docs = spark.createDataFrame([(1, "1" * 40_000), (2, "a." * 30_000 + "@"), (3, "9 " * 30_000), (4, "+1" * 20_000)], "doc_id long, text string")
+    assert pii.replace_pii(docs, "key", "n").count() == 4
