@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import ascii_lower, broadcast_if_small, materialize
 
-#: A page is blocked when the bad rate of its host is over LIMIT with about 95 percent certainty.
+#: A page is blocked when the bad rate of its host is over LIMIT with about 95 percent certainty, and its domain has labels.
 LIMIT = 0.3
 Z = 1.645
 #: Bounds of a prior's strength, in pages.
@@ -86,11 +86,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
     mean = F.col("a") / (F.col("a") + F.col("b"))
     top = shrunk(suffixes.withColumn("m", F.lit(overall))).select("suffix", mean.alias("m"))
-    middle = materialize(shrunk(domains.join(top, "suffix")).select("domain", mean.alias("m")), "domain-rates")
+    middle = materialize(shrunk(domains.join(top, "suffix")).select("domain", mean.alias("m"), F.col("n").alias("domain_n")), "domain-rates")
     low = shrunk(hosts.join(middle, "domain"))
     size = F.col("a") + F.col("b")
     # the normal bound of the beta posterior, continuous at both ends
-    return low.select("host", "domain", "suffix", "pages", "n", "bad", mean.alias("bad_rate"), F.greatest(F.lit(0.0), mean - Z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("lower_bound"))
+    return low.select("host", "domain", "suffix", "pages", "n", "bad", "domain_n", mean.alias("bad_rate"), F.greatest(F.lit(0.0), mean - Z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("lower_bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT) -> DataFrame:
@@ -100,6 +100,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], l
     labels = outcomes.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     scores = materialize(reputation(rows.join(labels, "page_id", "left").select("host", "bad")), "host-reputation")
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("lower_bound") > limit, "block").otherwise("allow")
-    judged = rows.join(broadcast_if_small(scores.select("host", "bad_rate", "lower_bound")), "host", "left")
+    own = F.when((F.col("lower_bound") > limit) & (F.col("domain_n") > 0), "block").otherwise("allow")
+    judged = rows.join(broadcast_if_small(scores.select("host", "domain_n", "bad_rate", "lower_bound")), "host", "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_rate", "lower_bound")

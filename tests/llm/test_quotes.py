@@ -1,0 +1,69 @@
+import pytest
+
+from scriptorium.llm import quotes
+
+SAID = [
+    (1, 0, "user", "Hello there, how do I pack?"),
+    (1, 1, "assistant", "Use a bin.\nBest fit helps."),
+    (1, 2, "user", "On Monday, Ann wrote:\n> Use a bin.\n\nWhich bin?"),
+    (1, 3, "assistant", "> Hello there, how\n> do I PACK?\nAlready said"),
+    (1, 4, "user", ">> Use a bin.\n> Which bin?\nOk"),
+    (2, 0, "user", None),
+    (2, 1, "user", "> nobody said this\nhm"),
+    (2, 1, "user", "> nobody said this\nhm"),
+    (2, 2, "user", "> later\nfirst"),
+    (2, 3, "user", "later"),
+    (None, None, None, "x"),
+    (3, 0, "user", "a > b\n  > c"),
+    (3, None, "user", ""),
+]
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    rows = spark.createDataFrame([(*r, 1, 1) for r in SAID], "conv_id long, turn long, role string, text string, position int, hash int")
+    return quotes.conversations(rows).collect()
+
+
+def of(linked, conv, turn):
+    return next(r for r in linked if (r.conv_id, r.turn) == (conv, turn))
+
+
+def test_links(linked):
+    assert len(linked) == len(SAID)
+    assert [(of(linked, 1, t).reply_turn, of(linked, 1, t).n_quotes, of(linked, 1, t).n_linked) for t in range(5)] == [(None, 0, 0), (None, 0, 0), (1, 1, 1), (0, 1, 1), (2, 2, 2)]
+    assert (of(linked, 2, 1).n_quotes, of(linked, 2, 1).n_linked) == (1, 0)
+    assert of(linked, 2, 2).n_linked == 0  # what is quoted came later
+    assert all(">" not in r.text for r in linked if r.conv_id != 3)
+
+
+def test_text_without_quotes(linked):
+    assert of(linked, 1, 2).text == "Which bin?"
+    assert of(linked, 1, 4).text == "Ok"
+    assert of(linked, 2, 0).text == ""
+    assert of(linked, 1, 1).text == "Use a bin.\nBest fit helps."
+    assert of(linked, 3, 0).text == "a > b"
+
+
+def test_reply_order(linked):
+    order = sorted((r.position, r.turn) for r in linked if r.conv_id == 1)
+    assert [p for p, _ in order] == list(range(5))
+    assert [t for _, t in order] == [0, 3, 1, 2, 4]
+    twice = [r for r in linked if (r.conv_id, r.turn) == (2, 1)]
+    assert sorted(r.copy for r in twice) == [1, 2]
+
+
+def test_many_quotes_of_one_passage(spark):
+    rows = [(7, t, "user", "start" if t == 0 else "> start\nreply") for t in range(800)]
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r.n_linked for r in got) == 799
+    assert {r.reply_turn for r in got if r.turn} == {0}
+    assert sorted(r.position for r in got) == list(range(800))
+
+
+def test_long_and_empty(spark):
+    text = "\n".join(f"{'>' * (i % 4)} line {i}" for i in range(3000))
+    got = quotes.conversations(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()
+    assert got.n_quotes == 2250
+    assert len(got.text.split("\n")) == 750
+    assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
