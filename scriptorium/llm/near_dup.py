@@ -7,7 +7,8 @@ collisions, estimate the similarity; what lies more than five standard errors un
 rest is confirmed exactly on the full sets.
 
 Groups are never expanded into all pairs. First every class is compared with the leaders of its buckets, then,
-in buckets that still hold several components, the classes outside the largest component with all others there.
+in buckets that still hold several components, the classes outside the largest component with all others there,
+unless the shingles that are rare around that component already rule a link out.
 A pair at exactly the threshold meets in no band with probability ``(1 - t ** rows) ** bands`` (1.2e-5 by default,
 less for more similar pairs).
 
@@ -196,6 +197,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return counted.where(100 * F.col("i") >= near.percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+#: A member is rare where at most this share of the sets around one component has it.
+RARE = 0.02
+
+
+def _rare_members(sets: DataFrame, around: DataFrame) -> DataFrame:
+    """(main, node, size, n_rare, rare): rare holds the rare members that other sets have too.
+
+    A rare member of one set is in another set only if it is rare there as well, so two sets have at most their
+    members that are not rare, and the rare ones that they share, in common.
+    """
+    size_of = around.groupBy("main").agg(F.greatest(F.lit(1), F.floor(RARE * F.count(F.lit(1)))).alias("most"))
+    each = materialize(sets.join(around, "node").select("main", "node", F.size("members").alias("size"), F.explode("members").alias("m")), "near-around")
+    seen = each.groupBy("main", "m").agg(F.count(F.lit(1)).alias("n")).join(size_of, "main").where("n <= most").select("main", "m", "n")
+    of = each.join(seen, ["main", "m"], "left").groupBy("main", "node", "size")
+    return of.agg(F.count("n").alias("n_rare"), F.collect_list(F.when(F.col("n") > 1, F.col("m"))).alias("rare"))
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """For each class its most similar partner, from either end."""
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "estimate").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "estimate"))
@@ -227,10 +245,14 @@ def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     seen = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     shares = seen.groupBy("key", "root").count()
     main = shares.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
-    mixed = materialize(seen.join(main, "key").join(classes.select("node", "signature"), "node"), "near-mixed")
-    few = mixed.where("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("signature").alias("sx"))
+    mixed = materialize(seen.join(main, "key"), "near-mixed")
+    keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    mixed = materialize(mixed.join(_rare_members(sets, mixed.select("main", "node").distinct()), ["main", "node"]).join(classes.select("node", "signature"), "node").join(keys, "node"), "near-mixed")
+    few = mixed.where("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"), F.col("n_rare").alias("hx"), F.col("rare").alias("ax"), F.col("signature").alias("sx"), F.col("keys").alias("kx"))
     score = similarity(F.col("sx"), F.col("signature"), near)
-    cross = few.join(mixed, (few.key == mixed.key) & (few.rx != mixed.root) & (score >= near.least_estimate))
+    most = F.least(F.col("nx") - F.col("hx"), F.col("size") - F.col("n_rare")) + F.size(F.array_intersect("ax", "rare"))
+    possible = 100 * most >= near.percent * (F.col("nx") + F.col("size") - most)
+    cross = few.join(mixed, (few.key == mixed.key) & (few.rx != mixed.root) & (score >= near.least_estimate) & possible & (F.array_min(F.array_intersect("kx", "keys")) == few.key))
     cross = cross.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.max(score).alias("estimate"))
     cross = materialize(cross.join(first, ["a", "b"], "left_anti"), "near-cross")
 
