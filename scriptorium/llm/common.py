@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is sent to every executor; beyond it the join shuffles.
@@ -42,6 +42,25 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """The rows numbered from 1 within their group, by order (rows that tie get any order).
+
+    The rows are sorted over range partitions, so that a group of any size is spread over as many tasks as it fills;
+    a row's number is its place in its partition plus the rows that the group has in earlier partitions.
+    """
+    keys = [*group, *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    share = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    share = share.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    share = share.withColumnsRenamed({c: f"_of_{c}" for c in [*group, "_part"]})
+    same = F.lit(True)
+    for c in [*group, "_part"]:
+        same = same & placed[c].eqNullSafe(share[f"_of_{c}"])
+    return placed.join(share, same).select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_skip") + 1).alias(name))
+
+
 def words(text: Column, pattern: str = "[^\\x20\\x09-\\x0D]+") -> Column:
     """The words of a text in order; no words for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))

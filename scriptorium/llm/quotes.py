@@ -6,7 +6,8 @@ passages: their text at the next level is normalised and hashed. Passages are jo
 the latest message that it quotes, and the quotes themselves go.
 
 Only hashes are joined, and the blocks of all messages with one hash are first brought to one row (the earliest), so
-a passage that very many messages quote or carry makes one row per quote and never pairs.
+a passage that very many messages quote or carry makes one row per quote and never pairs. Numbering runs over range
+partitions, so that a conversation of any size is spread over tasks.
 
 Defined results: null or empty text is a message without own text; a null turn sorts first; repeated rows are messages
 of their own, numbered on; quotes whose passage nobody wrote, or only the quoting message itself or a later one, stay
@@ -15,10 +16,10 @@ unlinked and still go; an empty table gives an empty result; other columns are l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import ascii_lower, materialize
+from scriptorium.llm.common import ascii_lower, materialize, numbered
 
 #: Lines that announce a quote, which go with it.
 ANNOUNCES = r"(?i)^(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$|^-{2,}\s*original message\s*-{2,}$"
@@ -32,9 +33,8 @@ def normalised(text: Column) -> Column:
 
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, copy, role, own, quoted): own text without quotes; quoted is an array of (level, hash)."""
-    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("copy", F.row_number().over(order))
+    rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = numbered(rows, ["conv_id", "turn"], ["role", "text_hash"], "copy")
     lines = F.transform(
         F.split("text", r"\r\n|\r|\n", -1),
         lambda s: F.struct(
@@ -89,5 +89,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     found = found.withColumn("to", F.struct(F.col("to.t").alias("turn"), F.col("to.k").alias("copy")))
     rows = said.join(found, said.conv_id.eqNullSafe(found.qc) & said.turn.eqNullSafe(found.qt) & (said["copy"] == found.qk), "left")
     rows = rows.select("conv_id", said.turn, said["copy"], "role", F.col("own").alias("text"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quotes", "n_linked")), F.col("to.turn").alias("reply_turn"), F.col("to.copy").alias("reply_copy"))
-    after = Window.partitionBy("conv_id").orderBy(F.coalesce("reply_turn", "turn"), F.col("reply_turn").isNotNull(), "turn", "copy")
-    return rows.withColumn("position", F.row_number().over(after).cast("long") - 1)
+    names = rows.columns
+    rows = rows.withColumns({"thread": F.coalesce("reply_turn", "turn"), "is_reply": F.col("reply_turn").isNotNull()})
+    placed = numbered(rows, ["conv_id"], ["thread", "is_reply", "turn", "copy"], "position")
+    return placed.select(*names, (F.col("position") - 1).alias("position"))
