@@ -50,9 +50,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """Per distinct (doc_id, text_hash): n_rows, n_words, any_hit; and the hits (doc_id, text_hash, item_id, at, wide).
+    """Per distinct (doc_id, text_hash): n_words, n_rows and whether a fingerprint or a short item met (met).
 
-    The first says for all rows whether a fingerprint or a short item meets; the second has the extended hits.
+    And the extended hits (doc_id, text_hash, item_id, at, wide).
     """
     items = materialize(item_windows(benchmark, window), "bench-windows")
     grams = benchmark.select(hashes(F.col("text")).alias("h")).select(spans(F.col("h"), gram).alias("g"))
