@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import files, text
+from scriptorium.functions import files, payload, text
 from scriptorium.operators import catalog, chunks, retention, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,6 +277,14 @@ def chunk_meta_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "m.chunks", "m.orig_bytes", "m.compressed")
 
 
+@query("SELECT doc_id, text, strlen(text) >= 4096 AS marked FROM documents")
+def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as stored bytes, the larger ones compressed, and back."""
+    stored = documents(spark, sf_dir).select("doc_id", payload.payload(F.col("text"), SMALL_CHUNK).alias("stored"))
+    marked = F.substring("stored", 1, 5) == F.lit(payload.MARKER)
+    return stored.select("doc_id", payload.text_of(F.col("stored")).alias("text"), marked.alias("marked"))
+
+
 # --- catalog ----------------------------------------------------------------------------------------------------------
 
 

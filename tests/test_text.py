@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.functions import files, text
+from scriptorium.functions import files, payload, text
 
 SPACES = [chr(c) for c in range(0x3100) if chr(c).isspace()]
 BREAKS = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
@@ -70,3 +70,13 @@ def test_byte_preview(spark):
 def test_decoding(spark):
     rows = spark.createDataFrame([("héllo".encode(),), ("héllo".encode("latin-1"),), (b"\xef\xbb\xbfx",)], "b binary")
     assert [r[0] for r in rows.select(text.utf8_or_latin1(F.col("b"))).collect()] == ["héllo", "héllo", "﻿x"]
+
+
+def test_payloads(spark):
+    texts = ["", "short", "é" * 50, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string").select("i", payload.payload(F.col("v"), 20).alias("b"))
+    got = {r.i: (r.b, r.t) for r in rows.select("i", "b", payload.text_of(F.col("b")).alias("t")).collect()}
+    assert [got[i][1] for i in range(4)] == ["", "short", "é" * 50, ""]
+    assert [bytes(got[i][0] or b"").startswith(payload.MARKER) for i in range(4)] == [False, False, True, False]
+    odd = spark.createDataFrame([(b"gzip:no gzip",), (b"\xff\xfe",)], "b binary")
+    assert [r[0] for r in odd.select(payload.text_of(F.col("b"))).collect()] == ["gzip:no gzip", ""]
