@@ -65,7 +65,7 @@ class WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -256,19 +256,19 @@ def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     cross = cross.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.max(score).alias("estimate"))
     cross = materialize(cross.join(first, ["a", "b"], "left_anti"), "near-cross")
 
-    tried = None
-    for choose in (_best, lambda pairs: pairs.select("a", "b")):  # each one's best partner, then whatever is still open
-        one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        open_ = cross.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "estimate")
-        if tried is not None:
-            open_ = open_.join(tried, ["a", "b"], "left_anti")
-        tried = materialize(choose(open_), "near-pairs")
-        if tried.isEmpty():
-            break
+    def linked_by(tried: DataFrame, roots: DataFrame) -> DataFrame:
         more = materialize(_confirmed(tried, sets, near), "near-more")
-        if not more.isEmpty():
-            roots = materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
-    return roots
+        if more.isEmpty():
+            return roots
+        return materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
+
+    # each one's best partner first; then whatever is still open between components
+    tried = materialize(_best(cross), "near-pairs")
+    roots = linked_by(tried, roots)
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    left = cross.join(tried, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    left = materialize(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-pairs")
+    return linked_by(left, roots)
 
 
 def components(docs: DataFrame, near: Near | None = None) -> DataFrame:
