@@ -1,13 +1,14 @@
 """Main text of web pages, with site templates removed.
 
-A small tree is built of each page. Every element subtree gets a hash of its tags and text; Spark counts per host on
-how many pages a hash occurs, and subtrees that recur on many pages of their host are deleted. An article that the
-page marks as such is content, so recurrence deletes nothing inside it; there, as everywhere, menus, forms, adverts,
-comments of readers and the like go by what they call themselves.
+A small tree is built of each page. Every element subtree gets a hash of its tags and text; Spark counts per host, and
+per section of a host (the first directory of the path), on how many pages a hash occurs, and subtrees that recur on
+many of these pages are deleted before the content is chosen. Inside an article or main element that the page marks,
+what recurs may be prose that the site repeats; only blocks of links or controls, and containers at its edges, are
+taken for template there. Menus, forms, adverts, comments of readers and the like go everywhere by what they call themselves.
 
-Per host only the recurring hashes are kept. As a page adds its subtrees once, at most ``subtrees per page / share`` of
-them can recur, however large the host is. They are joined to the pages by host: broadcast when counted and small,
-else shuffled, where a large host's pages are split.
+Per host and section only the recurring hashes are kept. As a page adds its subtrees once to each, at most ``subtrees
+per page / share`` of them can recur, however large the host is. They are joined to the pages by host and section:
+broadcast when counted and small, else shuffled, where a large host's pages are split.
 
 Defined results: null or empty html gives an empty text; a null or unusable url is a host of its own kind (empty);
 repeated rows are extracted alike and kept apart, and count as pages of their own; an empty table gives an empty
@@ -49,6 +50,10 @@ CHROME = frozenset(
 HEADERS = frozenset("header masthead".split())
 #: Names that describe a layout and not the element: has-sidebar, no-menu.
 LAYOUT = re.compile(r"^(?:has|with|without|no|is|hide|show)[-_]", re.I)
+#: Elements that hold blocks of a page, and parts that only chrome has.
+CONTAINERS = frozenset("div section ul ol dl table center details figure".split())
+CONTROLS = frozenset("form input button select textarea".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element whose start ends an open one of the same group, and where the search for it stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -72,6 +77,10 @@ class Node:
     inside: list = field(default_factory=list)
     hash: int = 0
     depth: int = 0
+    size: int = 0  # code points of its text, less what is unwanted by name
+    linked: int = 0  # those of them in links
+    control: bool = False
+    title_link: bool = False
 
 
 def tree(html: str) -> Node:
@@ -146,6 +155,56 @@ def named(node: Node, names: frozenset[str]) -> bool:
     return bool(node.label) and any(part in names for token in node.label.lower().split() if not LAYOUT.match(token) for part in re.split(r"[-_]+", token))
 
 
+def measure(root: Node) -> None:
+    """Sizes of the text below each element, leaves first."""
+    for node in reversed(list(walk(root))):
+        node.size = node.linked = 0
+        links = titles = False
+        for c in node.inside:
+            if isinstance(c, str):
+                node.size += len("".join(c.split()))
+                continue
+            node.control |= c.control or c.tag in CONTROLS
+            if unwanted(c, True) or c.tag in RAW:
+                continue
+            node.size += c.size
+            node.linked += c.linked
+            node.title_link |= c.title_link
+            links |= c.tag == "a" or c.linked > 0
+            titles |= c.tag in HEADINGS
+        if node.tag == "a":
+            node.linked = node.size
+            node.title_link |= titles
+        node.title_link |= node.tag in HEADINGS and links
+
+
+def of_links(node: Node) -> bool:
+    """Whether a block is made of links, or has controls."""
+    return node.control or 0 < node.size <= 2 * node.linked
+
+
+def chrome_in(top: Node) -> Iterator[tuple[Node, Node]]:
+    """(parent, block) of what may be template inside marked content: blocks of links, and containers at its edges.
+
+    A container is at an edge if only containers lie between it and the start or the end of its parent, which itself is
+    at that edge or the content.
+    """
+    pending = [(top, True, True)]
+    while pending:
+        x, first, last = pending.pop()
+        held = [c for c in x.inside if isinstance(c, Node) or c.strip()]
+        boxes = [isinstance(c, Node) and (c.tag in CONTAINERS or not c.size) for c in held]
+        lead = next((k for k, box in enumerate(boxes) if not box), len(boxes))
+        trail = next((k for k in range(len(boxes), 0, -1) if not boxes[k - 1]), 0)
+        for k, c in enumerate(held):
+            if not isinstance(c, Node):
+                continue
+            starts, ends = first and k <= lead, last and k >= trail - 1
+            if c.tag in BLOCK and (of_links(c) or c.tag in CONTAINERS and (starts and k < lead or ends and k >= trail)):
+                yield x, c
+            pending.append((c, starts, ends))
+
+
 def unwanted(node: Node, inside_article: bool) -> bool:
     if node.tag in ("html", "body", "article", "main"):
         return node.tag == "article" and named(node, CHROME)
@@ -176,16 +235,70 @@ def contents(root: Node) -> list[Node]:
     return [root]
 
 
+def prune(root: Node, template: set[int] | frozenset[int]) -> None:
+    """Delete the recurring subtrees: outside marked content all, inside it those that are chrome by form or place."""
+    tops = [x for x in contents(root) if x is not root]
+    marked, above = {id(x) for x in tops}, set()
+    for node in reversed(list(walk(root))):
+        if any(id(c) in marked or id(c) in above for c in node.inside):
+            above.add(id(node))
+    pending = [root]
+    while pending:
+        x = pending.pop()
+        if id(x) not in marked:
+            x.inside = [c for c in x.inside if not isinstance(c, Node) or id(c) in marked or id(c) in above or signed(c.hash) not in template]
+            pending.extend(c for c in x.inside if isinstance(c, Node))
+    for top in tops:
+        gone: dict[int, tuple[Node, Node]] = {id(c): (parent, c) for parent, c in chrome_in(top) if signed(c.hash) in template}
+        outer, pending = [], [top]
+        while pending:
+            x = pending.pop()
+            if id(x) in gone:
+                outer.append(gone[id(x)])
+            else:
+                pending.extend(c for c in x.inside if isinstance(c, Node))
+        if 2 * sum(c.size for _, c in outer) > top.size:  # a copy of a whole article recurs too
+            outer = [(p, c) for p, c in outer if of_links(c)]
+        if sum(c.size for _, c in outer) < top.size:
+            for parent, c in outer:
+                parent.inside = [k for k in parent.inside if k is not c]
+
+
+def chosen(root: Node) -> list[Node]:
+    """The contents; articles that are only cards of other pages go where the prose of the page lies outside them."""
+    tops = contents(root)
+    cards = [x for x in tops if x.tag == "article" and (x.title_link or of_links(x))]
+    if cards and len(cards) == len(tops):
+        prose = lambda x: x.size - x.linked
+        held = {id(x) for x in cards}
+        outside, pending = 0, [root]
+        while pending:
+            x = pending.pop()
+            for c in x.inside:
+                if isinstance(c, str):
+                    outside += len("".join(c.split()))
+                elif id(c) not in held and not unwanted(c, False) and c.tag not in RAW and c.tag != "a":
+                    pending.append(c)
+        if outside > sum(map(prose, cards)):
+            for x in walk(root):
+                x.inside = [c for c in x.inside if id(c) not in held]
+            return contents(root)
+    return tops
+
+
 def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
 def template_candidates(html: str | None) -> set[int]:
-    """Hashes of the subtrees outside marked content that have text of their own."""
+    """Hashes of the subtrees outside marked content, and of those inside it that are chrome by form or place."""
     root = tree(html or "")
     hash_subtrees(root)
-    marked = {id(x) for x in contents(root) if x is not root}
-    out, pending = set(), [root]
+    measure(root)
+    tops = [x for x in contents(root) if x is not root]
+    marked = {id(x) for x in tops}
+    out = {signed(c.hash) for top in tops for _, c in chrome_in(top)}
+    pending = [root]
     while pending:
         x = pending.pop()
         if id(x) in marked or x.tag in DROPPED and x.tag not in ("nav", "aside", "form", "footer"):
@@ -199,8 +312,11 @@ def template_candidates(html: str | None) -> set[int]:
 def main_text(html: str | None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, joined by an empty line."""
     root = tree(html or "")
+    measure(root)
     if template:
         hash_subtrees(root)
+        prune(root, template)
+        measure(root)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -210,7 +326,7 @@ def main_text(html: str | None, template: set[int] | frozenset[int] = frozenset(
             blocks.append(text)
         line.clear()
 
-    for top in contents(root):
+    for top in chosen(root):
         end()
         pending: list[tuple[object, bool]] = [(top, False)]
         while pending:
@@ -221,7 +337,7 @@ def main_text(html: str | None, template: set[int] | frozenset[int] = frozenset(
             if closing:
                 end()
                 continue
-            if x is not top and (unwanted(x, top is not root) or top is root and template and signed(x.hash) in template):
+            if x is not top and unwanted(x, top is not root):
                 if x.tag in BLOCK:
                     end()
                 continue
@@ -242,27 +358,46 @@ def host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(after, r"^[^/?#]*", 0), F.lit("")), upper, upper.lower())
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """(host, template): the hashes that recur on enough pages of each host that has any."""
+def section(url: Column) -> Column:
+    """The first directory of the path; null without one."""
+    after = F.substring(url, F.instr(url, "://") + 3, F.length(url))
+    found = F.regexp_extract(after, r"^[^/?#]*/([^/?#]+)/", 1)
+    return F.when((F.instr(url, "://") > 0) & (found != ""), found)
+
+
+def recurring(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, section, template): the hashes that recur on enough pages of each host (null section) and of its sections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [sorted(template_candidates(t.as_py())) for t in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("section"), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "section", "hashes"])
 
-    each = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hashes array<long>")
+    each = pages.select(host(F.col("url")).alias("host"), section(F.col("url")).alias("section"), "html").mapInArrow(run, "host string, section string, hashes array<long>")
     # 0 stands for the page itself, so that one aggregation counts pages and subtrees
-    seen = each.select("host", F.explode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("hash")).groupBy("host", "hash").count()
-    seen = materialize(seen.where(F.col("count") >= least), "web-subtrees")
-    total = seen.where("hash = 0").select("host", F.col("count").alias("pages"))
-    often = seen.where("hash != 0").join(total, "host").where(F.col("count") >= share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    seen = each.select("host", "section", F.explode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("hash")).groupBy("host", "section", "hash").count()
+    seen = materialize(seen, "web-subtrees")
+    whole = seen.groupBy("host", "hash").agg(F.sum("count").alias("count")).select("host", F.lit(None).cast("string").alias("section"), "hash", "count")
+    both = whole.unionByName(seen.where("section is not null")).where(F.col("count") >= least)
+    total = both.where("hash = 0").select(F.col("host").alias("h"), F.col("section").alias("s"), F.col("count").alias("pages"))
+    often = both.where("hash != 0").join(total, (F.col("host") == F.col("h")) & F.col("section").eqNullSafe(F.col("s"))).where(F.col("count") >= share * F.col("pages"))
+    return often.groupBy("host", "section").agg(F.collect_set("hash").alias("template"))
+
+
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
+    """(host, template): the hashes that recur on enough pages of each host that has any."""
+    return recurring(pages, share, least).where("section is null").select("host", "template")
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    recurring = materialize(templates(pages, share, least), "web-templates")
-    source = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(broadcast_if_small(recurring, 50_000), "host", "left")
+    found = materialize(recurring(pages, share, least), "web-templates")
+    whole = found.where("section is null").select("host", F.col("template").alias("_whole"))
+    part = found.where("section is not null").select("host", "section", F.col("template").alias("_part"))
+    source = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), section(F.col("url")).alias("section"))
+    source = source.join(broadcast_if_small(whole, 50_000), "host", "left").join(broadcast_if_small(part, 50_000), ["host", "section"], "left")
+    none = F.array().cast("array<long>")
+    source = source.withColumn("template", F.array_union(F.coalesce("_whole", none), F.coalesce("_part", none)))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,3 +85,31 @@ def test_odd_rows(spark):
     got = web_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "x", 1), (1, "x", 1), (2, "y", 1), (3, "", 0)]
     assert web_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_recurring_chrome_inside_articles(spark):
+    """Blocks of links, controls and edges that recur go from articles; repeated prose and copies of whole articles stay."""
+    def page(i):
+        return (
+            "<body><article><div><p>Please read our notice</p></div>"
+            f"<h1>Tale {i}</h1><p>Tale {i} told</p><p>Shared licence</p><ul><li><a href=x>Send</a><li><a href=y>Post it</a></ul><p>And {i} so on at some length</p>"
+            "<div>Get our letter <input name=mail></div></article></body>"
+        )
+
+    copy = "<body><article><div><p>First half</p></div><div><p>Other half</p></div></article></body>"
+    rows = [(i, "https://a.example.com/p", page(i), 1, "t") for i in range(20)] + [(50 + i, "https://b.example.com/p", copy, 1, "t") for i in range(8)]
+    got = {r.page_id: r.text for r in web_text.extract(pages_of(spark, rows)).collect()}
+    assert got[3] == "Tale 3\n\nTale 3 told\n\nShared licence\n\nAnd 3 so on at some length"
+    assert got[50] == "First half\n\nOther half"
+
+
+def test_template_of_a_section(spark):
+    rows = [(i, f"https://a.example.com/{'news' if i < 6 else f's{i}'}/p", f"<body>{'<div>News desk</div>' if i < 6 else ''}<div><p>Story {i}</p></div></body>", 1, "t") for i in range(60)]
+    got = {r.page_id: r.text for r in web_text.extract(pages_of(spark, rows)).collect()}
+    assert got == {i: f"Story {i}" for i in range(60)}
+
+
+def test_cards_are_not_the_content():
+    cards = "".join(f"<article><h2><a href=/{i}>Title {i}</a></h2><p>More</p></article>" for i in range(3))
+    assert web_text.main_text(f"<body><div><p>{'The body of this page. ' * 5}</p></div><div>{cards}</div></body>") == ("The body of this page. " * 5).strip()
+    assert web_text.main_text(f"<body>{cards}</body>") == "\n\n".join(f"Title {i}\n\nMore" for i in range(3))
