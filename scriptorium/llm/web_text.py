@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -76,7 +77,6 @@ class Node:
     hidden: bool = False
     inside: list = field(default_factory=list)
     hash: int = 0
-    depth: int = 0
     size: int = 0  # code points of its text, less what is unwanted by name
     linked: int = 0  # those of them in links
     control: bool = False
@@ -87,6 +87,12 @@ def tree(html: str) -> Node:
     """Elements and text of a page; what is not closed ends with its parent."""
     root = Node("html")
     stack, at, n = [root], 0, len(html)
+    opened: Counter[str] = Counter()  # so that no stack of any depth is searched in vain
+
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = TOKEN.search(html, at)
         begin = m.start() if m else n
@@ -99,23 +105,23 @@ def tree(html: str) -> Node:
         if not name:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[name] else 0, 0, -1):
                 if stack[k].tag == name:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if name in CLOSES:
             group, stop = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if any(opened[t] for t in group) else 0, 0, -1):
                 if stack[k].tag in group:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in stop:
                     break
         if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened["p"] else 0, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
@@ -129,9 +135,8 @@ def tree(html: str) -> Node:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else n
         elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "path")):
-            node.depth = stack[-1].depth + 1
-            if node.depth < 200:  # deeper elements are taken as siblings
-                stack.append(node)
+            stack.append(node)
+            opened[name] += 1
     return root
 
 

@@ -113,3 +113,10 @@ def test_cards_are_not_the_content():
     cards = "".join(f"<article><h2><a href=/{i}>Title {i}</a></h2><p>More</p></article>" for i in range(3))
     assert web_text.main_text(f"<body><div><p>{'The body of this page. ' * 5}</p></div><div>{cards}</div></body>") == ("The body of this page. " * 5).strip()
     assert web_text.main_text(f"<body>{cards}</body>") == "\n\n".join(f"Title {i}\n\nMore" for i in range(3))
+
+
+def test_deep_elements_keep_their_places():
+    deep = "<div>" * 300 + "{}" + "</div>" * 300
+    assert web_text.main_text("<body><div><article>" + deep.format("x") + "<p>tail</p></article></div></body>") == "x\n\ntail"
+    assert web_text.main_text("<article>" + deep.format("<nav><div>menu</div></nav><aside>side</aside>text") + "</article>") == "text"
+    assert web_text.main_text("<b>" * 50_000 + "x" + "</i>" * 50_000 + "<p>y") == "x\n\ny"
