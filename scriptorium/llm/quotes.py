@@ -1,13 +1,16 @@
 """Quotation linking in conversations, with DataFrame functions only.
 
 A message is split into lines; the leading ``>`` marks give each line its quote level. Runs of quoted lines are quoted
-passages: their text at the next level is normalised and hashed. Passages are joined by hash to the messages whose own
-(unquoted) blocks carry the same normalised text. Conversations are then ordered by these replies: a message follows
-the latest message that it quotes, and the quotes themselves go.
+passages: their text at the next level is normalised and hashed, whole, by paragraphs and by lines. Units are joined by
+hash to the messages whose own (unquoted) text, runs between quotes, paragraphs or lines carry the same normalised
+text; a passage is linked by its largest unit that is found, and there to the latest of the messages found.
+Conversations are then ordered by the tree of these replies: a message follows the message that it quotes, after the
+earlier replies to that one with all of theirs, and the quotes themselves go.
 
 Only hashes are joined, and the blocks of all messages with one hash are first brought to one row (the earliest), so
-a passage that very many messages quote or carry makes one row per quote and never pairs. Numbering runs over range
-partitions, so that a conversation of any size is spread over tasks.
+a passage that very many messages quote or carry makes a row per unit of the quote and never pairs. Numbering runs over
+range partitions, and places in the tree are found by doubling steps along its tour, so that a conversation of any
+size or depth is spread over tasks.
 
 Defined results: null or empty text is a message without own text; a null turn sorts first; repeated rows are messages
 of their own, numbered on; quotes whose passage nobody wrote, or only the quoting message itself or a later one, stay
@@ -23,6 +26,8 @@ from scriptorium.llm.common import ascii_lower, materialize, numbered
 
 #: Lines that announce a quote, which go with it.
 ANNOUNCES = r"(?i)^(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$|^-{2,}\s*original message\s*-{2,}$"
+LINE = r"\r\n|\r|\n"
+PARAGRAPH = r"(?>\r\n|\r|\n)(?:[^\S\r\n]*(?>\r\n|\r|\n))+"
 MARKS = r"^(?:\x20{0,3}>)+"
 
 
@@ -31,12 +36,23 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def hashed(texts: Column) -> Column:
+    """The distinct hashes of normalised texts that have any letter or digit."""
+    return F.array_distinct(F.transform(F.filter(F.transform(texts, normalised), lambda b: b != ""), lambda b: F.xxhash64(b)))
+
+
+def units(body: Column) -> Column:
+    """Array of (rank, hash) of a passage: 0 the whole, 1 its paragraphs, 2 its lines."""
+    ranked = lambda texts, k: F.transform(hashed(texts), lambda h: F.struct(F.lit(k).alias("rank"), h.alias("hash")))
+    return F.concat(ranked(F.array(body), 0), ranked(F.split(body, PARAGRAPH, -1), 1), ranked(F.split(body, LINE, -1), 2))
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, copy, role, own, quoted): own text without quotes; quoted is an array of (level, hash)."""
+    """(conv_id, turn, copy, role, own, parts, quoted): own text without quotes, its runs; quoted is an array of (level, units)."""
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
     rows = numbered(rows, ["conv_id", "turn"], ["role", "text_hash"], "copy")
     lines = F.transform(
-        F.split("text", r"\r\n|\r|\n", -1),
+        F.split("text", LINE, -1),
         lambda s: F.struct(
             F.length(F.regexp_replace(F.regexp_extract(s, MARKS, 0), "[^>]", "")).alias("level"),
             F.regexp_replace(s, MARKS + r"\x20?", "").alias("body"),
@@ -55,41 +71,71 @@ def passages(messages: DataFrame) -> DataFrame:
     kept = F.filter("lines", lambda s: ~((s.level == 0) & s.body.rlike(ANNOUNCES)))
     plain = ~F.col("text").rlike(r"(?m)^\x20{0,3}>|" + ANNOUNCES.replace("(?i)", "(?im)"))
     rows = rows.withColumn("runs", F.when(plain, F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("body")))).otherwise(F.aggregate(kept, none, add)))
-    own = F.array_join(F.filter(F.transform(F.filter("runs", lambda r: r.level == 0), lambda r: F.regexp_replace(r.body, r"^\s+|\s+$", "")), lambda b: b != ""), "\n")
-    quoted = F.filter(
-        F.transform(F.filter("runs", lambda r: r.level > 0), lambda r: F.struct(r.level.alias("level"), normalised(r.body).alias("body"))),
-        lambda r: r.body != "",
-    )
-    return rows.select("conv_id", "turn", "copy", "role", own.alias("own"), F.transform(quoted, lambda r: F.struct(r.level.alias("level"), F.xxhash64(r.body).alias("hash"))).alias("quoted"))
+    parts = F.filter(F.transform(F.filter("runs", lambda r: r.level == 0), lambda r: F.regexp_replace(r.body, r"^\s+|\s+$", "")), lambda b: b != "")
+    quoted = F.filter(F.transform(F.filter("runs", lambda r: r.level > 0), lambda r: F.struct(r.level.alias("level"), units(r.body).alias("units"))), lambda r: F.size(r.units) > 0)
+    return rows.select("conv_id", "turn", "copy", "role", F.array_join(parts, "\n").alias("own"), parts.alias("parts"), quoted.alias("quoted"))
 
 
 def blocks(said: DataFrame) -> DataFrame:
-    """(conv_id, hash, turn, copy): the earliest message of a conversation that wrote a text: all of it, or one of its lines."""
-    pieces = F.array_distinct(F.concat(F.array(F.col("own")), F.split("own", "\n", -1)))
-    hashes = F.transform(F.filter(F.transform(pieces, normalised), lambda b: b != ""), lambda b: F.xxhash64(b))
-    each = said.select("conv_id", F.explode(F.array_distinct(hashes)).alias("hash"), "turn", "copy")
+    """(conv_id, hash, turn, copy): the earliest message of a conversation that wrote a text: all of it, a run, a paragraph or a line."""
+    split = lambda by: F.flatten(F.transform("parts", lambda b: F.split(b, by, -1)))
+    pieces = F.array_distinct(F.concat(F.array(F.col("own")), F.col("parts"), split(PARAGRAPH), split(LINE)))
+    each = said.select("conv_id", F.explode(hashed(pieces)).alias("hash"), "turn", "copy")
     return each.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "copy")).alias("at")).select("conv_id", "hash", "at.turn", "at.copy")
 
 
+def tree_places(rows: DataFrame) -> DataFrame:
+    """(c, v, place) of the messages in conversations that have replies; rows have conv_id, nth, turn, copy, reply_turn, reply_copy.
+
+    The tour of a tree enters and leaves each message (2 v, 2 v + 1); each step's number of entries up to the end is
+    found by doubling, in as many joins as the tour's length has binary digits.
+    """
+    asked = rows.where("reply_copy is not null").select(F.col("conv_id").alias("c")).distinct()
+    nodes = rows.join(asked, rows.conv_id.eqNullSafe(asked.c), "left_semi")
+    above = nodes.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("copy").alias("k"), F.col("nth").alias("p"))
+    found = nodes.join(above, nodes.conv_id.eqNullSafe(above.c) & nodes.reply_turn.eqNullSafe(above.t) & (nodes.reply_copy == above.k), "left")
+    kids = numbered(found.select(F.col("conv_id").alias("c"), F.col("nth").alias("v"), F.coalesce("p", F.lit(0)).cast("long").alias("p")), ["c", "p"], ["v"], "k")
+    kids = materialize(kids, "quotes-tree")
+    after = kids.select(F.col("c").alias("ac"), F.col("p").alias("ap"), (F.col("k") - 1).alias("ak"), F.col("v").alias("sibling"))
+    eldest = kids.where("k = 1").select(F.col("c").alias("ec"), F.col("p").alias("ep"), F.col("v").alias("child"))
+    both = kids.join(after, kids.c.eqNullSafe(after.ac) & (kids.p == after.ap) & (kids.k == after.ak), "left").join(eldest, kids.c.eqNullSafe(eldest.ec) & (kids.v == eldest.ep), "left")
+    leave = F.coalesce(2 * F.col("sibling"), F.when(F.col("p") > 0, 2 * F.col("p") + 1), F.lit(0))
+    steps = F.array(
+        F.struct((2 * F.col("v")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("v") + 1).alias("s"), F.lit(1).cast("long").alias("d")),
+        F.struct((2 * F.col("v") + 1).alias("e"), leave.alias("s"), F.lit(0).cast("long").alias("d")),
+    )
+    tour = materialize(both.select("c", F.explode(steps).alias("x")).select("c", "x.*"), "quotes-tour")
+    while not tour.where("s != 0").isEmpty():
+        on = tour.select(F.col("c").alias("nc"), F.col("e").alias("ne"), F.col("s").alias("ns"), F.col("d").alias("nd"))
+        met = tour.join(on, tour.c.eqNullSafe(on.nc) & (tour.s == on.ne), "left")
+        tour = materialize(met.select("c", "e", F.coalesce("ns", F.lit(0)).cast("long").alias("s"), (F.col("d") + F.coalesce("nd", F.lit(0))).alias("d")), "quotes-tour")
+    total = tour.groupBy("c").agg(F.max("d").alias("n")).select(F.col("c").alias("tc"), "n")
+    entries = tour.where("e % 2 = 0")
+    return entries.join(total, entries.c.eqNullSafe(total.tc)).select("c", (F.col("e") / 2).cast("long").alias("v"), (F.col("n") - F.col("d")).alias("place"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, copy, role, text, n_quotes, n_linked, reply_turn, reply_copy, position) of every message.
 
-    position numbers the messages of a conversation in reply order, from 0: by the turn of the message replied to, the
-    message itself directly counting as that where it replies to none, then by its own turn.
+    position numbers the messages of a conversation in reply order, from 0: those that reply to none by turn, and each
+    followed by its replies by turn, every one with its own replies.
     """
     said = materialize(passages(messages), "quotes-said")
-    quotes = said.where(F.size("quoted") > 0).select("conv_id", "turn", "copy", F.explode("quoted").alias("q")).select("conv_id", "turn", "copy", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
+    runs = said.where(F.size("quoted") > 0).select("conv_id", "turn", "copy", F.posexplode("quoted").alias("run", "q"))
+    quotes = runs.select("conv_id", "turn", "copy", "run", F.col("q.level").alias("level"), F.explode("q.units").alias("u")).select("conv_id", "turn", "copy", "run", "level", "u.rank", "u.hash")
     wrote = blocks(said).select(F.col("conv_id").alias("c"), F.col("hash").alias("h"), F.col("turn").alias("t"), F.col("copy").alias("k"))
     same = quotes.conv_id.eqNullSafe(wrote.c) & (quotes.hash == wrote.h)
     earlier = F.struct("t", "k") < F.struct("turn", "copy")
     met = quotes.join(wrote, same & earlier, "left")
-    found = met.groupBy(F.col("conv_id").alias("qc"), F.col("turn").alias("qt"), F.col("copy").alias("qk")).agg(
-        F.count(F.lit(1)).alias("n_quotes"), F.count("h").alias("n_linked"), F.max(F.when(F.col("h").isNotNull(), F.struct(-F.col("level"), "t", "k"))).alias("to")
+    linked = met.groupBy("conv_id", "turn", "copy", "run", "level").agg(F.max(F.when(F.col("h").isNotNull(), F.struct(-F.col("rank"), "t", "k"))).alias("best"))
+    found = linked.groupBy(F.col("conv_id").alias("qc"), F.col("turn").alias("qt"), F.col("copy").alias("qk")).agg(
+        F.count(F.lit(1)).alias("n_quotes"), F.count("best").alias("n_linked"), F.max(F.when(F.col("best").isNotNull(), F.struct(-F.col("level"), F.col("best.t").alias("t"), F.col("best.k").alias("k")))).alias("to")
     )
     found = found.withColumn("to", F.struct(F.col("to.t").alias("turn"), F.col("to.k").alias("copy")))
     rows = said.join(found, said.conv_id.eqNullSafe(found.qc) & said.turn.eqNullSafe(found.qt) & (said["copy"] == found.qk), "left")
     rows = rows.select("conv_id", said.turn, said["copy"], "role", F.col("own").alias("text"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quotes", "n_linked")), F.col("to.turn").alias("reply_turn"), F.col("to.copy").alias("reply_copy"))
     names = rows.columns
-    rows = rows.withColumns({"thread": F.coalesce("reply_turn", "turn"), "is_reply": F.col("reply_turn").isNotNull()})
-    placed = numbered(rows, ["conv_id"], ["thread", "is_reply", "turn", "copy"], "position")
-    return placed.select(*names, (F.col("position") - 1).alias("position"))
+    placed = materialize(numbered(rows, ["conv_id"], ["turn", "copy"], "nth"), "quotes-placed")
+    places = tree_places(placed.select("conv_id", "nth", "turn", "copy", "reply_turn", "reply_copy"))
+    told = placed.join(places, placed.conv_id.eqNullSafe(places.c) & (placed.nth == places.v), "left")
+    return told.select(*names, F.coalesce("place", F.col("nth") - 1).alias("position"))

@@ -67,3 +67,23 @@ def test_long_and_empty(spark):
     assert got.n_quotes == 2250
     assert len(got.text.split("\n")) == 750
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_excerpts_and_reply_paths(spark):
+    """Several lines of a message link, as do its runs and paragraphs; replies to replies stay with their thread."""
+    said = [
+        (1, 0, "l1\nl2\nl3"),
+        (1, 1, "other\n\nthing\nmore"),
+        (1, 2, "> l1\n> l2\nfirst answer\nof two lines\n> l3\nsecond answer"),
+        (1, 3, "> thing\n> more\nre thing"),
+        (1, 4, "> first answer\n> of two lines\nagain"),
+        (1, 5, "> again\nstill"),
+        (1, 6, "> l2\n> nobody\nlate"),
+        (None, None, "x"),
+        (None, 1, "> x\ny"),
+    ]
+    rows = spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(rows).collect()
+    assert [(of(got, 1, t).reply_turn, of(got, 1, t).n_quotes, of(got, 1, t).n_linked) for t in range(7)] == [(None, 0, 0), (None, 0, 0), (0, 2, 2), (1, 1, 1), (2, 1, 1), (4, 1, 1), (0, 1, 1)]
+    assert [t for _, t in sorted((r.position, r.turn) for r in got if r.conv_id == 1)] == [0, 2, 4, 5, 6, 1, 3]
+    assert [of(got, None, t).position for t in (None, 1)] == [0, 1]
