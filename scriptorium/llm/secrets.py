@@ -3,8 +3,8 @@
 Strong patterns are reported wherever they are found. The parts of a multipart credential are weak by themselves: an
 access identifier, a secret-looking value, an endpoint. They are reported only when complementary parts occur within
 the same scope: at most ``RADIUS`` code points apart in one text. The interval join is made with window functions over
-the parts of a document in order: the nearest part of each other role before and after decides, so parts are never
-paired with each other.
+the starts and ends of the parts of a document in order: for each other role the last end up to a part's start and the
+first start from its end on decide, so parts are never paired with each other and none that overlap hide another.
 
 Positions are code points. Matches are found once; what lies between them, from splitting at the same pattern, gives
 their places.
@@ -91,16 +91,19 @@ def linked(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     parts = rows.where(F.size("weak") > 0).select(*of, F.explode(F.concat("strong", "weak")).alias("s")).distinct().select(*of, "s.*")
     role = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
     parts = parts.withColumn("role", F.try_element_at(role, F.col("kind")))
-    before = Window.partitionBy(*of).orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*of).orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
+    # an end comes before a start at the same place: parts that touch are apart by nothing, and do not overlap
+    edges = parts.select("*", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("edge")), F.struct(F.col("end").alias("at"), F.lit(0).alias("edge")))).alias("e")).select(*parts.columns, "e.*")
+    before = Window.partitionBy(*of).orderBy("at", "edge").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*of).orderBy(F.desc("at"), F.desc("edge")).rowsBetween(Window.unboundedPreceding, -1)
 
     def near(wanted: str) -> Column:
         # a part that overlaps the span is the same value seen twice, not a complement
-        ahead = F.max(F.when(F.col("role") == wanted, F.col("end"))).over(before)
-        behind = F.min(F.when(F.col("role") == wanted, F.col("start"))).over(after)
-        return F.coalesce((F.col("start") - ahead).between(0, radius), F.lit(False)) | F.coalesce((behind - F.col("end")).between(0, radius), F.lit(False))
+        ahead = F.max(F.when((F.col("role") == wanted) & (F.col("edge") == 0), F.col("at"))).over(before)
+        behind = F.min(F.when((F.col("role") == wanted) & (F.col("edge") == 1), F.col("at"))).over(after)
+        return F.coalesce(F.when(F.col("edge") == 1, F.col("at") - ahead <= radius).otherwise(behind - F.col("at") <= radius), F.lit(False))
 
-    met = parts.select("*", *(near(r).alias(f"near_{r}") for r in ("id", "secret", "endpoint")))
+    met = edges.select("*", *(near(r).alias(f"near_{r}") for r in ("id", "secret", "endpoint")))
+    met = met.groupBy(*of, "kind", "role", "start", "end").agg(*(F.max(f"near_{r}").alias(f"near_{r}") for r in ("id", "secret", "endpoint")))
     whole = (
         F.when(F.col("role") == "id", F.col("near_secret"))
         .when(F.col("role") == "secret", F.col("near_id") | F.col("near_endpoint"))
