@@ -1,8 +1,8 @@
 """Near duplicates by b-bit MinHash.
 
 A document is the set of its distinct word shingles. Equal sets form one class at once. Per class a task computes
-``bands * rows`` minima; the minima of a band hash to a bucket key, and the low bits of all minima are packed into a
-few longs. Classes that meet in a bucket are candidates; bit counts of the packed signatures, corrected for chance
+``bands * rows`` minima; the minima of a band hash to a bucket key, and a few bits of all minima, each mixed first, are
+packed into a few longs. Classes that meet in a bucket are candidates; bit counts of the packed signatures, corrected for chance
 collisions, estimate the similarity; what lies more than five standard errors under the threshold goes, and the
 rest is confirmed exactly on the full sets.
 
@@ -36,7 +36,7 @@ from scriptorium.llm.common import broadcast_if_small, materialize
 
 @dataclass(frozen=True)
 class Near:
-    """shingle: words of a shingle; percent: least similarity; bits: low bits kept of each minimum."""
+    """shingle: words of a shingle; percent: least similarity; bits: bits kept of each minimum."""
 
     shingle: int = 5
     percent: int = 80
@@ -97,14 +97,16 @@ def _minima(x: np.ndarray, near: Near) -> np.ndarray:
 
 
 def sketch(x: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of the bands, and the packed low bits plane by plane."""
+    """Bucket keys of the bands, and the packed bits plane by plane."""
     low = _minima(x, near)
     key = np.arange(near.bands, dtype=np.uint64)
     for column in low.reshape(near.bands, near.rows).T:
         key = _mix(key ^ column)
+    # the low bits of x * a + b depend on those of x alone, so equal ones would be the same for all minima
+    high = _mix(_mix(low ^ (low >> np.uint64(32)))) >> np.uint64(64 - near.bits)
     planes = np.zeros((near.bits, near.longs * 64), np.uint8)
     for p in range(near.bits):
-        planes[p, : near.minima] = (low >> np.uint64(p)) & np.uint64(1)
+        planes[p, : near.minima] = (high >> np.uint64(p)) & np.uint64(1)
     return key.view(np.int64), np.packbits(planes, axis=1).reshape(-1).view(np.int64)
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from scriptorium.llm import near_dup
@@ -106,3 +107,15 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted((r.doc_id is None, r.doc_id or 0, bool(r.text)) for r in kept.collect()) == sorted([(False, 1, True), (False, 2, False), (False, 3, False), (False, 4, True), (False, 5, True), (False, 7, True), (False, 8, True), (True, 0, True), (True, 0, False)])
     assert near_dup.components(no_docs).count() == 0
     assert near_dup.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_bits_keep_short_pairs():
+    """The kept bits of the minima are independent of each other, so that no pair at the threshold is estimated away."""
+    near = near_dup.Near(shingle=2)
+    rng = np.random.default_rng(4)
+    for size in (5, 10):
+        for _ in range(3000 if size == 5 else 1000):
+            x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            one, two = (np.unpackbits(near_dup.sketch(s, near)[1].view(np.uint8)).reshape(near.bits, -1) for s in (x, x[: size * 4 // 5]))
+            differ = (one != two).any(axis=0).sum()
+            assert (1 - differ / near.minima - 0.25) / 0.75 >= near.least_estimate
