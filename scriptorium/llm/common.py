@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join is sent to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Estimated bytes up to which a side of a join is sent to every executor; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,6 +27,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own below the scratch folder."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a Parquet table in the shared scratch folder and read it back.
 
@@ -32,24 +39,45 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     where several later steps read the same rows.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the (materialized) table has been counted and is within the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """An estimate of a row's bytes in memory; arrays and maps count by their elements."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * flat(kind.elementType) + 24
+        if isinstance(kind, T.MapType):
+            return F.coalesce(F.size(c), F.lit(0)) * (flat(kind.keyType) + flat(kind.valueType)) + 48
+        return F.lit(flat(kind))
+
+    def flat(kind: T.DataType) -> int:
+        if isinstance(kind, T.StructType):
+            return 16 + sum(flat(f.dataType) for f in kind.fields)
+        return 48 if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8
+
+    return reduce(lambda x, f: x + of(F.col(f"`{f.name}`"), f.dataType), df.schema.fields, F.lit(16)).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when the bytes of the (materialized) table have been summed up and are within the limit."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit else df
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """The rows numbered from 1 within their group, by order (rows that tie get any order).
+    """The rows numbered from 1 within their group, by order; rows that tie come as they lie in the input.
 
-    The rows are sorted over range partitions, so that a group of any size is spread over as many tasks as it fills;
-    a row's number is its place in its partition plus the rows that the group has in earlier partitions.
+    The rows are sorted over range partitions, so that a group of any size, also of rows that are all the same, is
+    spread over as many tasks as it fills; a row's number is its place in its partition plus the rows that the group
+    has in earlier partitions.
     """
-    keys = [*group, *order]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = [*group, *order, "_tie"]
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = materialize(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
     share = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition

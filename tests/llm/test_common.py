@@ -31,7 +31,7 @@ def test_scratch_folder(spark, tmp_path, monkeypatch):
 
 
 def test_broadcast_only_if_small(spark):
-    small, large = (common.broadcast_if_small(spark.range(n), 10) for n in (10, 11))
+    small, large = (common.broadcast_if_small(spark.range(n), 10 * 24) for n in (10, 11))  # a long and the row itself
     join = lambda side: spark.range(100).join(side, "id")._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in join(small).lower()
     assert "broadcast" not in join(large).lower()
