@@ -5,15 +5,23 @@ packing itself works on the histogram of piece lengths, which has at most ``leng
 there are: bin completion takes the longest piece left, enumerates the undominated fillings of the room beside it
 (no filling could swap a piece, or some pieces, for a longer piece that is left and fits), prunes by waste bounds,
 and starts from the best-fit solution as incumbent. A filling is used as often as the counts allow, so the plan has a
-row for each filling and not for each sequence. Pieces find their sequence by their rank within their length, which
-is counted per (length, salt) group so that no length, however common, meets in one task.
+row for each filling and not for each sequence. Full pieces are sequences of their own and need no rank. The others
+find their sequence by their rank within their length, counted over range partitions, so that no length, however
+common, meets in one task.
 
-Defined results: null or empty text is one piece with the end token alone; repeated rows are packed once each; an
-empty table gives an empty result; other columns of the input are left out.
+The search is bounded: per step at most ``FOUND`` fillings are gathered from ``LOOKS`` looked at, the best ``WIDTHS[-1]`` are
+branched on, and ``NODES`` steps are made in all. Within these bounds it is exact; beyond them its result is the incumbent,
+a whole valid packing that is never longer than the best-fit one.
+
+Defined results: null or empty text is one piece with the end token alone; repeated rows are packed once each; a very
+long text, whatever it is made of, gives the ids of the tokenizer file's own library; an empty table gives an empty
+result; other columns of the input are left out.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -23,27 +31,33 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm.common import materialize
+from scriptorium.llm.common import materialize, numbered
 
 LENGTH = 1024
 END_TOKEN = 2
-SALTS = 64
-#: Fillings looked at before a search falls back on its incumbent, which is always a whole valid packing.
+#: Steps of a search before it falls back on its incumbent, looks and fillings per step, and fillings branched on by round.
 NODES = 20_000
+LOOKS = 2_000
+FOUND = 64
+WIDTHS = (1, 2, 3)
+#: Texts with an unbroken run of so many spaces or of so many other signs are run by the tokenizer file's own library.
+LONG_RUN = re.compile(r"\s{20000}|\S{20000}")
 
 
 def encoder(path: str):
     """A function from a text to its ids, as the tokenizer file at path gives them without special tokens added.
 
     A byte-level BPE file that splits like its well-known pattern is run by the faster library on the same vocabulary;
-    every other file by its own library.
+    every other file by its own library. So are texts with very long runs: the faster one's pattern gives up on them.
     """
     tokenizer = Tokenizer.from_file(path)
-    import json
+
+    def own(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -56,13 +70,17 @@ def encoder(path: str):
     ordered = sorted((i, w) for w, i in model["vocab"].items() if w not in special)
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
     if not usual or [w for _, w in ordered[256:]] != merged or [i for i, _ in ordered] != list(range(len(ordered))):
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        return own
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
     ranks = {bytes(byte[c] for c in w): i for i, w in ordered}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: fast.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        return own(text) if len(text) >= 20_000 and LONG_RUN.search(text) else fast.encode(text, allowed_special="all")
+
+    return encode
 
 
 def piece_bounds(n: int, length: int) -> list[tuple[int, int]]:
@@ -140,7 +158,7 @@ def fillings(largest: int, left: dict[int, int], length: int, waste: int, limit:
     def grow(k: int, rest: int, chosen: list[int]) -> None:
         nonlocal looked
         looked += 1
-        if looked > limit or len(found) >= 64:
+        if looked > limit or len(found) >= FOUND:
             return
         if rest <= waste and not dominated(rest, chosen):
             found.append(tuple(chosen))
@@ -189,7 +207,7 @@ def complete_bins(count: dict[int, int], length: int, nodes: int = NODES) -> lis
             if bins + ceil(sum(s * n for s, n in left.items()) / length) >= best or looked > nodes:
                 return
             largest = max(left)
-            options = fillings(largest, left, length, min(spare, length), 2_000)
+            options = fillings(largest, left, length, min(spare, length), LOOKS)
             if not options:
                 return
             for option in options[1:width]:
@@ -218,7 +236,7 @@ def complete_bins(count: dict[int, int], length: int, nodes: int = NODES) -> lis
     def step(left: dict[int, int], made: list[Filling], bins: int, spare: int, largest: int, option: tuple[int, ...], width: int) -> None:
         search(*take(left, made, bins, spare, largest, option), width)
 
-    for width in (1, 2, 3):
+    for width in WIDTHS:
         if best <= bound:
             break
         search(dict(count), [], 0, (best - 1) * length - total, width)
@@ -240,20 +258,14 @@ def placements(plan: list[Filling]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*sorted(rows), strict=True)) if rows else tuple(np.zeros((5, 0), np.int64))
 
 
-def pack(rows: DataFrame, length: int = LENGTH, salts: int = SALTS) -> DataFrame:
-    """The materialized pieces with sequence_id and offset."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    groups = sorted((r[0], r[1], r[2]) for r in salted.groupBy("length", "salt").count().collect())  # at most length * salts rows
-    count: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}
-    for size, salt, n in groups:
-        first[size, salt] = count.get(size, 0)
-        count[size] = count.get(size, 0) + n
-    table = placements(complete_bins(count, length))
-    begins = rows.sparkSession.createDataFrame([(s, k, n) for (s, k), n in first.items()], "length long, salt int, first_rank long")
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = salted.withColumn("nth", nth).join(F.broadcast(begins), ["length", "salt"]).withColumn("rank", F.col("first_rank") + F.col("nth") - 1)
+def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The materialized pieces with sequence_id and offset; full pieces have negative sequence numbers of their own."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = rows.where(F.col("length") >= length).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = rows.where(F.col("length") < length).select(*names)
+    count = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}  # fewer than `length` rows
+    table = placements(complete_bins(count, length))
+    ranked = numbered(rest, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,12 +273,14 @@ def pack(rows: DataFrame, length: int = LENGTH, salts: int = SALTS) -> DataFrame
         order = size << 44 | rank
         for batch in batches:
             n, r = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            r = r - 1
             k = np.searchsorted(order, n << 44 | r, side="right") - 1
             within = r - rank[k]
             placed = sequence[k] + within // each[k], offset[k] + within % each[k] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, placed)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    found = ranked.select(*names, "rank").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return full.unionByName(found)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:

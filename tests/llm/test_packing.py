@@ -95,6 +95,19 @@ def test_same_ids_as_the_tokenizer():
         assert own(t) == given.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "#", "\u3000", "x" * 300 + " "])
+def test_very_long_texts(unit):
+    text = "begin " + unit * (1_200_000 // len(unit)) + " end"
+    assert packing.encoder(PATH)(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_in_spark(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "\n" * 30_000 + "x"), (3, "word")], "doc_id long, text string")
+    rows = packing.pack_documents(spark, docs, PATH).collect()
+    check_layout(rows, 1024)
+    assert {r.doc_id for r in rows} == {1, 2, 3}
+
+
 @pytest.mark.parametrize("length", [64, 1024])
 def test_round_trip(spark, prose, odd_docs, length):
     rng = random.Random(3)
