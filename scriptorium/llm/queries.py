@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, web_text
-from scriptorium.llm.common import materialize, table
+from scriptorium.llm.common import materialize, new_path, table
 
 #: The key of the sample queries; a real one comes from a secret store.
 KEY = "sample-key"
@@ -69,8 +69,12 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(sharding.records(table(spark, sf_dir, "documents")), "shard-records")
-    placed = sharding.assign(rows, sharding.slot_map(rows, 40))
+    """Forty shards under the law `bytes`, by the latest version of a stored slot map."""
+    rows = sharding.dealt(materialize(sharding.records(table(spark, sf_dir, "documents")), "shard-records"))
+    path = new_path(spark, "shard-map")
+    sharding.store(sharding.slot_map(rows, 40), spark, path)
+    sharding.store(sharding.rebalance(sharding.stored(spark, path)), spark, path)
+    placed = sharding.assign(rows, sharding.stored(spark, path))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
@@ -132,11 +136,29 @@ FROM m
 
 def _strength_sql(children: str) -> str:
     return f"""
-    SELECT CASE WHEN coalesce(w, 0) = 0 OR s <= e THEN {reputation.STRONGEST} ELSE least({reputation.STRONGEST}, greatest({reputation.WEAKEST}, w / (s - e) - 1)) END AS k
-    FROM (SELECT sum(pow(bad - n * m, 2)) AS s, sum(n * m * (1 - m)) AS e, sum(n * m * (1 - m) * (n - 1)) AS w FROM {children} WHERE n > 1 AND m > 0 AND m < 1)
+    SELECT CASE WHEN known < 2 THEN {reputation.WEAKEST} WHEN coalesce(w, 0) = 0 OR s <= e THEN {reputation.STRONGEST} ELSE least({reputation.STRONGEST}, greatest({reputation.WEAKEST}, w / (s - e) - 1)) END AS found
+    FROM (SELECT count(*) AS known, sum(pow(bad - n * m, 2)) AS s, sum(n * m * (1 - m)) AS e, sum(n * m * (1 - m) * (n - 1)) AS w FROM {children} WHERE n > 1 AND m > 0 AND m < 1)
     """
 
 
+def _shrunk_sql(children: str, keys: str) -> str:
+    """keys, the posterior mean m and its size backed."""
+    return f"SELECT {keys}, (m * k + bad) / (k + n) AS m, k + n AS backed FROM (SELECT *, greatest({reputation.WEAKEST}, least(found, backed)) AS k FROM {children}, ({_strength_sql(children)}))"
+
+
+def _suffix_sql() -> str:
+    """The number of labels of the suffix of the labels l."""
+    rules = sorted(reputation.SUFFIX_RULES)
+    listed = lambda found: "(" + ", ".join(f"'{r}'" for r in found) + ")"
+    plain, any_label = listed(r for r in rules if r[0] not in "*!"), listed(r[2:] for r in rules if r[0] == "*")
+    exceptions = listed(r[1:] for r in rules if r[0] == "!")
+    deepest = max(r.count(".") + 1 for r in rules)
+    last = lambda k: f"array_to_string(l[-{k}:], '.')"
+    whens = [f"WHEN len(l) >= {k} AND {last(k)} IN {exceptions} THEN {k - 1}" for k in range(deepest, 1, -1)]
+    whens += [f"WHEN len(l) >= {k} AND ({last(k)} IN {plain} OR {last(k - 1)} IN {any_label}) THEN {k}" for k in range(deepest, 1, -1)]
+    return "CASE " + " ".join(whens) + " ELSE 1 END"
+
+
 def _rule_sql() -> tuple[str, str]:
     ordered = sorted(URL_RULES, key=lambda r: -len(r[1]))
 
@@ -158,18 +180,17 @@ def _reputation_sql() -> str:
     labelled AS (SELECT p.*, greatest(l.toxic, 1 - l.quality) AS bad FROM p LEFT JOIN labels l ON l.doc_id = p.shown),
     hosts AS (
       SELECT host, regexp_replace(host, ':\d*$', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM labelled GROUP BY host),
-    levels AS (
-      SELECT *, string_split(name, '.')[-1] AS suffix,
-        CASE WHEN regexp_matches(name, '(^|\.)example\.[^.]+$') THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain
-      FROM hosts),
-    top AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS m FROM levels GROUP BY suffix),
-    top_rate AS (SELECT suffix, (m * k + bad) / (k + n) AS m FROM top, ({_strength_sql("top")})),
-    middle AS (SELECT domain, d.n, d.bad, t.m FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM levels GROUP BY ALL) d JOIN top_rate t USING (suffix)),
-    middle_rate AS (SELECT domain, n AS domain_n, (m * k + bad) / (k + n) AS m FROM middle, ({_strength_sql("middle")})),
-    low AS (SELECT host, n, bad, m, domain_n FROM levels JOIN middle_rate USING (domain)),
-    rate AS (SELECT host, domain_n, (m * k + bad) / (k + n) AS r, k + n AS size FROM low, ({_strength_sql("low")}))
+    labels AS (SELECT *, string_split(name, '.') AS l FROM hosts),
+    cut AS (SELECT *, {_suffix_sql()} AS k FROM labels),
+    levels AS (SELECT *, array_to_string(l[greatest(len(l) - k + 1, 1):], '.') AS suffix, array_to_string(l[greatest(len(l) - k, 1):], '.') AS domain FROM cut),
+    top AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS m, (SELECT sum(n) FROM hosts) AS backed FROM levels GROUP BY suffix),
+    top_rate AS ({_shrunk_sql("top", "suffix")}),
+    middle AS (SELECT domain, d.n, d.bad, t.m, t.backed FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM levels GROUP BY ALL) d JOIN top_rate t USING (suffix)),
+    middle_rate AS ({_shrunk_sql("middle", "domain")}),
+    low AS (SELECT host, levels.n, levels.bad, m, backed FROM levels JOIN middle_rate USING (domain)),
+    rate AS ({_shrunk_sql("low", "host")})
     SELECT page_id, host, path, {rule} AS rule,
-      coalesce({verdict}, CASE WHEN domain_n > 0 AND r - {reputation.Z} * sqrt(r * (1 - r) / (size + 1)) > {reputation.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+      coalesce({verdict}, CASE WHEN m - {reputation.Z} * sqrt(m * (1 - m) / (backed + 1)) > {reputation.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
     FROM p JOIN rate USING (host)
     """
 

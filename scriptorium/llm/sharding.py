@@ -1,12 +1,17 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of thousands of virtual slots. Bytes and rows are summed per slot, and a small
-versioned map says which shard owns which slot. Rebalancing edits the map and moves whole slots; records keep
-their slot for ever. Only the per-slot sums (at most ``n_slots`` rows) reach the driver.
+versioned map says which shard owns which slot. The map is a table: each version is appended to it, the latest is read
+back, and rebalancing edits that one and appends the next. Records keep their slot for ever; what moves are whole
+slots. Only the per-slot sums (at most ``n_slots`` rows) reach the driver.
 
-Defined results: null text counts as no text (16 bytes), a null doc_id is hashed by its text instead, repeated
-rows are separate records with places of their own, an empty table gives an empty result, other columns of the
-input are left out.
+A slot holds whatever shares its ids. Where repeated ids make a slot heavier than ``HOT`` times the mean of all slots,
+the records of that slot are dealt over all slots by id, text and place in the table instead, so that neither a shard nor a
+task has to hold a repeated id whole.
+
+Defined results: null text counts as no text (16 bytes); a record without a doc_id is dealt by its place in the table,
+having nothing else that tells it from its like; repeated rows are separate records with places of their own; a very long text is
+one record of its size; an empty table gives an empty result; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +24,9 @@ from pyspark.sql import functions as F
 
 N_SLOTS = 4096
 OVERHEAD = 16
+#: A slot of more rows than this many times the mean is dealt anew.
+HOT = 8
+MAP_SCHEMA = "version int, n_shards int, vslot int, shard int, first_place long, slot_bytes long, slot_rows long"
 
 
 @dataclass(frozen=True)
@@ -42,23 +50,40 @@ class SlotMap:
         begin, rows = [0] * self.n_shards, []
         for slot in sorted(self.shard):
             s = self.shard[slot]
-            rows.append((self.version, slot, s, begin[s], self.bytes.get(slot, 0), self.rows.get(slot, 0)))
+            rows.append((self.version, self.n_shards, slot, s, begin[s], self.bytes.get(slot, 0), self.rows.get(slot, 0)))
             begin[s] += self.rows.get(slot, 0)
-        schema = "version int, vslot int, shard int, first_place long, slot_bytes long, slot_rows long"
-        return spark.createDataFrame(rows, schema)
+        return spark.createDataFrame(rows, MAP_SCHEMA)
+
+
+def store(owner: SlotMap, spark: SparkSession, path: str) -> None:
+    """Append a version to the table of maps."""
+    owner.frame(spark).coalesce(1).write.mode("append").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """A version of the map from its table, the latest if none is named."""
+    table = spark.read.schema(MAP_SCHEMA).parquet(path)
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
+    rows = table.where(F.col("version") == version).collect()  # n_slots rows
+    return SlotMap(version, rows[0].n_shards, {r.vslot: r.shard for r in rows}, {r.vslot: r.slot_bytes for r in rows}, {r.vslot: r.slot_rows for r in rows})
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """Size, checksum and virtual slot of each row; the text itself goes no further."""
+    """Size, checksum, place in the table and virtual slot of each row; the text itself goes no further."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("text"), crc)).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(key, F.lit(n_slots)).cast("int").alias("vslot"),
-    )
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("place"), "place")).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
+    return rows.withColumn("vslot", F.pmod(key, F.lit(n_slots)).cast("int"))
+
+
+def dealt(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """The (materialized) records with those of hot slots dealt over all slots."""
+    held = {r[0]: r[1] for r in rows.groupBy("vslot").count().collect()}  # at most n_slots rows
+    most = HOT * max(1, sum(held.values()) / n_slots)
+    hot = sorted(s for s, n in held.items() if n > most)  # fewer than n_slots / HOT, or few rows in all
+    anew = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text_crc32", "place"), F.lit(n_slots)).cast("int")
+    return rows.withColumn("vslot", F.when(F.col("vslot").isin(hot), anew).otherwise(F.col("vslot"))) if hot else rows
 
 
 def slot_map(rows: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
@@ -70,7 +95,7 @@ def slot_map(rows: DataFrame, n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
         held, shard = heapq.heappop(heap)
         owner[slot] = shard
         heapq.heappush(heap, (held + sums.get(slot, (0, 0))[0], shard))
-    return SlotMap(1, n_shards, owner, {s: v[0] for s, v in sums.items()}, {s: v[1] for s, v in sums.items()})
+    return SlotMap(1, n_shards, owner, *({s: sums.get(s, (0, 0))[k] for s in range(n_slots)} for k in (0, 1)))
 
 
 def rebalance(old: SlotMap, n_shards: int | None = None, slack: float = 0.02) -> SlotMap:
@@ -104,6 +129,6 @@ def rebalance(old: SlotMap, n_shards: int | None = None, slack: float = 0.02) ->
 
 def assign(rows: DataFrame, owner: SlotMap) -> DataFrame:
     """Each record's shard and its place there; rows are numbered inside their virtual slot, never over a whole shard."""
-    place = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    place = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "place")
     owners = F.broadcast(owner.frame(rows.sparkSession).select("vslot", "shard", "first_place"))  # at most n_slots rows
     return rows.withColumn("nth", F.row_number().over(place)).join(owners, "vslot").withColumn("slot", F.col("first_place") + F.col("nth") - 1)

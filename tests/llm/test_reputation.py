@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -7,6 +8,19 @@ from scriptorium.llm import reputation
 from scriptorium.llm.queries import URL_RULES
 
 
+def registered(host):
+    """(registered domain, suffix) by trying every rule on the labels."""
+    labels = re.sub(r":\d*$", "", host).split(".")
+    fitting = []
+    for rule in reputation.SUFFIX_RULES:
+        wanted = rule.lstrip("!").split(".")
+        if len(wanted) <= len(labels) and all(w in ("*", x) for w, x in zip(wanted, labels[-len(wanted) :], strict=True)):
+            fitting.append((rule.startswith("!"), len(wanted)))
+    exception, n = max(fitting, default=(False, 1))
+    n -= exception
+    return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+
 def brute(rows):
     """Posterior mean per host, level by level."""
     n, bad = defaultdict(float), defaultdict(float)
@@ -18,17 +32,17 @@ def brute(rows):
             bad[host] += b
 
     def parents(h):
-        parts = h.split(".")
-        return ".".join(parts[-3:]) if len(parts) > 1 and parts[-2] == "example" else ".".join(parts[-2:]), parts[-1]
-
-    def strength(level):
-        level = [x for x in level if x[0] > 1 and 0 < x[2] < 1]
-        spread = sum((b - k * m) ** 2 for k, b, m in level)
-        expected = sum(k * m * (1 - m) for k, b, m in level)
-        weight = sum(k * m * (1 - m) * (k - 1) for k, b, m in level)
-        if not weight or spread <= expected:
-            return 200.0
-        return min(200.0, max(2.0, weight / (spread - expected) - 1))
+        return registered(h)
+
+    def shrunk(level):
+        """From (n, bad, prior mean, pages behind it) to (posterior mean, its size)."""
+        known = [x for x in level.values() if x[0] > 1 and 0 < x[2] < 1]
+        spread = sum((b - k * m) ** 2 for k, b, m, _ in known)
+        expected = sum(k * m * (1 - m) for k, b, m, _ in known)
+        weight = sum(k * m * (1 - m) * (k - 1) for k, b, m, _ in known)
+        s = 2.0 if len(known) < 2 else 200.0 if not weight or spread <= expected else min(200.0, max(2.0, weight / (spread - expected) - 1))
+        k = {c: max(2.0, min(s, x[3])) for c, x in level.items()}
+        return {c: ((m * k[c] + b) / (k[c] + a), k[c] + a) for c, (a, b, m, _) in level.items()}
 
     def sums(key):
         out = defaultdict(lambda: [0.0, 0.0])
@@ -37,16 +51,12 @@ def brute(rows):
             out[key(h)][1] += bad[h]
         return out
 
-    overall = (sum(bad.values()) + 0.5) / (sum(n.values()) + 1)
-    top = sums(lambda h: parents(h)[1])
-    k = strength([(a, b, overall) for a, b in top.values()])
-    top = {s: (overall * k + b) / (k + a) for s, (a, b) in top.items()}
-    middle = {d: (a, b, top[d.rsplit(".", 1)[-1]]) for d, (a, b) in sums(lambda h: parents(h)[0]).items()}
-    k = strength(middle.values())
-    middle = {d: (m * k + b) / (k + a) for d, (a, b, m) in middle.items()}
-    low = {h: (n[h], bad[h], middle[parents(h)[0]]) for h in hosts}
-    k = strength(low.values())
-    return {h: (m * k + b) / (k + a) for h, (a, b, m) in low.items()}
+    total = sum(n.values())
+    overall = (sum(bad.values()) + 0.5) / (total + 1)
+    top = shrunk({s: (a, b, overall, total) for s, (a, b) in sums(lambda h: registered(h)[1]).items()})
+    middle = shrunk({d: (a, b, *top[registered(d)[1]]) for d, (a, b) in sums(lambda h: registered(h)[0]).items()})
+    low = shrunk({h: (n[h], bad[h], *middle[registered(h)[0]]) for h in hosts})
+    return {h: m for h, (m, _) in low.items()}
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +64,7 @@ def outcomes():
     rng = random.Random(5)
     rows = []
     for h in range(40):
-        host = f"{rng.choice(['www', 'm', 'blog'])}.site{h % 15}.example.{rng.choice(['com', 'net', 'org'])}"
+        host = f"{rng.choice(['www', 'm', 'blog'])}.site{h % 15}.{rng.choice(['com', 'net', 'co.uk'])}"
         rate = 0.9 if h % 15 == 3 else rng.choice([0.02, 0.1])
         rows += [(host, None if rng.random() < 0.5 else int(rng.random() < rate)) for _ in range(rng.randrange(1, 60))]
     return rows
@@ -71,6 +81,24 @@ def test_against_brute_force(spark, outcomes):
     assert any(got[h].lower_bound > reputation.LIMIT for h in got)
 
 
+def test_registered_domains(spark):
+    hosts = ["www.bbc.co.uk", "shop.evil.co.uk", "co.uk", "a.b.com", "com", "", "localhost", "a.b.com:8080", "x.y.z.ck", "www.ck", "a.www.ck", "a.city.kawasaki.jp", "a.b.c.kawasaki.jp", "me.github.io", "you.github.io", "a.example.com", "10.0.0.1", "..", "a..com"]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    for r in frame.select("host", *(c.alias(n) for n, c in zip(("domain", "suffix"), reputation.levels(frame.host), strict=True))).collect():
+        assert (r.domain, r.suffix) == registered(r.host), r.host
+    assert registered("www.bbc.co.uk") == ("bbc.co.uk", "co.uk")
+    assert registered("a.city.kawasaki.jp") == ("city.kawasaki.jp", "kawasaki.jp")
+
+
+def test_the_bound_decides_for_hosts_without_labels(spark):
+    """All that is known of a suffix is bad, so a new domain there is blocked, and elsewhere it is not."""
+    rows = [(i, f"http://s{i}.xx/1") for i in range(300)] + [(1000 + i, f"http://s{i}.yy/1") for i in range(300)]
+    frame = spark.createDataFrame([*rows, (5000, "http://new.xx/"), (5001, "http://new.yy/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in rows], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in reputation.judge(frame, labels, []).collect()}
+    assert (got[5000], got[5001]) == ("block", "allow")
+
+
 def rule_of(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -94,12 +122,12 @@ def test_rules(spark):
 
 
 def test_bad_hosts_are_blocked(spark):
-    pages = [(i, f"http://spam.example.org/{i}") for i in range(50)] + [(100 + i, f"http://good{i % 9}.example.org/{i}") for i in range(90)]
-    frame = spark.createDataFrame([*pages, (None, None), (None, None), (500, "http://spam.example.org/unlabelled")], "page_id long, url string")
+    pages = [(i, f"http://spam.spammers.org/{i}") for i in range(50)] + [(100 + i, f"http://good{i % 9}.org/{i}") for i in range(90)]
+    frame = spark.createDataFrame([*pages, (None, None), (None, None), (500, "http://spam.spammers.org/unlabelled")], "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i < 50)) for i, _ in pages] + [(None, 1), (3, 1)], "page_id long, bad int")
     rows = reputation.judge(frame, labels, []).collect()
     assert len(rows) == 143
-    assert {r.host for r in rows if r.verdict == "block"} == {"spam.example.org"}
+    assert {r.host for r in rows if r.verdict == "block"} == {"spam.spammers.org"}
     assert sum(r.verdict == "block" for r in rows) == 51
 
 

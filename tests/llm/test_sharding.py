@@ -59,9 +59,35 @@ def test_map_is_a_table(spark, rows):
     assert table.agg({"slot_rows": "sum"}).first()[0] == 1401
 
 
+def test_versions_of_a_stored_map(spark, rows, tmp_path):
+    path = str(tmp_path / "map")
+    first = sharding.slot_map(rows, 10)
+    sharding.store(first, spark, path)
+    assert sharding.stored(spark, path) == first
+    sharding.store(sharding.rebalance(sharding.stored(spark, path), 11), spark, path)
+    second = sharding.stored(spark, path)
+    assert (second.version, second.n_shards) == (2, 11)
+    assert sharding.stored(spark, path, 1) == first
+    before, after = ({r.place: (r.vslot, r.shard) for r in sharding.assign(rows, m).collect()} for m in (first, second))
+    assert all(before[p][0] == after[p][0] for p in before)
+    assert {after[p][1] for p in before if before[p][1] != after[p][1]} == {10}
+
+
+@pytest.mark.parametrize("hot", ["null", "7"])
+def test_bytes_stay_near_equal_with_a_hot_id(spark, hot):
+    """A third of the rows have no id, or one and the same."""
+    docs = spark.range(20_000, numPartitions=4).selectExpr(f"if(id % 3 = 0, {hot}, id) as doc_id", "if(id % 3 = 0, null, repeat('x', 40 + cast(id % 50 as int))) as text")
+    rows = sharding.dealt(materialize(sharding.records(docs.selectExpr("cast(doc_id as long) as doc_id", "text")), "test-records"))
+    placed = sharding.assign(rows, sharding.slot_map(rows, 40)).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    load = [r["sum(size)"] for r in placed]
+    assert len(load) == 40 and max(load) <= 1.02 * sum(load) / 40 and min(load) >= 0.98 * sum(load) / 40
+    assert all(r["max(slot)"] == r["count(1)"] - 1 for r in placed)
+    assert rows.groupBy("vslot").count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_odd_rows(odd_docs, no_docs):
     for docs, n in ((odd_docs, 12), (no_docs, 0)):
-        rows = materialize(sharding.records(docs), "test-records")
+        rows = sharding.dealt(materialize(sharding.records(docs), "test-records"))
         placed = sharding.assign(rows, sharding.slot_map(rows, 3)).collect()
         assert len(placed) == n
         assert len({(r.shard, r.slot) for r in placed}) == n
