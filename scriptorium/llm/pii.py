@@ -2,27 +2,40 @@
 
 Detected entities get keyed surrogates of their own type and format: an entity is first brought to a normal form, and
 a keyed hash of type and normal form gives the surrogate, so all mentions of an entity in all documents change alike.
-Names are replaced part by part: the title stays, given names follow its gender, and the script stays that of the
-name, so that "Mr Ivan Petrov" and "Mr Petrov" still name one person.
+Names are found behind titles and replaced word by word, whatever title stands before them; within a document, capitalised
+mentions of these words without a title go too. The title, hyphens and capitals stay; the form follows the gender that the
+titles of the corpus give a first name (else its ending), the letters its script: Latin, Cyrillic, Greek, Armenian, and Latin
+for all others. Phone numbers keep their country code, and ten digits without one are read as North American, so that
+both spellings are one number. Cards and IBANs whose check digits hold get surrogates whose check digits hold. Sixteen digits are
+taken for a card in any case, other lengths and IBANs only if their check digits hold.
 
 Collision checks: the distinct entities are grouped by surrogate, and where two meet, or a surrogate is itself an
-entity of the corpus, all but the first take their next attempt, until none is left. The few entities that did not
-keep their first attempt are joined back to the documents that mention them; all others need no join.
+entity of the corpus, all but the first take their next attempt, until none is left. An entity that has lost ``LAST``
+attempts, as where a form has hardly any values left, gets its type and a keyed hash instead of its format, so that this ends. The
+few entities that did not keep their first attempt are joined back to the documents that mention them; all others need no join.
 
-Defined results: null text stays null, text without entities stays as it is, repeated rows change alike, an empty
-table stays empty, and all other columns (of any name) are kept.
+Defined results: null text stays null, text without entities stays as it is, repeated rows change alike, very long texts are
+searched whole, an empty table stays empty, and all other columns (of any name) are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import broadcast_if_small, materialize
 
-MALE = "Mr|Mister|Sir|Herr|Señor|Monsieur|Господин"
-FEMALE = "Mrs|Ms|Miss|Madam|Frau|Señora|Señorita|Madame|Mme|Mlle|Госпожа"
-ANY = "Dr|Prof"
+
+def _cased(titles: str) -> str:
+    return "|".join([titles, titles.upper()])
+
+
+MALE = _cased("Mr|Mister|Sir|Herr|Señor|Monsieur|Господин|Κύριος")
+FEMALE = _cased("Mrs|Ms|Miss|Madam|Frau|Señora|Señorita|Madame|Mme|Mlle|Госпожа|Κυρία")
+ANY = _cased("Dr|Prof")
+TITLE = rf"^(?:{MALE}|{FEMALE}|{ANY})\.? "
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Patterns by type, tried in this order at each place.
@@ -38,15 +51,26 @@ PATTERNS = {
 PATTERN = "|".join(PATTERNS.values())
 #: What every entity contains; other texts are not searched.
 HINT = rf"[@0-9]|{MALE}|{FEMALE}|{ANY}"
-SYLLABLES = "ba be bi bo da de do fa fe ga ge ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa ta".split()
-SYLLABLES_CYRILLIC = "ба бе би бо да де до фа фе га ге ка ке ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са та".split()
-ENDING = {"given_f": ("na", "на"), "given_m": ("rt", "рт"), "given_x": ("s", "с"), "surname": ("ld", "лд")}
+#: Syllables of surrogate names, their letters, and the same letters in other scripts.
+SYLLABLES = [c + v for c in "bdfghjklmnprstvz" for v in "aeio"]
+LETTERS = "abdefghijklmnoprstvz"
+SCRIPTS = {"Cyrillic": "абдефгхийклмнопрствз", "Greek": "αβδεφγχιξκλμνοπρστψζ", "Armenian": "աբդեֆգհիջկլմնօպրստվզ"}
+#: What ends a surrogate of a female and of a male form, and how first names end that are read as female without a title.
+ENDING = {True: "na", False: "rt"}
+FEMALE_END = "[aeiаяηα]$"
+#: Country codes of two digits (the others have one, 1 and 7, or three).
+TWO_DIGITS = r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Attempts that keep the format.
+LAST = 24
 
 
-def entities(text: Column) -> Column:
-    """The detected entities in order."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def found_by(text: Column, pattern: Column) -> Column:
+    return F.regexp_extract_all(text, pattern, F.lit(0))
 
 
 def kind_of(entity: Column) -> Column:
@@ -56,69 +80,117 @@ def kind_of(entity: Column) -> Column:
     return kind.when(entity.rlike(r"\d"), "iban").otherwise("name")
 
 
+def luhn(digits: Column) -> Column:
+    """The sum whose last digit is 0 in a valid number."""
+    twice = lambda c, i: c.try_cast("int") * (1 + i % 2)
+    return F.aggregate(F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.coalesce(twice(c, i) - F.when(twice(c, i) > 9, 9).otherwise(0), F.lit(0))), F.lit(0), lambda x, y: x + y)
+
+
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of letters and digits read as one number, A as 10 and so on."""
+    value = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.position(c, F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")) - 1)
+    return F.aggregate(value, F.lit(0), lambda x, v: (x * F.when(v < 10, 10).otherwise(100) + v) % 97)
+
+
+def name_tokens(entity: Column) -> Column:
+    return F.split(F.regexp_replace(entity, TITLE, ""), "[ -]")
+
+
 def parts(entity: Column) -> Column:
-    """(kind, norm) of what is replaced in an entity: one part, or each word of a name after the title."""
-    kind = kind_of(entity)
-    digits = F.regexp_replace(entity, r"\D", "")
+    """(kind, norm, said) of what is replaced in an entity: one part, or each word of a name after the title.
+
+    said is f or m where the word is a first name behind a title that tells. Entities whose check digits rule them out have no parts.
+    """
+    read = F.struct(entity.alias("entity"), kind_of(entity).alias("kind"), F.regexp_replace(entity, r"\D", "").alias("digits"), F.regexp_replace(entity, " ", "").alias("plain"), name_tokens(entity).alias("tokens"))
+    return let(read, _parts)
+
+
+def _parts(v: Column) -> Column:
     norm = (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind == "ip", entity)
-        .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when((kind == "phone") & entity.startswith("+"), F.concat(F.lit("+"), digits))
-        .otherwise(digits)
+        F.when(v.kind == "email", F.lower(v.entity))
+        .when(v.kind == "ip", v.entity)
+        .when(v.kind == "iban", v.plain)
+        .when((v.kind == "phone") & v.entity.startswith("+"), F.concat(F.lit("+"), v.digits))
+        .when((v.kind == "phone") & (F.length(v.digits) == 10), F.concat(F.lit("+1"), v.digits))
+        .otherwise(v.digits)
     )
-    tokens = F.split(F.regexp_replace(entity, r"^\p{L}+\.? ", ""), "[ -]")
-    given = F.when(entity.rlike(rf"^(?:{FEMALE})\b"), "given_f").when(entity.rlike(rf"^(?:{MALE})\b"), "given_m").otherwise("given_x")
-    named = F.transform(tokens, lambda t, i: F.struct(F.when(i == F.size(tokens) - 1, "surname").otherwise(given).alias("kind"), F.lower(t).alias("norm")))
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    whole_iban = F.concat(F.substring(v.plain, 5, 99), F.substring(v.plain, 1, 4))
+    ruled_out = (v.kind == "card") & (F.length(v.digits) != 16) & (luhn(v.digits) % 10 != 0) | (v.kind == "iban") & (mod97(whole_iban) != 1)
+    title = F.when(v.entity.rlike(rf"^(?:{FEMALE})\b"), "f").when(v.entity.rlike(rf"^(?:{MALE})\b"), "m")
+    none = F.lit(None).cast("string")
+    named = F.transform(v.tokens, lambda t, i: F.struct(F.lit("name").alias("kind"), F.lower(t).alias("norm"), F.when((i == 0) & (F.size(v.tokens) > 1), title).otherwise(none).alias("said")))
+    whole = F.filter(F.array(F.struct(v.kind.alias("kind"), norm.alias("norm"), none.alias("said"))), lambda _: ~ruled_out)
+    return F.when(v.kind == "name", named).otherwise(whole)
+
+
+def entities(text: Column) -> Column:
+    """What the patterns find, in order, names only behind titles."""
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(HINT), found_by(text, F.lit(PATTERN))).otherwise(none)
+
+
+def with_bare_names(found: Column) -> Column:
+    """The pattern for a text in which these entities were found: capitalised words of its names go without a title too."""
+    words = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: e.rlike(TITLE)), name_tokens)))
+    words = F.filter(words, lambda w: F.length(w) > 2)
+    one = F.concat(F.lit(r"(?=\p{Lu})(?iu:"), F.array_join(words, "|"), F.lit(")") , F.lit(_END))
+    bare = F.concat(F.lit("|" + _EDGE), one, F.lit("(?:[ -]"), one, F.lit(")*"))
+    return F.when(F.coalesce(F.size(words), F.lit(0)) > 0, F.concat(F.lit(PATTERN), bare)).otherwise(F.lit(PATTERN))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+def female(norm: Column) -> Column:
+    """The gender that a name is read as without a title that tells."""
+    return norm.rlike(FEMALE_END)
+
+
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str, is_female: Column | None = None) -> Column:
     """The surrogate of a normal form, itself in normal form."""
+    is_female = female(norm) if is_female is None else is_female
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
-    digits = F.translate(stream, "abcdef", "012345")
+    code = F.when(norm.rlike(r"^\+[17]"), 2).when(norm.rlike(TWO_DIGITS), 3).when(norm.startswith("+"), 4).otherwise(0)
+    respelled = F.when(kind == "name", "").when(kind == "email", F.substring_index(norm, "@", 1)).otherwise(norm)
+    kept = F.when(kind == "phone", code).when(kind == "iban", 2).otherwise(0)
+    given = F.struct(kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), is_female.alias("is_female"), stream.alias("stream"), respelled.alias("source"), kept.alias("kept"))
+    return let(given, lambda v: let(F.struct(*(v[c].alias(c) for c in ("kind", "norm", "attempt", "is_female", "stream")), _spelled(v).alias("spelled")), _formed))
 
-    def at(source: Column, i: Column) -> Column:
-        return F.substring(source, i % 64 + 1, F.lit(1))
 
-    def byte(i: int) -> Column:
-        return F.conv(F.substring(stream, 2 * i + 1, 2), 16, 10).cast("int")
+def _in_script(text: Column, norm: Column) -> Column:
+    """Lower-case Latin letters as letters of the script of the normal form."""
+    return F.coalesce(*(F.when(norm.rlike(rf"\p{{Is{name}}}"), F.translate(text, LETTERS, letters)) for name, letters in SCRIPTS.items()), text)
 
-    def spelled(source: Column, kept: Column) -> Column:
-        """Each letter and digit after the kept ones by another of its kind and script."""
-        latin, cyrillic = F.translate(stream, "0123456789abcdef", "abdefgiklmnoprst"), F.translate(stream, "0123456789abcdef", "абвгдеиклмнопрст")
 
-        def other(c: Column, i: Column) -> Column:
-            new = F.when(i < kept, c).when(c.rlike("[0-9]"), at(digits, i)).when(c.rlike("[A-Z]"), F.upper(at(latin, i)))
-            return new.when(c.rlike(r"\p{IsCyrillic}"), at(cyrillic, i)).when(c.rlike(r"\p{L}"), at(latin, i)).otherwise(c)
+def _spelled(v: Column) -> Column:
+    """Each letter and digit after the kept ones by another of its kind and script."""
+    digits, latin = F.translate(v.stream, "abcdef", "012345"), F.translate(v.stream, "0123456789abcdef", "abdefgiklmnoprst")
+    at = lambda source, i: F.substring(source, i % 64 + 1, F.lit(1))
 
-        return F.array_join(F.transform(F.split(source, ""), other), "")
+    def other(c: Column, i: Column) -> Column:
+        new = F.when(i < v.kept, c).when(c.rlike("[0-9]"), at(digits, i)).when(c.rlike("[A-Z]"), F.upper(at(latin, i)))
+        return new.when(c.rlike("[a-z]"), at(latin, i)).when(c.rlike(r"\p{L}"), _in_script(at(latin, i), v.norm)).otherwise(c)
 
-    def syllables(cyrillic: bool) -> Column:
-        table = F.array(*map(F.lit, SYLLABLES_CYRILLIC if cyrillic else SYLLABLES))
-        count = F.least(attempt + 3, F.lit(12))
-        made = F.transform(F.slice(F.array(*(byte(i) for i in range(12))), 1, count), lambda b: F.get(table, b % 32))
-        ending = F.coalesce(*(F.when(kind == k, F.lit(e[cyrillic])) for k, e in ENDING.items()))
-        return F.concat(F.array_join(made, ""), ending)
+    return F.array_join(F.transform(F.split(v.source, ""), other), "")
 
-    email = F.concat(spelled(F.substring_index(norm, "@", 1), F.lit(0)), F.lit("@"), F.concat(F.lit("m"), F.substring(stream, 33, 12), F.lit(".example")))
+
+def _formed(v: Column) -> Column:
+    byte = lambda i: F.conv(F.substring(v.stream, 2 * i + 1, 2), 16, 10).cast("int")
+    bytes_ = F.transform(F.sequence(F.lit(0), F.least(v.attempt + 3, F.lit(11))), lambda i: F.conv(F.substring(v.stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    made = F.transform(bytes_, lambda b: F.get(F.array(*map(F.lit, SYLLABLES)), b % len(SYLLABLES)))
+    name = _in_script(F.concat(F.array_join(made, ""), F.when(v.is_female, ENDING[True]).otherwise(ENDING[False])), v.norm)
+    email = F.concat(v.spelled, F.lit("@"), F.concat(F.lit("m"), F.substring(v.stream, 33, 12), F.lit(".example")))
     ip = F.concat_ws(".", *((byte(i) % 254 + 1).cast("string") for i in range(4)))
-    code = F.when(norm.rlike(r"^\+[17]"), 2).when(norm.startswith("+"), 3).otherwise(0)
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ip", ip)
-        .when(kind == "phone", spelled(norm, code))
-        .when(kind == "iban", spelled(norm, F.lit(2)))
-        .when(kind.isin("card", "ssn"), spelled(norm, F.lit(0)))
-        .when(norm.rlike(r"^\p{IsCyrillic}"), syllables(True))
-        .otherwise(syllables(False))
-    )
+    body = F.substring(v.spelled, F.lit(1), F.length(v.norm) - 1)
+    card = F.when(luhn(v.norm) % 10 == 0, F.concat(body, ((10 - luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))).otherwise(v.spelled)
+    account, country = F.substring(v.spelled, 5, 99), F.substring(v.norm, 1, 2)
+    iban = F.concat(country, F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    formed = F.when(v.kind == "email", email).when(v.kind == "ip", ip).when(v.kind == "iban", iban).when(v.kind == "card", card).when(v.kind == "name", name).otherwise(v.spelled)
+    return F.when(v.attempt < LAST, formed).otherwise(F.concat(v.kind, F.lit("-"), F.substring(v.stream, 1, 24)))
 
 
 def poured(entity: Column, norm: Column) -> Column:
-    """The letters and digits of a normal form in the punctuation of an entity."""
-    plain = F.regexp_replace(norm, "[^0-9A-Za-z]", "")
-    seen = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+    """The last letters and digits of a normal form in the punctuation of an entity."""
+    kept = lambda text: F.regexp_replace(text, "[^0-9A-Za-z]", "")
+    plain = F.right(kept(norm), F.length(kept(entity)))
+    seen = lambda i: F.length(kept(F.substring(entity, F.lit(1), i + 1)))
     return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(plain, seen(i), F.lit(1))).otherwise(c)), "")
 
 
@@ -126,27 +198,41 @@ def _part_key(kind: Column, norm: Column) -> Column:
     return F.concat_ws("|", kind, norm)
 
 
-def replacement(entity: Column, attempts: Column, key: str) -> Column:
-    """The surrogate of an entity in its format; attempts maps part keys to attempts other than the first."""
-    new = F.transform(parts(entity), lambda p: F.struct(p.kind.alias("kind"), surrogate(p.kind, p.norm, F.coalesce(F.try_element_at(attempts, _part_key(p.kind, p.norm)), F.lit(0)), key).alias("norm")))
-    title = F.regexp_extract(entity, r"^\p{L}+\.? ", 0)
-    named = F.concat(title, F.array_join(F.transform(new, lambda p: F.initcap(p.norm)), " "))
-    first = F.transform(new, lambda p: F.when(p.kind.isin("email", "ip"), p.norm).otherwise(poured(entity, p.norm)))
-    return F.when(kind_of(entity) == "name", named).otherwise(F.get(first, F.lit(0)))
+def replacement(entity: Column, codes: Column, key: str) -> Column:
+    """The surrogate of an entity in its format; codes maps part keys to twice the attempt, plus one if the gender is not the one read off."""
+
+    def new(p: Column) -> Column:
+        code = F.coalesce(F.try_element_at(codes, _part_key(p.kind, p.norm)), F.lit(0))
+        attempt = F.floor(code / 2).cast("int")
+        return F.struct(p.kind.alias("kind"), surrogate(p.kind, p.norm, attempt, key, female(p.norm) != (code % 2 == 1)).alias("norm"), (attempt < LAST).alias("formed"))
+
+    def written(v: Column) -> Column:
+        body = F.regexp_replace(v.entity, TITLE, "")
+        tokens, joints = F.split(body, "[ -]"), F.regexp_extract_all(body, F.lit("[ -]"), F.lit(0))
+        as_written = lambda p, t: F.when(~p.formed, p.norm).when((F.length(t) > 1) & (t == F.upper(t)), F.upper(p.norm)).otherwise(F.initcap(p.norm))
+        named = F.array_join(F.transform(v.made, lambda p, i: F.concat(as_written(p, F.get(tokens, i)), F.coalesce(F.get(joints, i), F.lit("")))), "")
+        one = F.get(v.made, F.lit(0))
+        plain = F.when(one.formed & ~one.kind.isin("email", "ip"), poured(v.entity, one.norm)).otherwise(one.norm)
+        return F.when(F.size(v.made) == 0, v.entity).when(one.kind == "name", F.concat(F.regexp_extract(v.entity, TITLE, 0), named)).otherwise(plain)
+
+    return let(F.struct(entity.alias("entity"), F.transform(parts(entity), new).alias("made")), written)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, kind, norm), distinct: what is mentioned where."""
+    """(doc_id, text_hash, kind, norm, said), distinct: what is mentioned where."""
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(entities(F.col("text"))).alias("entity"))
-    return found.select("doc_id", "text_hash", F.explode(parts(F.col("entity"))).alias("p")).select("doc_id", "text_hash", "p.kind", "p.norm").distinct()
+    return found.select("doc_id", "text_hash", F.explode(parts(F.col("entity"))).alias("p")).select("doc_id", "text_hash", "p.*").distinct()
 
 
 def later_attempts(mentions: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt) of the entities whose first surrogate collides."""
-    known = mentions.select("kind", "norm").distinct()
+    """(kind, norm, code) of the entities whose first surrogate collides, or whose gender is not the one read off."""
+    votes = lambda g: F.count(F.when(F.col("said") == g, 1))
+    known = mentions.groupBy("kind", "norm").agg(votes("f").alias("f"), votes("m").alias("m"))
+    told = F.when(F.col("f") > F.col("m"), True).when(F.col("m") > F.col("f"), False).otherwise(female(F.col("norm")))
+    known = known.select("kind", "norm", told.alias("female"))
 
     def given(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        return rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key, F.col("female")))
 
     held = materialize(given(known.withColumn("attempt", F.lit(0))), "pii-surrogates")
     while True:
@@ -156,9 +242,10 @@ def later_attempts(mentions: DataFrame, key: str) -> DataFrame:
         real = held.select("kind", F.col("norm").alias("surrogate"))
         lost = materialize(lost.unionByName(held.join(real, ["kind", "surrogate"], "left_semi").select("kind", "norm")).distinct(), "pii-lost")
         if lost.isEmpty():
-            return held.where("attempt > 0").select("kind", "norm", "attempt")
+            code = 2 * F.col("attempt") + F.when((F.col("kind") == "name") & (F.col("female") != female(F.col("norm"))), 1).otherwise(0)
+            return held.select("kind", "norm", code.alias("code")).where("code > 0")
         again = held.join(broadcast_if_small(lost.withColumn("lost", F.lit(1))), ["kind", "norm"], "left")
-        held = materialize(given(again.select("kind", "norm", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))), "pii-surrogates")
+        held = materialize(given(again.select("kind", "norm", "female", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))), "pii-surrogates")
 
 
 def replace_pii(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
@@ -168,18 +255,24 @@ def replace_pii(docs: DataFrame, key: str, count: str | None = None) -> DataFram
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc_id, text = (plain[names[docs.columns.index(c)]] for c in ("doc_id", "text"))
+    none = F.create_map().cast("map<string,int>")
     if late.isEmpty():
-        rows = plain.withColumn("_attempts", F.create_map().cast("map<string,int>"))
+        rows = plain.withColumn("_codes", none)
     else:
-        of_doc = mentions.join(broadcast_if_small(late), ["kind", "norm"]).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        of_doc = materialize(of_doc.agg(F.map_from_entries(F.collect_list(F.struct(_part_key(F.col("kind"), F.col("norm")), "attempt"))).alias("_attempts")), "pii-attempts")
+        of_doc = mentions.select("doc_id", "text_hash", "kind", "norm").distinct().join(broadcast_if_small(late), ["kind", "norm"]).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        of_doc = materialize(of_doc.agg(F.map_from_entries(F.collect_list(F.struct(_part_key(F.col("kind"), F.col("norm")), "code"))).alias("_codes")), "pii-codes")
         rows = plain.join(broadcast_if_small(of_doc), doc_id.eqNullSafe(of_doc["_id"]) & (F.xxhash64(text) == of_doc["_hash"]), "left")
-        rows = rows.withColumn("_attempts", F.coalesce("_attempts", F.create_map().cast("map<string,int>")))
+        rows = rows.withColumn("_codes", F.coalesce("_codes", none))
     body = names[docs.columns.index("text")]
-    rows = rows.select(*names, "_attempts", entities(F.col(body)).alias("_found"))
-    rows = rows.withColumn("_new", F.transform("_found", lambda e: replacement(e, F.col("_attempts"), key)))
-    between = F.split(F.col(body), PATTERN, -1)
+    rows = rows.select(*names, "_codes", entities(F.col(body)).alias("_titled"))
+    rows = rows.select(*names, "_codes", "_titled", with_bare_names(F.col("_titled")).alias("_pattern"))
+    # only texts with names are searched again, for those without a title
+    found = F.when(F.length("_pattern") > len(PATTERN), found_by(F.col(body), F.col("_pattern"))).otherwise(F.col("_titled"))
+    rows = rows.select(*names, "_codes", "_pattern", found.alias("_found"))
+    rows = rows.withColumn("_new", F.transform("_found", lambda e: replacement(e, F.col("_codes"), key)))
+    between = F.split(F.col(body), F.col("_pattern"), -1)
     woven = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), F.col("_new").alias("n")), lambda z: F.array(z.b, F.coalesce(z.n, F.lit(""))))), "")
     rows = rows.withColumn(body, F.when(F.size("_found") > 0, woven).otherwise(F.col(body)))
-    out = rows.select(*names, *([F.size("_found").cast("long").alias("_count")] if count else []))
+    number = F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"])), F.lit(0)).cast("long")
+    out = rows.select(*names, *([number.alias("_count")] if count else []))
     return out.toDF(*docs.columns, *([count] if count else []))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -45,7 +46,7 @@ def test_coreference_gender_and_script(replaced):
     assert mail.search(replaced[1][0])[0] == mail.search(replaced[2][0])[0]
     digits = [re.sub(r"\D", "", re.search(r"\+1[^a-z]*\d", replaced[i][0])[0]) for i in (1, 7)]
     assert digits[0] == digits[1]
-    m = re.fullmatch(r"Mr (\w+) (\w+) met Frau (\w+) (\w+) (\w+); Mr (\w+) left\. Госпожа (\w+) came\.", replaced[4][0])
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Frau (\w+)-(\w+) (\w+); Mr (\w+) left\. Госпожа (\w+) came\.", replaced[4][0])
     assert m[2] == m[6]
     assert m[1].endswith("rt") and m[3].endswith("na")
     assert re.fullmatch("[А-Яа-я]+", m[7])
@@ -60,10 +61,10 @@ def test_keyed(spark):
 def test_collisions_keep_entities_distinct(spark, monkeypatch):
     real = pii.surrogate
 
-    def narrow(kind, norm, attempt, key):
+    def narrow(kind, norm, attempt, key, is_female=None):
         """Only thirty addresses, so that most first surrogates collide, some with addresses of the corpus."""
         few = F.concat(F.lit("10.0.0."), (F.pmod(F.xxhash64(norm, attempt), F.lit(30)) + 1).cast("string"))
-        return F.when(kind == "ip", few).otherwise(real(kind, norm, attempt, key))
+        return F.when(kind == "ip", few).otherwise(real(kind, norm, attempt, key, is_female))
 
     monkeypatch.setattr(pii, "surrogate", narrow)
     ips = [f"97.51.17.{i}" for i in range(20)] + ["10.0.0.3", "10.0.0.4"]
@@ -75,6 +76,81 @@ def test_collisions_keep_entities_distinct(spark, monkeypatch):
     assert all(new[i][1] == of[ips[(i + 1) % len(ips)]] for i in range(len(ips)))
 
 
+def luhn_holds(digits):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 1) % 9 + 1 if c != "0" else 0 for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban_holds(text):
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_one_person_one_surrogate(spark):
+    texts = [
+        "Dr Anna Weber met Ms Anna Weber and Anna Weber. MS ANNA WEBER left with Mr Paul Green; Anna stayed.",
+        "Mr Paul came. Paul is here, and so is paul.",
+        "Herr Luca Rossi, Luca.",
+        "Κυρία Μαρία Παπαδοπούλου, Μαρία. Monsieur Jean-Luc Picard. Mr Jean Luc.",
+        "Paul without a title in a text of no names",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replace_pii(docs, "key").collect()}
+    w = r"([^\W\d_]+)"
+    m = re.fullmatch(rf"Dr {w} {w} met Ms {w} {w} and {w} {w}\. MS {w} {w} left with Mr {w} {w}; {w} stayed\.", new[0])
+    assert m[1] == m[3] == m[5] == m[11] and m[2] == m[4] == m[6]
+    assert (m[7], m[8]) == (m[1].upper(), m[2].upper())
+    n = re.fullmatch(rf"Mr {w} came\. {w} is here, and so is paul\.", new[1])
+    assert n[1] == n[2] == m[9]
+    k = re.fullmatch(rf"Herr {w} {w}, {w}\.", new[2])
+    assert k[1] == k[3] and k[1].endswith("rt")  # the title tells against the ending
+    g = re.fullmatch(rf"Κυρία {w} {w}, {w}\. Monsieur {w}-{w} {w}\. Mr {w} {w}\.", new[3])
+    assert g[1] == g[3] and re.fullmatch("[α-ωΑ-Ω]+", g[1] + g[2])
+    assert (g[4], g[5]) == (g[7], g[8])
+    assert new[4] == texts[4]
+
+
+def test_check_digits_and_codes(spark):
+    texts = ["card 4111 1111 1111 1111", "order 1234567890123", "ref AB12 WORD TEXT MORE", "IBAN GB82 WEST 1234 5698 7654 32", "call +351 21 123 4567", "(555) 123-4567 or +1 (555) 123-4567"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: (r.text, r.n) for r in pii.replace_pii(docs, "key", "n").collect()}
+    assert re.fullmatch(r"card \d{4} \d{4} \d{4} \d{4}", new[0][0]) and luhn_holds(re.sub(r"\D", "", new[0][0])) and new[0][0] != texts[0]
+    assert (new[1], new[2]) == ((texts[1], 0), (texts[2], 0))
+    assert re.fullmatch(r"IBAN GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", new[3][0]) and iban_holds(new[3][0][5:]) and new[3][0] != texts[3]
+    assert re.fullmatch(r"call \+351 \d\d \d{3} \d{4}", new[4][0])
+    a, b = re.fullmatch(r"\((\d{3}\) \d{3}-\d{4}) or \+1 \((\d{3}\) \d{3}-\d{4})", new[5][0]).groups()
+    assert a == b
+
+
+def test_a_form_without_values_left(spark):
+    """All hundred numbers of a form are real ones, so none is left for a surrogate; the loop ends and distinctness holds."""
+    docs = spark.createDataFrame([(i, f"call {100 + i // 100:03}-{i % 100:02}-0000 now") for i in range(30)], "doc_id long, text string")
+    real = pii.surrogate
+
+    def narrow(kind, norm, attempt, key, is_female=None):
+        return F.when((kind == "ssn") & (attempt < pii.LAST), F.concat(F.lit("100"), F.lpad((F.pmod(F.xxhash64(norm, attempt), F.lit(30))).cast("string"), 2, "0"), F.lit("0000"))).otherwise(real(kind, norm, attempt, key, is_female))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii, "surrogate", narrow)
+        patch.setattr(pii, "LAST", 3)
+        new = [r.text.split()[1] for r in pii.replace_pii(docs, "key").collect()]
+    assert len(set(new)) == 30 and all(x.startswith("ssn-") for x in new)
+
+
+def test_random_corpora(spark):
+    """The same part always changes alike, different parts differently, and formats stay."""
+    rng = random.Random(8)
+    given, family = ["Anna", "Ivan", "Luca", "Zoe", "Paul"], ["Weber", "Petrov", "Rossi", "Green", "Paul"]
+    people = [(rng.choice(["Mr", "Ms", "Dr"]), rng.choice(given), rng.choice(family)) for _ in range(60)]
+    docs = [(i, f"{t} {g} {f} wrote") for i, (t, g, f) in enumerate(people)]
+    new = {r.doc_id: r.text.split() for r in pii.replace_pii(spark.createDataFrame(docs, "doc_id long, text string"), "key").collect()}
+    of = {}
+    for i, (t, g, f) in enumerate(people):
+        assert new[i][0] == t and new[i][3] == "wrote"
+        for old, other in ((g, new[i][1]), (f, new[i][2])):
+            assert of.setdefault(old, other) == other != old
+    assert len(set(of.values())) == len(of)
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = pii.replace_pii(odd_docs, "key")
     assert out.columns == odd_docs.columns
