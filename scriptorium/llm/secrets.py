@@ -2,15 +2,15 @@
 
 Strong patterns are reported wherever they are found. The parts of a multipart credential are weak by themselves: an
 access identifier, a secret-looking value, an endpoint. They are reported only when complementary parts occur within
-the same scope: at most ``RADIUS`` code points apart in one text. The interval join is made with window functions over
+the same scope: at most ``RADIUS`` code points apart in one text, from the end of one to the start of the other. The interval join is made with window functions over
 the starts and ends of the parts of a document in order: for each other role the last end up to a part's start and the
 first start from its end on decide, so parts are never paired with each other and none that overlap hide another.
 
 Positions are code points. Matches are found once; what lies between them, from splitting at the same pattern, gives
 their places.
 
-Defined results: null or empty text has no secrets; repeated rows are scanned alike and kept apart; an empty table
-gives an empty result; a null doc_id is an id like any other; other columns are left out.
+Defined results: null or empty text has no secrets; repeated rows are scanned alike and kept apart; very long texts and
+values are scanned whole; an empty table gives an empty result; a null doc_id is an id like any other; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,14 +31,16 @@ STRONG = {
 }
 #: Weak parts by role.
 WEAK = {
-    "weak_id": r"(?<![A-Za-z0-9_])(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{3,}",
-    "weak_secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{0,63}[0-9])(?=[0-9A-Z+/_=-]{0,63}[a-z])(?=[0-9a-z+/_=-]{0,63}[A-Z])[A-Za-z0-9+/_=-]{20,64}(?![A-Za-z0-9+/_=-])",
+    "weak_id": r"(?<![A-Za-z0-9])(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{3,}",
+    # a value under a name that says so, or a long run that mixes digits and letters of both cases
+    "weak_secret": r"(?<![A-Za-z0-9])(?i:secret_?access_?key|(?:private|signing|client)_?key|pass(?:phrase|code))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}"
+    r"|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9A-Z+/_=-]*+[a-z])(?=[0-9a-z+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{20,}+",
     "weak_endpoint": r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+]{1,20}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?",
 }
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
 ORDER = {kind: k for k, kind in enumerate([*STRONG, *WEAK])}
 #: What a text has that any pattern can match in; the hex alternative asks for a long run.
-HINT = r"AKIA|[0-9a-f]{32}|://|(?i:passw|secret|token|api_?key|user|login|account|client_?id|access_?key)"
+HINT = r"AKIA|[0-9a-f]{32}|://|(?i:pass(?:w|phrase|code)|secret|token|api_?key|user|login|account|client_?id|(?:access|private|signing|client)_?key)"
 
 
 def spans(text: Column, kind: str, pattern: str, shortest: int = 0, group: int = 0) -> Column:
@@ -117,5 +119,5 @@ def scan(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, strong, linked) of every row."""
     rows = materialize(candidates(docs), "secret-spans")
     more = materialize(linked(rows, radius).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "linked"), "secret-links")
-    joined = rows.join(broadcast_if_small(more, 50_000), rows.doc_id.eqNullSafe(more["_id"]) & (rows.text_hash == more["_hash"]), "left")
+    joined = rows.join(broadcast_if_small(more), rows.doc_id.eqNullSafe(more["_id"]) & (rows.text_hash == more["_hash"]), "left")
     return joined.select("doc_id", "strong", F.coalesce("linked", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("linked"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import secrets
+from scriptorium.llm.common import materialize
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 KINDS = ["assign", "access", "hex"]
@@ -89,3 +90,40 @@ def test_overlapping_parts_hide_no_complement(spark):
     assert {i: s for i, s in got.items() if s} == want
     assert "weak_id" in {k for k, _, _ in got[0]} and "weak_id" in {k for k, _, _ in got[1]}
     assert not got[2]
+
+
+def test_plain_multipart_credentials(spark):
+    long = "Ab3" + "xY7k" * 20
+    texts = [
+        "client_id=3MVG9lKcPoNINVBIxY2Q8aa81\nclient_secret=9205371918321623",
+        "aws_access_key_id = ABCDEFGHIJ\naws_secret_access_key = wJalrXUtnFEMIbPxRfiCYEXAMPLEKEY",
+        f"login: bob key {long}",
+        f"nothing but {long} here",
+        "user: bob and nothing else",
+    ]
+    got = {r.doc_id: {s.kind for s in r.linked} for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "weak_id" in got[0]
+    assert {"weak_id", "weak_secret"} <= got[1]
+    assert {"weak_id", "weak_secret"} <= got[2]
+    assert (got[3], got[4]) == (set(), set())
+
+
+def test_links_against_all_pairs(spark):
+    """Every weak part against every other part of its text."""
+    rng = random.Random(21)
+    bits = ["user=bob", "login: amy77", "password=hunter2hunter2", "Zx81kQ" * 5, "https://api.host.org:8443", "client_id=Qa9" + "b" * 20, "AKIA" + "A1B2" * 4, "0123456789abcdef" * 2, "secret_access_key=aaaaBBBB"]
+    texts = [" ".join(rng.choice([*bits, "x" * rng.randrange(1, 150)]) for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = materialize(secrets.candidates(docs), "test-spans")
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in secrets.linked(rows, 60).collect() for s in r.linked}
+    want = set()
+    for r in rows.collect():
+        parts = [(s.kind, s.start, s.end) for s in [*r.strong, *r.weak]]
+        for kind, start, end in r.weak:
+            gap = lambda p: p[1] - end if p[1] >= end else start - p[2] if p[2] <= start else None  # noqa: B023, E731
+            met = {secrets.ROLE[p[0]] for p in parts if gap(p) is not None and gap(p) <= 60}
+            role = secrets.ROLE[kind]
+            if role == "id" and "secret" in met or role == "secret" and met & {"id", "endpoint"} or role == "endpoint" and {"id", "secret"} <= met:
+                want.add((r.doc_id, kind, start, end))
+    assert len(want) > 50
+    assert got == want
