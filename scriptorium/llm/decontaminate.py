@@ -3,7 +3,9 @@
 Texts become arrays of word hashes. Over every ``window`` consecutive words the smallest of the ``gram``-word hashes
 inside is a fingerprint, so a span of ``window`` words that a document shares with an item has the same fingerprint in
 both. Fingerprints of documents and items are joined; only rows with a common fingerprint are extended: their whole
-windows are joined with the items' windows, word by word through 64-bit hashes, and the words they cover are counted.
+windows are joined with the distinct windows of all items, and the words they cover are counted; only then the distinct windows of a
+document are given the items that have them. Windows are compared by 64-bit hashes of the 64-bit hashes of their words, not letter
+by letter, so two different ones are taken for the same with a probability of some 2 ** -63.
 Items shorter than a window are one window of their own length and are joined by the hash of all of it.
 
 Defined results: null or empty text has no words; items without words match nothing; repeated rows are judged alike
@@ -49,10 +51,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return h.select("item_id", wide.alias("wide"), F.explode(spans(F.col("h"), wide)).alias("span")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per distinct (doc_id, text_hash): n_words, n_rows and whether a fingerprint or a short item met (met).
 
-    And the extended hits (doc_id, text_hash, item_id, at, wide).
+    And the extended hits (doc_id, text_hash, at, wide, span), and the windows of the items (item_id, wide, span).
     """
     items = materialize(item_windows(benchmark, window), "bench-windows")
     grams = benchmark.select(hashes(F.col("text")).alias("h")).select(spans(F.col("h"), gram).alias("g"))
@@ -77,17 +79,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     every = at[0]
     for more in at[1:]:
         every = every.unionByName(more)
-    hits = every.join(broadcast_if_small(items), ["wide", "span"]).select("doc_id", "text_hash", "item_id", "at", "wide").distinct()
-    return book, hits
+    whole = materialize(items.select("wide", "span").distinct(), "bench-spans")
+    hits = every.join(broadcast_if_small(whole), ["wide", "span"]).select("doc_id", "text_hash", "at", "wide", "span").distinct()
+    return book, hits, items
 
 
 def summary(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
-    book, hits = contamination(docs, benchmark, window, gram)
+    book, hits, items = contamination(docs, benchmark, window, gram)
     hits = materialize(hits, "bench-hits")
     key = ["doc_id", "text_hash"]
     covered = hits.select(*key, F.explode(F.sequence("at", F.expr("at + wide - 1"))).alias("word")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
-    named = hits.select(*key, "item_id").distinct().groupBy(*key).agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
+    of_items = hits.select(*key, "wide", "span").distinct().join(broadcast_if_small(items), ["wide", "span"])
+    named = of_items.select(*key, "item_id").distinct().groupBy(*key).agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
     found = covered.alias("c").join(named.alias("n"), F.expr("c.doc_id <=> n.doc_id and c.text_hash = n.text_hash"))
     found = found.select(F.col("c.doc_id").alias("d"), F.col("c.text_hash").alias("t"), "n_hit", "item_ids")
     book = book.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
@@ -98,7 +102,7 @@ def summary(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows, with all their columns, that share no window with the benchmark."""
-    _, hits = contamination(docs, benchmark, window, gram)
+    _, hits, _ = contamination(docs, benchmark, window, gram)
     bad = materialize(hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "bench-bad")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
