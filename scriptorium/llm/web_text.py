@@ -10,9 +10,9 @@ Per host and section only the recurring hashes are kept. As a page adds its subt
 per page / share`` of them can recur, however large the host is. They are joined to the pages by host and section:
 broadcast when counted and small, else shuffled, where a large host's pages are split.
 
-Defined results: null or empty html gives an empty text; a null or unusable url is a host of its own kind (empty);
-repeated rows are extracted alike and kept apart, and count as pages of their own; an empty table gives an empty
-result; other columns are left out.
+Defined results: null or empty html gives an empty text; a page with a null or unusable url belongs to no site, so nothing
+of it is a template; repeated rows are extracted alike and kept apart, and count as pages of their own; pages of any length and
+depth are read whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -378,7 +378,8 @@ def recurring(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES)
             hashes = [sorted(template_candidates(t.as_py())) for t in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("section"), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "section", "hashes"])
 
-    each = pages.select(host(F.col("url")).alias("host"), section(F.col("url")).alias("section"), "html").mapInArrow(run, "host string, section string, hashes array<long>")
+    placed = pages.select(host(F.col("url")).alias("host"), section(F.col("url")).alias("section"), "html").where("host != ''")
+    each = placed.mapInArrow(run, "host string, section string, hashes array<long>")
     # 0 stands for the page itself, so that one aggregation counts pages and subtrees
     seen = each.select("host", "section", F.explode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("hash")).groupBy("host", "section", "hash").count()
     seen = materialize(seen, "web-subtrees")
@@ -400,7 +401,7 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) ->
     whole = found.where("section is null").select("host", F.col("template").alias("_whole"))
     part = found.where("section is not null").select("host", "section", F.col("template").alias("_part"))
     source = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), section(F.col("url")).alias("section"))
-    source = source.join(broadcast_if_small(whole, 50_000), "host", "left").join(broadcast_if_small(part, 50_000), ["host", "section"], "left")
+    source = source.join(broadcast_if_small(whole), "host", "left").join(broadcast_if_small(part), ["host", "section"], "left")
     none = F.array().cast("array<long>")
     source = source.withColumn("template", F.array_union(F.coalesce("_whole", none), F.coalesce("_part", none)))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
