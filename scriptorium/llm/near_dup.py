@@ -6,9 +6,9 @@ packed into a few longs. Classes that meet in a bucket are candidates; bit count
 collisions, estimate the similarity; what lies more than five standard errors under the threshold goes, and the
 rest is confirmed exactly on the full sets.
 
-Groups are never expanded into all pairs. First every class is compared with the leaders of its buckets, then,
-in buckets that still hold several components, the classes outside the largest component with all others there,
-unless the shingles that are rare around that component already rule a link out.
+Groups are never expanded into all pairs. First every class is compared with the leaders of its buckets; then, in
+buckets that still hold several components, the classes outside the largest one with a few of its members; and what
+is still outside then with all others there, decided exactly inside the join, which writes links only.
 A pair at exactly the threshold meets in no band with probability ``(1 - t ** rows) ** bands`` (1.2e-5 by default,
 less for more similar pairs).
 
@@ -199,28 +199,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return counted.where(100 * F.col("i") >= near.percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-#: A member is rare where at most this share of the sets around one component has it.
-RARE = 0.02
+#: Representatives of a bucket's largest component that each class outside it is compared with, and how many of the best are confirmed.
+DEPUTIES = 4
+TRIES = 3
 
 
-def _rare_members(sets: DataFrame, around: DataFrame) -> DataFrame:
-    """(main, node, size, n_rare, rare): rare holds the rare members that other sets have too.
+def _mixed(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, main, deputies) of the buckets that hold several components: main is the largest one there."""
+    seen = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    chosen = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(DEPUTIES))))
+    shares = seen.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), chosen.alias("deputies"))
+    main = shares.groupBy("key").agg(F.max_by(F.struct("root", "deputies"), F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    main = materialize(main.select("key", F.col("main.root").alias("main"), F.col("main.deputies").alias("deputies")), "near-main")
+    return materialize(seen.join(broadcast_if_small(main), "key"), "near-mixed")
+
+
+def _likely(mixed: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """For each class outside the main component of a bucket the most similar deputies of those components."""
+    pairs = mixed.where("root != main").select(F.col("node").alias("a"), F.explode("deputies").alias("b")).distinct()
+    met = _estimated(pairs, classes, near).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False).alias("bs"))  # at most bands * DEPUTIES
+    return met.select("a", F.explode(F.slice("bs", 1, TRIES)).alias("s")).select("a", "s.b")
+
 
-    A rare member of one set is in another set only if it is rare there as well, so two sets have at most their
-    members that are not rare, and the rare ones that they share, in common.
+def _differences(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(main, node, size, n_ref, plus, miss): the full sets around a component, written against a set of that component.
+
+    Of a set x and the reference r, plus is x - r and miss is r - x, so that of two sets |x & y| is
+    |r| - |miss x| - |miss y| + |miss x & miss y| + |plus x & plus y|, exactly. The reference is the smallest deputy.
     """
-    size_of = around.groupBy("main").agg(F.greatest(F.lit(1), F.floor(RARE * F.count(F.lit(1)))).alias("most"))
-    each = materialize(sets.join(around, "node").select("main", "node", F.size("members").alias("size"), F.explode("members").alias("m")), "near-around")
-    seen = each.groupBy("main", "m").agg(F.count(F.lit(1)).alias("n")).join(size_of, "main").where("n <= most").select("main", "m", "n")
-    of = each.join(seen, ["main", "m"], "left").groupBy("main", "node", "size")
-    return of.agg(F.count("n").alias("n_rare"), F.collect_list(F.when(F.col("n") > 1, F.col("m"))).alias("rare"))
+    chosen = mixed.select("main", F.explode("deputies").alias("node")).distinct().join(sets, "node")
+    ref = chosen.groupBy("main").agg(F.min_by("members", F.struct(F.size("members"), "node")).alias("ref"))
+    ref = materialize(ref, "near-references")
+    each = mixed.select("main", "node").distinct().join(sets, "node").join(broadcast_if_small(ref), "main")
+    return each.select("main", "node", F.size("members").alias("size"), F.size("ref").alias("n_ref"), F.array_except("members", "ref").alias("plus"), F.array_except("ref", "members").alias("miss"))
+
 
+def _left_over(mixed: DataFrame, sets: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """The links between classes of different components that share a bucket: what lies outside the main one, against all there.
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """For each class its most similar partner, from either end."""
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "estimate").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "estimate"))
-    chosen = ends.groupBy("x").agg(F.max_by("y", "estimate").alias("y"))
-    return chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    Every pair is decided inside the join, at last exactly on the full sets, so what it writes are links and nothing else.
+    """
+    rows = mixed.drop("deputies").join(_differences(mixed, sets), ["main", "node"]).join(classes.select("node", "signature"), "node")
+    rows = materialize(rows, "near-mixed")
+    few = rows.where("root != main").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
+    both, n = F.col("x_size") + F.col("size"), F.col("n_ref")
+    lost = lambda c: F.size(F.col(c))
+    enough = lambda shared: 100 * shared >= near.percent * (both - shared)
+    at_most = n - F.greatest(lost("x_miss"), lost("miss")) + F.least(lost("x_plus"), lost("plus"))
+    shared = n - lost("x_miss") - lost("miss") + F.size(F.array_intersect("x_miss", "miss")) + F.size(F.array_intersect("x_plus", "plus"))
+    alike = similarity(F.col("x_signature"), F.col("signature"), near) >= near.least_estimate
+    linked = (F.col("x_key") == F.col("key")) & (F.col("x_root") != F.col("root")) & enough(F.least("x_size", "size")) & enough(at_most) & alike & enough(shared)
+    return few.join(rows, linked).select(F.col("x_node").alias("a"), F.col("node").alias("b"))
 
 
 def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
@@ -243,34 +272,15 @@ def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     sets = materialize(full_sets(docs, wanted, near), "near-sets")
     roots = materialize(connected(_confirmed(first, sets, near)), "near-roots")
 
-    # Buckets that hold several components: what lies outside the largest one there, against all of the bucket.
-    seen = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    shares = seen.groupBy("key", "root").count()
-    main = shares.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
-    mixed = materialize(seen.join(main, "key"), "near-mixed")
-    keys = mixed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one a band
-    mixed = materialize(mixed.join(_rare_members(sets, mixed.select("main", "node").distinct()), ["main", "node"]).join(classes.select("node", "signature"), "node").join(keys, "node"), "near-mixed")
-    few = mixed.where("root != main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"), F.col("n_rare").alias("hx"), F.col("rare").alias("ax"), F.col("signature").alias("sx"), F.col("keys").alias("kx"))
-    score = similarity(F.col("sx"), F.col("signature"), near)
-    most = F.least(F.col("nx") - F.col("hx"), F.col("size") - F.col("n_rare")) + F.size(F.array_intersect("ax", "rare"))
-    possible = 100 * most >= near.percent * (F.col("nx") + F.col("size") - most)
-    cross = few.join(mixed, (few.key == mixed.key) & (few.rx != mixed.root) & (score >= near.least_estimate) & possible & (F.array_min(F.array_intersect("kx", "keys")) == few.key))
-    cross = cross.groupBy(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).agg(F.max(score).alias("estimate"))
-    cross = materialize(cross.join(first, ["a", "b"], "left_anti"), "near-cross")
-
-    def linked_by(tried: DataFrame, roots: DataFrame) -> DataFrame:
-        more = materialize(_confirmed(tried, sets, near), "near-more")
+    def merged(links: DataFrame, roots: DataFrame) -> DataFrame:
+        more = materialize(links, "near-more")
         if more.isEmpty():
             return roots
         return materialize(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
 
-    # each one's best partner first; then whatever is still open between components
-    tried = materialize(_best(cross), "near-pairs")
-    roots = linked_by(tried, roots)
-    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    left = cross.join(tried, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
-    left = materialize(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "near-pairs")
-    return linked_by(left, roots)
+    likely = materialize(_likely(_mixed(large, roots), classes, near), "near-pairs")
+    roots = merged(_confirmed(likely, sets, near), roots)
+    return merged(_left_over(_mixed(large, roots), sets, classes, near), roots)
 
 
 def components(docs: DataFrame, near: Near | None = None) -> DataFrame:

@@ -60,6 +60,23 @@ def test_components_against_brute_force(spark, copies, width):
     assert got == brute(copies, width)
 
 
+def test_large_group_that_hardly_links(spark, prose):
+    """Over a thousand edits of one text: most pairs share buckets and are just under the threshold, few are over it."""
+    rng = random.Random(12)
+    base = prose(60, 500).split()
+    texts = []
+    for k in range(1100):
+        words = list(base)
+        for i in rng.sample(range(len(words)), rng.choice([3, 4, 5, 6, 7])):
+            words[i] = f"edit{k}x{i}"
+        texts.append((k, " ".join(words)))
+    texts += [(5000 + k, prose(80, 600 + k)) for k in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), Near(shingle=2)).collect()}
+    want = brute(texts, 2)
+    assert len({c for _, c in want.values()}) > 100
+    assert got == want
+
+
 def test_estimate_is_close(spark):
     near = Near(shingle=2)
     hashes = near_dup.WordHashes()
