@@ -20,6 +20,7 @@ class Engine:
         self.documents = Table(spark, f"{path}/documents", schema.DOCUMENTS)
         self.chunks = Table(spark, f"{path}/chunks", schema.CHUNKS)
         self.embeddings_map = Table(spark, f"{path}/embeddings_map", schema.EMBEDDINGS_MAP)
+        self.statuses = Table(spark, f"{path}/statuses", schema.STATUSES)
         self.staging = f"{path}/staging"
 
     def ingest(self, accepted: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ class Engine:
         return docs.select("doc_id", "filename")
 
     def ask(self, questions: DataFrame, as_of: object = None) -> DataFrame:
-        return search.ask(questions, self.store.texts(as_of))
+        return search.ask(questions, self.store.texts(as_of, questions))
 
     def preview(self, ids: DataFrame, limit: int = 2000, as_of: object = None) -> DataFrame:
         return self.store.get(ids, as_of).select("doc_id", char_preview(F.col("text"), limit).alias("preview"))
@@ -49,14 +50,19 @@ class Engine:
 
     def index(self, sessions: DataFrame, as_of: object = None) -> DataFrame:
         """The whole text for sessions with doc_id and extracted_text: the stored text, else the session's own."""
-        joined = sessions.join(self.store.texts(as_of), "doc_id", "left")
+        joined = sessions.join(self.store.texts(as_of, sessions), "doc_id", "left")
         return joined.withColumn("text", or_default(F.coalesce(F.nullif("text", F.lit("")), F.col("extracted_text")), ""))
 
     def lookup(self, doc_id: str) -> DataFrame:
-        return catalog.lookup(self.documents.read(), doc_id)
+        return catalog.lookup(self.catalog(), doc_id)
+
+    def catalog(self) -> DataFrame:
+        """The documents with the last status set for each."""
+        return catalog.with_statuses(self.documents.read(), self.statuses.read())
 
     def set_status(self, doc_id: str, status: str) -> None:
-        self.documents.replace(catalog.update_status(self.documents.read(), doc_id, status))
+        """One row more; the documents themselves are not written again. An unknown id changes nothing."""
+        self.statuses.append(self.spark.createDataFrame([(doc_id, status)], "doc_id string, status string").withColumn("updated_at", F.current_timestamp()))
 
     def map_embeddings(self, rows: DataFrame) -> None:
         known = {c: F.col(c) if c in rows.columns else F.lit(None) for c in ("model_name", "score")}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions.text import strip
 
@@ -26,20 +29,22 @@ def is_allowed(filename: Column) -> Column:
     return extension(filename).isin(*ALLOWED)
 
 
+def _decomposed(names: pd.Series) -> pd.Series:
+    return names.map(lambda name: unicodedata.normalize("NFKD", name), na_action="ignore")
+
+
 def secure_filename(filename: Column) -> Column:
-    """An ASCII name without folders: marks on letters go, white space becomes one underscore, other signs go."""
-    plain = F.regexp_replace(_without_marks(filename), r"[^\x00-\x7F]", "")
+    """An ASCII name without folders: letters lose their marks, ligatures come apart, white space becomes one underscore, other signs go.
+
+    Only names that are not ASCII go through Python.
+    """
+    other = filename.rlike(r"[^\x00-\x7F]")
+    decomposed = F.pandas_udf(_decomposed, T.StringType())(F.when(other, filename))
+    plain = F.when(other, F.regexp_replace(decomposed, r"[^\x00-\x7F]", "")).otherwise(filename)
     flat = F.regexp_replace(F.regexp_replace(F.translate(plain, "/\\", "  "), r"[\t-\r\x1C-\x20]+", " "), r"^ | $", "")
     return F.regexp_replace(F.regexp_replace(F.translate(flat, " ", "_"), r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
 
 
-def _without_marks(text: Column) -> Column:
-    """Latin letters with marks as plain letters."""
-    marked = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-    letters = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
-    return F.translate(text, marked, letters)
-
-
 def human_size(n: Column) -> Column:
     """A size with one decimal in the largest unit under 1024; halves go to the even digit."""
 

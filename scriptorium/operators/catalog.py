@@ -38,6 +38,14 @@ def update_status(documents: DataFrame, doc_id: object, status: str, now: dateti
     return out
 
 
+def with_statuses(documents: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Documents under the last of the statuses (doc_id, status, updated_at) that were set for them, if any."""
+    last = statuses.groupBy("doc_id").agg(F.max_by(F.struct("status", "updated_at"), "updated_at").alias("_set"))
+    given = documents.join(last, "doc_id", "left")
+    columns = {"status": F.coalesce("_set.status", "status"), "updated_at": F.coalesce("_set.updated_at", "updated_at")}
+    return given.select(*(columns.get(c, F.col(c)).alias(c) for c in documents.columns))
+
+
 def lookup(documents: DataFrame, doc_id: object) -> DataFrame:
     return documents.where(F.col("doc_id") == F.lit(doc_id)).limit(1)
 

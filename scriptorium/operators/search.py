@@ -6,12 +6,13 @@ is long enough is met by every line. The first hits of a document, in its order,
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import SPACE, lines, query_words, raw_lines, strip
+from scriptorium.functions.text import MIN_WORD, SPACE, lines, query_words, raw_lines, strip
 
 TOP = 8
 #: What is answered.
@@ -26,9 +27,9 @@ def _all_words(line: Column, found: list[str]) -> Column:
     return reduce(lambda c, w: c & F.contains(low, F.lit(w)), found, F.lit(True))
 
 
-def words_of(question: str, shortest: int = 3) -> list[str]:
-    """The searched words of a question that is known when the plan is made."""
-    return [w for w in question.lower().split() if len(w) >= shortest]
+def words_of(question: str, shortest: int = MIN_WORD) -> list[str]:
+    """The searched words of a question that is known when the plan is made; the rule of query_words."""
+    return [w for w in re.split(f"{SPACE}+", question.lower()) if len(w) >= shortest]
 
 
 def hits(text: Column, question: str, top: int = TOP) -> Column:

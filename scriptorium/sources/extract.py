@@ -6,9 +6,10 @@ import io
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.files import IMAGES, PLAIN, extension
@@ -33,6 +34,23 @@ def docx_text(content: bytes) -> tuple[str, str | None]:
     return "\n".join("".join((x.text or "") if x.tag == f"{ns}t" else mark.get(x.tag, "") for x in p.iter()) for p in paragraphs), None
 
 
+def _written(text: str) -> bytes:
+    paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{paragraphs}</w:body></w:document>')
+    return out.getvalue()
+
+
+def docx_of(text: Column) -> Column:
+    """Texts as DOCX files, a paragraph a line."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(_written, na_action="ignore")
+
+    return F.pandas_udf(run, "binary")(text)
+
+
 def pdf_text(content: bytes) -> tuple[str, str | None]:
     try:
         from pdfminer.high_level import extract_text

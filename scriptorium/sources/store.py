@@ -57,17 +57,27 @@ class TextStore:
         at = F.col("stored_at") if "stored_at" in texts.columns else F.current_timestamp()
         self.table.append(texts.where(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), at.alias("stored_at")))
 
-    def texts(self, as_of: object = None) -> DataFrame:
-        """(doc_id, text) of all texts that are alive."""
+    def texts(self, as_of: object = None, ids: DataFrame | None = None) -> DataFrame:
+        """(doc_id, text) of the texts that are alive, all or those of the ids, which are looked up before any text is shuffled."""
         now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-        return latest(self.table.read()).where(alive(F.col("stored_at"), now, self.ttl)).select("doc_id", "text")
+        rows = self.table.read()
+        if ids is not None:
+            rows = rows.join(ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return latest(rows).where(alive(F.col("stored_at"), now, self.ttl) & F.col("text").isNotNull()).select("doc_id", "text")
 
     def get(self, ids: DataFrame, as_of: object = None) -> DataFrame:
         """(doc_id, text) of the ids; empty where nothing is stored, or no longer."""
-        return ids.select("doc_id").distinct().join(self.texts(as_of), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        wanted = ids.select("doc_id").distinct()
+        return wanted.join(self.texts(as_of, wanted), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def clear(self, ids: DataFrame) -> None:
-        self.table.replace(self.table.read().join(ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_anti"))
+    def clear(self, ids: DataFrame, at: object = None) -> None:
+        """Mark the ids as cleared: a row without text, which is the last stored one. compact() drops what no longer counts."""
+        when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+        self.table.append(ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), when.alias("stored_at")))
+
+    def compact(self) -> None:
+        """The next version of the table, with the last text of each id and without cleared ones."""
+        self.table.replace(latest(self.table.read()).where("text is not null").select("doc_id", "text", "stored_at"))
 
     def healthy(self) -> bool:
         try:
@@ -89,6 +99,13 @@ def read_database(spark: SparkSession, url: str, table: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table).load()
 
 
+def write_database(rows: DataFrame, url: str, table: str, batch: int = 100) -> None:
+    """Append rows to a table of a database, so many a statement."""
+    if not url:
+        raise RuntimeError("no database is configured")
+    rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch).mode("append").save()
+
+
 def tables(spark: SparkSession) -> DataFrame:
     """(name, is_temporary) of the tables and views of the session."""
     rows = [(t.name, t.isTemporary) for t in spark.catalog.listTables()]

@@ -28,6 +28,12 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return payloads(spark.read.schema(FIELDS).json(path), "payload.txt")
 
 
+def parse_json(bodies: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
+    """The same for rows with a JSON body each; other columns stay. What is no JSON object has no text."""
+    others = [c for c in bodies.columns if c not in (column, "user_id", "filename", "text")]
+    return payloads(bodies.select(*others, F.from_json(column, FIELDS).alias("_body")).select(*others, "_body.*"), "payload.txt")
+
+
 def read_forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return payloads(rows, "form.txt")
 

@@ -68,7 +68,7 @@ def test_engine(spark, folder, tmp_path):
     assert engine.lookup(ids["latin.csv"]).first().size_bytes == len("käse,1".encode())
     engine.set_status(ids["sample.txt"], "indexed")
     engine.set_status("absent", "indexed")
-    assert engine.documents.read().where("status = 'indexed'").count() == 1
+    assert engine.catalog().where("status = 'indexed'").count() == 1
     assert engine.chunks.read().count() == 5
     assert engine.health().first().ok
     engine.reset(asked)

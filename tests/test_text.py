@@ -57,7 +57,7 @@ def test_extensions(spark):
 
 
 def test_secure_filename(spark):
-    assert column(spark, ["../../etc/passwd", "My cool movie.mov", "Ünï côde.txt", "..", "a/b\\c.md"], files.secure_filename) == ["etc_passwd", "My_cool_movie.mov", "Uni_code.txt", "", "a_b_c.md"]
+    assert column(spark, ["../../etc/passwd", "My cool movie.mov", "Ünï côde.txt", "..", "a/b\\c.md", "Čapek żółw.txt", "ﬁle.txt", None], files.secure_filename) == ["etc_passwd", "My_cool_movie.mov", "Uni_code.txt", "", "a_b_c.md", "Capek_zow.txt", "file.txt", None]
 
 
 def test_byte_preview(spark):
