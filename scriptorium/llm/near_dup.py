@@ -227,7 +227,7 @@ def _differences(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     Of a set x and the reference r, plus is x - r and miss is r - x, so that of two sets |x & y| is
     |r| - |miss x| - |miss y| + |miss x & miss y| + |plus x & plus y|, exactly. The reference is the smallest deputy.
     """
-    chosen = mixed.select("main", F.explode("deputies").alias("node")).distinct().join(sets, "node")
+    chosen = mixed.select("main", "deputies").distinct().select("main", F.explode("deputies").alias("node")).distinct().join(sets, "node")
     ref = chosen.groupBy("main").agg(F.min_by("members", F.struct(F.size("members"), "node")).alias("ref"))
     ref = materialize(ref, "near-references")
     each = mixed.select("main", "node").distinct().join(sets, "node").join(broadcast_if_small(ref), "main")
