@@ -45,7 +45,8 @@ LOOKS = 2_000
 FOUND = 64
 WIDTHS = (1, 2, 3)
 #: Texts with an unbroken run of so many spaces or of so many other signs are run by the tokenizer file's own library.
-LONG_RUN = re.compile(r"\s{20000}|\S{20000}")
+LONG_RUN = 20_000
+RUN = re.compile(r"\s+|\S+")
 
 
 def encoder(path: str):
@@ -78,7 +79,8 @@ def encoder(path: str):
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
-        return own(text) if len(text) >= 20_000 and LONG_RUN.search(text) else fast.encode(text, allowed_special="all")
+        long = len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in RUN.finditer(text))
+        return own(text) if long else fast.encode(text, allowed_special="all")
 
     return encode
 
