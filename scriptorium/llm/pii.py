@@ -20,12 +20,10 @@ searched whole, an empty table stays empty, and all other columns (of any name)
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, materialize
+from scriptorium.llm.common import broadcast_if_small, let, materialize
 
 
 def _cased(titles: str) -> str:
@@ -64,11 +62,6 @@ TWO_DIGITS = r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 LAST = 24
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def found_by(text: Column, pattern: Column) -> Column:
     return F.regexp_extract_all(text, pattern, F.lit(0))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import ascii_lower, materialize, numbered
+from scriptorium.llm.common import ascii_lower, let, materialize, numbered
 
 #: Lines that announce a quote, which go with it.
 ANNOUNCES = r"(?i)^(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$|^-{2,}\s*original message\s*-{2,}$"
@@ -47,6 +47,20 @@ def units(body: Column) -> Column:
     return F.concat(ranked(F.array(body), 0), ranked(F.split(body, PARAGRAPH, -1), 1), ranked(F.split(body, LINE, -1), 2))
 
 
+def runs(lines: Column) -> Column:
+    """Array of (level, body): each run of lines of one level as one text. Runs are cut out by their first lines, in time linear in the lines."""
+    none = F.array().cast("array<struct<level:int,body:string>>")
+
+    def cut(v: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i).level != F.get(v, i - 1).level))
+        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(v, i).level.alias("level"), body(v, i, F.coalesce(F.get(at, k + 1), F.size(v)) - i).alias("body"))))
+
+    def body(v: Column, start: Column, n: Column) -> Column:
+        return F.array_join(F.transform(F.slice(v, start + 1, n), lambda s: s.body), "\n")
+
+    return let(lines, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(none))
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, copy, role, own, parts, quoted): own text without quotes, its runs; quoted is an array of (level, units)."""
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
@@ -59,18 +73,10 @@ def passages(messages: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.withColumn("lines", lines)
-    # runs of lines of one level; an own line that announces a quote belongs to none
-    run = F.struct(F.lit(-1).alias("level"), F.lit("").alias("body"))
-    none = F.array().cast("array<struct<level:int,body:string>>")
-
-    def add(acc: Column, line: Column) -> Column:
-        last = F.coalesce(F.get(acc, F.size(acc) - 1), run)
-        joined = F.struct(line.level.alias("level"), F.concat(last.body, F.lit("\n"), line.body).alias("body"))
-        return F.when((F.size(acc) > 0) & (last.level == line.level), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(line)))
-
+    # an own line that announces a quote belongs to no run
     kept = F.filter("lines", lambda s: ~((s.level == 0) & s.body.rlike(ANNOUNCES)))
     plain = ~F.col("text").rlike(r"(?m)^\x20{0,3}>|" + ANNOUNCES.replace("(?i)", "(?im)"))
-    rows = rows.withColumn("runs", F.when(plain, F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("body")))).otherwise(F.aggregate(kept, none, add)))
+    rows = rows.withColumn("runs", F.when(plain, F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("body")))).otherwise(runs(kept)))
     parts = F.filter(F.transform(F.filter("runs", lambda r: r.level == 0), lambda r: F.regexp_replace(r.body, r"^\s+|\s+$", "")), lambda b: b != "")
     quoted = F.filter(F.transform(F.filter("runs", lambda r: r.level > 0), lambda r: F.struct(r.level.alias("level"), units(r.body).alias("units"))), lambda r: F.size(r.units) > 0)
     return rows.select("conv_id", "turn", "copy", "role", F.array_join(parts, "\n").alias("own"), parts.alias("parts"), quoted.alias("quoted"))

@@ -69,6 +69,14 @@ def test_long_and_empty(spark):
     assert quotes.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_very_many_lines_and_runs(spark):
+    text = "\n".join(f"{'> ' if i % 2 else ''}line {i}" for i in range(60_000))
+    text += "\n" + "\n".join(f"> tail {i}" for i in range(60_000))
+    got = quotes.conversations(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()
+    assert got.n_quotes == 30_000  # the last quoted line and the tail are one run
+    assert got.text == "\n".join(f"line {i}" for i in range(0, 60_000, 2))
+
+
 def test_excerpts_and_reply_paths(spark):
     """Several lines of a message link, as do its runs and paragraphs; replies to replies stay with their thread."""
     said = [
