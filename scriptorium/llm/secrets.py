@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, materialize
+from scriptorium.llm.common import broadcast_if_small, let, materialize
 
 RADIUS = 200
 SECRET_KEY = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -43,13 +43,17 @@ ORDER = {kind: k for k, kind in enumerate([*STRONG, *WEAK])}
 HINT = r"AKIA|[0-9a-f]{32}|://|(?i:pass(?:w|phrase|code)|secret|token|api_?key|user|login|account|client_?id|(?:access|private|signing|client)_?key)"
 
 
+#: Matches whose places are summed up in one go. The sums of these blocks come first, so that the work is nearly linear in the matches.
+BLOCK = 256
+
+
 def spans(text: Column, kind: str, pattern: str, shortest: int = 0, group: int = 0) -> Column:
     """Array of (kind, start, end) of the matches that are long enough, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
     lengths = F.transform(F.arrays_zip(between.alias("b"), found.alias("m"), values.alias("v")), lambda z: F.struct(F.length(z.b).alias("gap"), F.length(z.m).alias("own"), F.length(z.v).alias("counts")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("spans"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
 
     def add(acc: Column, z: Column) -> Column:
         begin = acc.at + z.gap
@@ -57,8 +61,22 @@ def spans(text: Column, kind: str, pattern: str, shortest: int = 0, group: int =
         new = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(z.counts >= shortest, F.concat(acc.spans, new)).otherwise(acc.spans).alias("spans"))
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return F.when(text.rlike(pattern), F.aggregate(lengths, start, add, lambda acc: acc.spans)).otherwise(none)
+    def within(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), add, lambda acc: acc.spans)
+
+    def after(acc: Column, block: Column) -> Column:
+        length = F.aggregate(block, F.lit(0), lambda n, z: n + z.gap + F.coalesce(z.own, F.lit(0)))
+        return F.struct((acc.at + length).alias("at"), F.concat(acc.starts, F.array(acc.at)).alias("starts"))
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), after, lambda acc: acc.starts)
+        return let(starts, lambda s: F.flatten(F.transform(blocks, lambda block, k: within(block, F.get(s, k)))))
+
+    def cut(z: Column) -> Column:
+        number = F.sequence(F.lit(0), ((F.size(z) - 1) / BLOCK).cast("int"))
+        return let(F.transform(number, lambda k: F.slice(z, k * BLOCK + 1, BLOCK)), placed)
+
+    return F.when(text.rlike(pattern), let(lengths, cut)).otherwise(none)
 
 
 def number(found: Column, kind: str) -> Column:

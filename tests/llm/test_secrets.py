@@ -66,6 +66,14 @@ def test_many_parts_make_no_pairs(spark):
     assert len(secrets.scan(docs).first().linked) == 4000
 
 
+def test_very_many_spans_in_one_text(spark):
+    """More than one block of matches, the last one filled or not."""
+    for n in (255, 256, 257, 511, 512, 60_000):
+        text = "".join(f"é token=abc{i % 7}efgh{'x' * (i % 3)}, " + "secret=ab, " * (i % 2) for i in range(n))
+        row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets.written(F.col("strong")).alias("s")).first()
+        assert row.s == base(text)
+
+
 def test_overlapping_parts_hide_no_complement(spark):
     mixed = "3MVG9lKcPoNINVBIabcd"
     texts = [
