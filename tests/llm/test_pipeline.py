@@ -60,3 +60,50 @@ def test_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+#: Names that the stages use themselves.
+CLASHING = ["failed_bits", "n_words", "component", "node", "keys", "_id", "_hash", "_codes", "_new", "c0", "piece", "contaminated"]
+
+
+def odd_rows(spark, rows):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(i, t, None, "src", None, *CLASHING) for i, t in rows], ddl)
+
+
+def test_odd_rows(spark, prose, sf_dir):
+    """Null ids and texts, an empty and a very long text, repeated rows, ties and clashing names, by each stage on its own."""
+    long = " ".join(f"{w}x{i}" for i, w in enumerate(prose(40000, 7001).split()))
+    one, two = prose(90, 7002), prose(90, 7003)
+    rows = [(1, long), (2, one), (2, one), (None, one), (3, None), (3, None), (4, ""), (5, two), (5, one), (None, two), (None, None)]
+    docs = odd_rows(spark, rows).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert all([r[c] for c in CLASHING] == CLASHING for r in out.select(*(f"`{c}`" for c in CLASHING)).collect())
+        return sorted(((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()), key=str)
+
+    ordered = lambda found: sorted(found, key=str)
+    assert after("quality_rules") == ordered(r for r in rows if r[1])
+    # of each text the least id stays once; texts without words stay, but for repeats of id and text
+    assert after("near_duplicates") == ordered([(1, long), (2, one), (5, two), (3, None), (4, ""), (None, None)])
+    assert after("decontamination") == ordered(rows)
+    assert after("pii_surrogates") == ordered(rows)
+    packed = stages["packing"](spark, docs, sf_dir).collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows)
+    places = {}
+    for r in packed:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in places.values():
+        ends = [0, *(o + n for o, n in sorted(held))]
+        assert [o for o, _ in sorted(held)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_empty_table(spark, sf_dir):
+    docs = odd_rows(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == []
+        assert name == "packing" or out.columns == docs.columns
