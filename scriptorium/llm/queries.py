@@ -51,6 +51,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and rejects alone."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents"))).select("rule", "n_failed", "n_only_this")
+
+
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quotation_linking": op8_quotation_linking,
         "op9_host_reputation": op9_host_reputation,
         "op10_sharding": op10_sharding,
+        "quality_ablation": quality_ablation,
     }
 
 
@@ -134,6 +140,23 @@ FROM m
 """
 
 
+#: When a document of the measurements m fails each rule.
+_RULES_SQL = {
+    "too_few_words": "n_words < 50",
+    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "duplicate_lines": "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines",
+    "short_words": "word_chars < 2 * n_words",
+    "long_words": "word_chars > 20 * n_words",
+}
+
+
+def _ablation_sql() -> str:
+    failed = " + ".join(f"({c})::INT" for c in _RULES_SQL.values())
+    each = " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER ({c}) AS n_failed, count(*) FILTER (({c}) AND fails = 1) AS n_only_this FROM f" for r, c in _RULES_SQL.items())
+    return _QUALITY_SQL[: _QUALITY_SQL.rindex("SELECT doc_id")].rstrip() + f", f AS (SELECT *, {failed} AS fails FROM m) {each}"
+
+
 def _strength_sql(children: str) -> str:
     return f"""
     SELECT CASE WHEN known < 2 THEN {reputation.WEAKEST} WHEN coalesce(w, 0) = 0 OR s <= e THEN {reputation.STRONGEST} ELSE least({reputation.STRONGEST}, greatest({reputation.WEAKEST}, w / (s - e) - 1)) END AS found
@@ -202,4 +225,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": _LEAKS_SQL,
         "op7_quality_rules": _QUALITY_SQL,
         "op9_host_reputation": _reputation_sql(),
+        "quality_ablation": _ablation_sql(),
     }

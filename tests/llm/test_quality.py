@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from scriptorium.llm import quality
+import duckdb
+
+from scriptorium.llm import quality, queries
 
 
 def brute(text):
@@ -51,3 +53,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted((r.doc_id or 0, r.n_words) for r in kept.collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (5, 0), (6, 0)]
     assert quality.ledger(no_docs).count() == 0
     assert quality.accepted(no_docs).count() == 0
+
+
+def test_ablation_query_against_sql(spark, prose, tmp_path):
+    texts = [prose(60, 1), prose(10, 2), None, "", "a b c " * 40, "# $ % & " * 20, "same line here\n" * 6, prose(60, 3) + "\n" + "x" * 4000, "a " * 70]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.quality_ablation(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(duck.execute(queries.oracle_sql()["quality_ablation"]).fetchall())
+    assert {r[0] for r in got} == set(quality.BIT)
