@@ -45,6 +45,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Latest:
+    """The table of an iteration's last round, in the shared scratch folder; the round before it is deleted once the next is written."""
+
+    def __init__(self, label: str) -> None:
+        self.label, self.path = label, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = new_path(spark, self.label)
+        df.write.parquet(self.path)
+        if before:
+            remove(spark, before)
+        return spark.read.schema(df.schema).parquet(self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any longer."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """An estimate of a row's bytes in memory; arrays and maps count by their elements."""
 

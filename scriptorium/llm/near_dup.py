@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, materialize
+from scriptorium.llm.common import Latest, broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,8 @@ def similarity(a: Column, b: Column, near: Near) -> Column:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b), by alternating large-star and small-star steps."""
-    edges = materialize(edges.select("a", "b").where("a != b").distinct(), "edges")
+    rounds = Latest("edges")
+    edges = rounds.put(edges.select("a", "b").where("a != b").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -176,7 +177,7 @@ def connected(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct(), "edges")
+        edges = rounds.put(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

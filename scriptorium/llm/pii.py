@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import broadcast_if_small, let, materialize
+from scriptorium.llm.common import Latest, broadcast_if_small, let, materialize
 
 
 def _cased(titles: str) -> str:
@@ -227,7 +227,8 @@ def later_attempts(mentions: DataFrame, key: str) -> DataFrame:
     def given(rows: DataFrame) -> DataFrame:
         return rows.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key, F.col("female")))
 
-    held = materialize(given(known.withColumn("attempt", F.lit(0))), "pii-surrogates")
+    rounds = Latest("pii-surrogates")
+    held = rounds.put(given(known.withColumn("attempt", F.lit(0))))
     while True:
         # of the entities with one surrogate, the one with the fewest attempts keeps it; a real entity's form is never used
         shared = held.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "norm")).norm.alias("owner"))
@@ -238,7 +239,7 @@ def later_attempts(mentions: DataFrame, key: str) -> DataFrame:
             code = 2 * F.col("attempt") + F.when((F.col("kind") == "name") & (F.col("female") != female(F.col("norm"))), 1).otherwise(0)
             return held.select("kind", "norm", code.alias("code")).where("code > 0")
         again = held.join(broadcast_if_small(lost.withColumn("lost", F.lit(1))), ["kind", "norm"], "left")
-        held = materialize(given(again.select("kind", "norm", "female", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))), "pii-surrogates")
+        held = rounds.put(given(again.select("kind", "norm", "female", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))))
 
 
 def replace_pii(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:

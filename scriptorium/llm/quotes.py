@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import ascii_lower, let, materialize, numbered
+from scriptorium.llm.common import Latest, ascii_lower, let, materialize, numbered
 
 #: Lines that announce a quote, which go with it.
 ANNOUNCES = r"(?i)^(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$|^-{2,}\s*original message\s*-{2,}$"
@@ -110,11 +110,12 @@ def tree_places(rows: DataFrame) -> DataFrame:
         F.struct((2 * F.col("v")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("v") + 1).alias("s"), F.lit(1).cast("long").alias("d")),
         F.struct((2 * F.col("v") + 1).alias("e"), leave.alias("s"), F.lit(0).cast("long").alias("d")),
     )
-    tour = materialize(both.select("c", F.explode(steps).alias("x")).select("c", "x.*"), "quotes-tour")
+    rounds = Latest("quotes-tour")
+    tour = rounds.put(both.select("c", F.explode(steps).alias("x")).select("c", "x.*"))
     while not tour.where("s != 0").isEmpty():
         on = tour.select(F.col("c").alias("nc"), F.col("e").alias("ne"), F.col("s").alias("ns"), F.col("d").alias("nd"))
         met = tour.join(on, tour.c.eqNullSafe(on.nc) & (tour.s == on.ne), "left")
-        tour = materialize(met.select("c", "e", F.coalesce("ns", F.lit(0)).cast("long").alias("s"), (F.col("d") + F.coalesce("nd", F.lit(0))).alias("d")), "quotes-tour")
+        tour = rounds.put(met.select("c", "e", F.coalesce("ns", F.lit(0)).cast("long").alias("s"), (F.col("d") + F.coalesce("nd", F.lit(0))).alias("d")))
     total = tour.groupBy("c").agg(F.max("d").alias("n")).select(F.col("c").alias("tc"), "n")
     entries = tour.where("e % 2 = 0")
     return entries.join(total, entries.c.eqNullSafe(total.tc)).select("c", (F.col("e") / 2).cast("long").alias("v"), (F.col("n") - F.col("d")).alias("place"))

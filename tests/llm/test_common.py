@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 
@@ -41,3 +42,12 @@ def test_words(spark):
     row = spark.createDataFrame([("A é\t\nB\u00a0c",)], "t string").select(common.words(F.col("t")), common.ascii_lower(F.lit("ÀAbZ"))).first()
     assert row[0] == ["A", "é", "B\u00a0c"]
     assert row[1] == "Àabz"
+
+
+def test_latest_deletes_the_round_before(spark, tmp_path):
+    rounds = common.Latest("round")
+    one = rounds.put(spark.range(5))
+    first = rounds.path.removeprefix("file:")
+    two = rounds.put(one.where("id > 2"))
+    assert sorted(r.id for r in two.collect()) == [3, 4]
+    assert not os.path.exists(first) and os.path.exists(rounds.path.removeprefix("file:"))
