@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, web_text
+from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, token_files, web_text
 from scriptorium.llm.common import materialize, new_path, table
 
 #: The key of the sample queries; a real one comes from a secret store.
@@ -60,6 +60,8 @@ def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
+#: The id behind each document in the token files.
+END_TOKEN = 2
 #: (verdict, host/path) of the sample query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -83,6 +85,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
+def op11_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of a new folder hold, read back from them."""
+    path = new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_TOKEN)
+    return token_files.read(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -95,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quotation_linking": op8_quotation_linking,
         "op9_host_reputation": op9_host_reputation,
         "op10_sharding": op10_sharding,
+        "op11_packed_token_files": op11_packed_token_files,
         "quality_ablation": quality_ablation,
     }
 
