@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, token_files, web_text
-from scriptorium.llm.common import materialize, new_path, table
+from scriptorium.llm import decontaminate, merkle, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, token_files, web_text
+from scriptorium.llm.common import ascii_lower, materialize, new_path, table
 
 #: The key of the sample queries; a real one comes from a secret store.
 KEY = "sample-key"
@@ -92,6 +92,17 @@ def op11_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, ("doc_id", "start", "n_tokens", "ids_crc32"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's proof, and what it gives for a copy of the table in which a third of the texts has changed."""
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    told = merkle.leaf([changed if f == "text" else F.col(f) for f in merkle.FIELDS])
+    manifest = merkle.build(table(spark, sf_dir, "documents"), kept={"doc_id": F.col("doc_id"), "told": told})
+    root = F.lit(manifest.root.hex() if manifest.root else None).cast("string")
+    found = merkle.proofs(manifest).withColumn("folded_root", merkle.folded_root(F.col("told")))
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot")]
+    return found.select("doc_id", *hexed, root.alias("root"), merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -105,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_host_reputation": op9_host_reputation,
         "op10_sharding": op10_sharding,
         "op11_packed_token_files": op11_packed_token_files,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "quality_ablation": quality_ablation,
     }
 
@@ -228,12 +240,50 @@ def _reputation_sql() -> str:
     """
 
 
+#: The checksum of a number's digits (it is at most twenty bytes long), bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, d: list_reduce(list_prepend(xor(c, d), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+def _field_sql(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || {column} END"
+
+
+def _merkle_sql() -> str:
+    fields = " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))
+    climb = """
+      SELECT doc_id, l.tree, p.level + 1, p.index // 8, sha256(string_agg(CASE WHEN l.index = p.index THEN p.own ELSE l.h END, '' ORDER BY l.index)),
+        any_value(p.found) || coalesce(string_agg(l.h, '' ORDER BY l.index) FILTER (l.index <> p.index), '')
+      FROM {path} p JOIN nodes l ON l.tree = p.tree AND l.level = p.level AND l.index // 8 = p.index // 8 WHERE l.n > 1 GROUP BY doc_id, l.tree, p.level, p.index, p.own"""
+    last = "(SELECT * FROM {path} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1)"
+    return f"""
+    WITH RECURSIVE changed AS (SELECT *, CASE WHEN {_CRC_SQL} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM documents),
+    leaves AS (
+      SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS index, count(*) OVER (PARTITION BY lang) AS n,
+        sha256({fields} || {_field_sql("text")}) AS h, sha256({fields} || {_field_sql("other")}) AS told
+      FROM changed),
+    below AS (
+      SELECT tree, 0 AS level, index, h, n FROM leaves
+      UNION ALL SELECT tree, level + 1, index // 8, sha256(string_agg(h, '' ORDER BY index)), any_value((n + 7) // 8) FROM below WHERE n > 1 GROUP BY tree, level, index // 8),
+    subroots AS (SELECT tree, h FROM below WHERE n = 1),
+    above AS (
+      SELECT -1 AS tree, 0 AS level, tree AS index, h, (SELECT count(*) FROM subroots) AS n FROM subroots
+      UNION ALL SELECT tree, level + 1, index // 8, sha256(string_agg(h, '' ORDER BY index)), any_value((n + 7) // 8) FROM above WHERE n > 1 GROUP BY tree, level, index // 8),
+    nodes AS (SELECT * FROM below UNION ALL SELECT * FROM above),
+    path AS (SELECT doc_id, tree, 0 AS level, index, told AS own, '' AS found FROM leaves UNION ALL {climb.format(path="path")}),
+    top_path AS (SELECT doc_id, -1 AS tree, 0 AS level, tree AS index, own, found FROM {last.format(path="path")} UNION ALL {climb.format(path="top_path")})
+    SELECT doc_id, leaves.h AS leaf, subroots.h AS subroot, root.h AS root, sha256(found) AS proof_sha256, own AS folded_root, own = root.h AS verified
+    FROM leaves JOIN subroots USING (tree) JOIN {last.format(path="top_path")} t USING (doc_id) CROSS JOIN (SELECT h FROM above WHERE n = 1) root
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    """Surrogates, packings, page trees, nested quotes, slot maps and linked spans have no SQL form; tests hold them against brute force."""
+    """Surrogates, packings, page trees, nested quotes, slot maps, linked spans and token files have no SQL form here; their tests stand in tests/llm."""
     return {
         "op4_minhash_near_dedup": _NEAR_SQL,
         "op6_decontaminate": _LEAKS_SQL,
         "op7_quality_rules": _QUALITY_SQL,
         "op9_host_reputation": _reputation_sql(),
+        "op12_merkle_manifest": _merkle_sql(),
         "quality_ablation": _ablation_sql(),
     }
