@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, merkle, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, token_files, web_text
+from scriptorium.llm import decontaminate, merkle, near_dup, packing, pii, quality, quotes, reputation, secrets, sharding, token_files, web_text, whitening
 from scriptorium.llm.common import ascii_lower, materialize, new_path, table
 
 #: The key of the sample queries; a real one comes from a secret store.
@@ -103,6 +103,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *hexed, root.alias("root"), merkle.proof_digest().alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
@@ -117,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_packed_token_files": op11_packed_token_files,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "quality_ablation": quality_ablation,
     }
 
@@ -278,7 +283,7 @@ def _merkle_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Surrogates, packings, page trees, nested quotes, slot maps, linked spans and token files have no SQL form here; their tests stand in tests/llm."""
+    """Surrogates, packings, page trees, nested quotes, slot maps, linked spans, token files and eigenvectors have no SQL form here; their tests stand in tests/llm."""
     return {
         "op4_minhash_near_dedup": _NEAR_SQL,
         "op6_decontaminate": _LEAKS_SQL,
