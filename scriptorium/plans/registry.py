@@ -13,7 +13,7 @@ from scriptorium.engine import Engine
 from scriptorium.functions import files, payload, text
 from scriptorium.operators import catalog, chunks, retention, search
 from scriptorium.sources import uploads
-from scriptorium.sources.extract import docx_of
+from scriptorium.sources.extract import docx_of, pdf_of, pdf_page_rows
 from scriptorium.sources.store import TextStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +433,38 @@ def read_docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.accept(rows)[0].select("filename", "text")
 
 
+#: The lines of a text that hold anything but white space, stripped.
+_PDF_LINES = """(SELECT doc_id, string_agg(trim(line), chr(10) ORDER BY k) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE trim(line) <> '' GROUP BY doc_id)"""
+
+
+def _as_pdf(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), pdf_of(F.col("text")).alias("content"))
+
+
+@query(
+    f"""
+    SELECT d.doc_id || '.pdf' AS filename, coalesce(l.text, '') AS lines, CAST(ceil(len(string_split(d.text, chr(10))) / 50) AS INT) AS total_pages, CAST(NULL AS VARCHAR) AS extract_error
+    FROM documents d LEFT JOIN {_PDF_LINES} l USING (doc_id) WHERE d.text IS NOT NULL
+    """
+)
+def read_pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as PDFs (packed objects, reference streams, compressed pages, a font with its own codes), and read again as uploads."""
+    read = uploads.accept(_as_pdf(documents(spark, sf_dir)))[0]
+    return read.select("filename", F.array_join(text.lines(F.col("text")), "\n").alias("lines"), "total_pages", "extract_error")
+
+
+@query(
+    """
+    SELECT filename, CAST(k // 50 AS INT) + 1 AS page_no, coalesce(string_agg(trim(line), chr(10) ORDER BY k) FILTER (trim(line) <> ''), '') AS lines
+    FROM (SELECT doc_id || '.pdf' AS filename, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL)
+    GROUP BY filename, k // 50
+    """
+)
+def read_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files, a row a page."""
+    return pdf_page_rows(_as_pdf(documents(spark, sf_dir))).select("filename", "page_no", F.array_join(text.lines(F.col("page_text")), "\n").alias("lines"))
+
+
 _BODIES = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE source || '.txt' END AS filename, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents"
 
 

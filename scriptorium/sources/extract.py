@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.files import IMAGES, PLAIN, extension
 from scriptorium.functions.text import utf8_or_latin1
+from scriptorium.sources import pdf
 
 #: What stands in for text that cannot be extracted.
-NO_PDF = "pdfminer.six is not installed; cannot read PDFs yet."
 NO_OCR = "pytesseract/Pillow not installed or Tesseract not available; cannot OCR images yet."
 PDF_ERROR, DOCX_ERROR, OCR_ERROR = "[PDF extract error] ", "[DOCX extract error] ", "[OCR error] "
 
@@ -52,16 +52,41 @@ def docx_of(text: Column) -> Column:
 
 
 def pdf_text(content: bytes) -> tuple[str, str | None]:
+    """The pages of a PDF, a form feed behind each."""
     try:
-        from pdfminer.high_level import extract_text
-    except ImportError:
-        return NO_PDF, NO_PDF
-    try:
-        return extract_text(io.BytesIO(content)), None
+        return "".join(f"{page}\n\f" for page in pdf.page_texts(content)), None
     except Exception as e:
         return f"{PDF_ERROR}{e}", str(e)
 
 
+def pdf_of(text: Column, lines_per_page: int = 50) -> Column:
+    """Texts as PDF files, a line a line."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: pdf.written(t, lines_per_page), na_action="ignore")
+
+    return F.pandas_udf(run, "binary")(text)
+
+
+def pdf_page_rows(files: DataFrame) -> DataFrame:
+    """A row (all but content, page_no, page_text) for each page of the files; one with nulls for what is no PDF that can be read."""
+    kept = [c for c in files.columns if c != "content"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.iloc[[k]]
+                try:
+                    pages = list(enumerate(pdf.page_texts(bytes(row["content"].iloc[0])), 1))
+                except Exception:
+                    pages = [(None, None)]
+                out = row[kept].loc[row.index.repeat(len(pages))]
+                yield out.assign(page_no=pd.array([n for n, _ in pages], "Int32"), page_text=[t for _, t in pages])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.schema.fields if f.name != "content")
+    return files.mapInPandas(run, f"{kinds}page_no int, page_text string")
+
+
 def image_text(content: bytes) -> tuple[str, str | None]:
     try:
         import pytesseract
@@ -74,15 +99,6 @@ def image_text(content: bytes) -> tuple[str, str | None]:
         return f"{OCR_ERROR}{e}", str(e)
 
 
-def pdf_pages(content: bytes) -> int | None:
-    for module in ("pypdf", "PyPDF2"):
-        try:
-            return len(__import__(module).PdfReader(io.BytesIO(content)).pages)
-        except Exception:  # no library, or not a PDF: the number is unknown
-            continue
-    return None
-
-
 #: Readers by extension; a caller may add to them.
 READERS: dict[str, Callable[[bytes], tuple[str, str | None]]] = {"pdf": pdf_text, "docx": docx_text} | dict.fromkeys(IMAGES, image_text)
 
@@ -100,7 +116,7 @@ def extract(files: DataFrame, readers: dict[str, Callable] | None = None) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [readers[e](bytes(c)) if e in readers else ("", None) for e, c in zip(batch["_ext"], batch["content"], strict=True)]
-            pages = [pdf_pages(bytes(c)) if e == "pdf" else None for e, c in zip(batch["_ext"], batch["content"], strict=True)]
+            pages = [pdf.page_count(bytes(c)) if e == "pdf" else None for e, c in zip(batch["_ext"], batch["content"], strict=True)]
             yield batch[kept].assign(text=[t for t, _ in found], extract_error=[e for _, e in found], total_pages=pd.array(pages, "Int32"))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
