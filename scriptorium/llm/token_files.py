@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -316,11 +318,62 @@ PRE_TOKENIZERS = [
     {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
-#: Words of signs that no normalizer joins or changes but to lower case, and where the pattern cuts them.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Signs that no normalizer joins or changes but to lower case, and where the pattern cuts words of them.
+PLAIN = "!-~À-ÖØ-öø-ÿ"
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Words and cuts that a task remembers before it forgets them all.
-REMEMBERED = 200_000
+#: Words, and cuts of words, that a worker remembers before it forgets them.
+REMEMBERED = 500_000
+
+
+def _visible() -> dict[int, str]:
+    """The signs by which a byte-level vocabulary writes bytes: themselves where they are visible, else from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(visible))}
+
+
+def _bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Cuts(dict):
+    """Ids of the cuts of words, by the model of the library alone."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenize, self.signs = tokenizer.model.tokenize, _visible()
+
+    def __missing__(self, cut: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        signs = cut if cut.isascii() else cut.encode().decode("latin-1").translate(self.signs)
+        ids = self[cut] = _bytes([t.id for t in self.tokenize(signs)])
+        return ids
+
+
+class _Words(dict):
+    """Ids of words without white space."""
+
+    def __init__(self, tokenizer: Tokenizer, special: list[str]) -> None:
+        self.whole, self.cuts = tokenizer.encode, _Cuts(tokenizer)
+        # a sign that special tokens begin with is left to the library
+        self.plain = re.compile(f"(?:(?![{re.escape(''.join({t[0] for t in special}))}])[{PLAIN}])+" if special else f"[{PLAIN}]+")
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if word.isalpha():  # ASCII letters alone
+            ids = self.cuts[word.lower().decode()]
+        elif self.plain.fullmatch(text := word.decode("utf-8", "replace")):
+            ids = b"".join(map(self.cuts.__getitem__, CUT.findall(text.lower())))
+        else:
+            ids = _bytes(self.whole(text, add_special_tokens=False).ids)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+
+#: Bytes of the longest word that is remembered.
+LONGEST = 256
 
 
 class Encoder:
@@ -341,38 +394,23 @@ class Encoder:
             and not model.get("dropout")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] for t in extra)
         )
-        self.special = tuple(t["content"] for t in extra)
-        self.words: dict[bytes, bytes] = {}
-        self.cuts: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer, [t["content"] for t in extra])
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _learn(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        border = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(pieces) + 1))
-        self.cuts.update((p, ids[a:b].tobytes()) for p, a, b in zip(pieces, border[:-1].tolist(), border[1:].tolist(), strict=True))
+    def __call__(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return _bytes(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        return b"".join(map(self.words.__getitem__, text.split()))  # at the six ASCII spaces
 
-    def _pieces(self, word: bytes) -> list[str]:
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text) and not any(s in text for s in self.special)
-        return CUT.findall(text.lower()) if plain else [text]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return [np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        if len(self.words) > REMEMBERED or len(self.cuts) > REMEMBERED:
-            self.words, self.cuts = {}, {}
-        split = [t.split() for t in texts]  # at the six ASCII spaces
-        new = {w: self._pieces(w) for w in {w for ws in split for w in ws if w not in self.words}}
-        unknown = list({p for ps in new.values() for p in ps if p not in self.cuts})
-        for at in range(0, len(unknown), 50_000):
-            self._learn(unknown[at : at + 50_000])
-        self.words.update((w, b"".join([self.cuts[p] for p in ps])) for w, ps in new.items())
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; a worker keeps it, with what it remembers, from task to task."""
+    return Encoder(path)
 
 
 def _encoded(docs: DataFrame, tokenizer_path: str, end_token: int) -> DataFrame:
@@ -380,8 +418,8 @@ def _encoded(docs: DataFrame, tokenizer_path: str, end_token: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path)
-        end = np.array([end_token], "<u4").tobytes()
+        encode = encoder(tokenizer_path)
+        end = _bytes([end_token])
         for whole in batches:
             texts = whole.column("text").cast(pa.large_binary())
             at = 0
@@ -389,7 +427,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, end_token: int) -> DataFrame:
                 taken: list[bytes] = []
                 while at + len(taken) < whole.num_rows and len(taken) < 500 and sum(map(len, taken[-1:])) < RUN:
                     taken.append(texts[at + len(taken)].as_py() or b"")
-                ids = [x + end for x in encode(taken)]
+                ids = [encode(t) + end for t in taken]
                 borders = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), "<i4")
                 yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(at, len(taken)), pa.ListArray.from_arrays(pa.array(borders), pa.array(values))], names=["doc_id", "ids"])

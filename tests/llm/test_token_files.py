@@ -62,7 +62,7 @@ def own():
 
 def same(encoder, own, texts):
     want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert encoder([t.encode() for t in texts]) == want
+    assert [encoder(t.encode()) for t in texts] == want
 
 
 def test_every_code_point_in_context(encoder, own):
@@ -81,6 +81,13 @@ def test_random_texts(encoder, own, texts):
     same(encoder, own, texts)
 
 
+def test_what_is_remembered_is_bounded(own, monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 3)
+    e = token_files.Encoder(WORD)
+    same(e, own, [f"a{k} b{k}c don't a{k} " + "y" * 300 for k in range(20)])
+    assert len(e.words) <= 3 and len(e.words.cuts) <= 3
+
+
 def test_other_tokenizer_files_run_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = token_files.Encoder(path)
