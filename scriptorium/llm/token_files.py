@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 FORMAT = "packed_ids"
@@ -206,7 +206,11 @@ def manifest(path: str) -> dict:
 
 
 class PackedIds(DataSource):
-    """format("packed_ids"): writes sorted rows (doc_id, ids array<int>) and reads them back; options path, vocabulary (to write), columns (to read)."""
+    """format("packed_ids"): writes sorted rows and reads them back.
+
+    Rows to write are (doc_id, ids array<int>) with the option vocabulary, or (doc_id, text) with the options tokenizer and
+    end_token; texts are then tokenized where they are written. What is read are the columns that the option of that name lists.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -217,34 +221,44 @@ class PackedIds(DataSource):
         return T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in self.options.get("columns", "doc_id,start,n_tokens,ids").split(",")])
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], int(self.options["vocabulary"]), schema)
+        given = self.options.get("tokenizer")
+        end_token = int(self.options["end_token"]) if given else -1
+        vocabulary = max(Encoder(given).vocabulary, end_token + 1) if given else int(self.options["vocabulary"])
+        return _Writer(self.options["path"], vocabulary, schema, given, end_token)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self.options["path"], schema)
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, vocabulary: int, schema: T.StructType) -> None:
-        self.path, self.vocabulary, self.schema = path, vocabulary, schema
+    def __init__(self, path: str, vocabulary: int, schema: T.StructType, tokenizer: str | None, end_token: int) -> None:
+        self.path, self.vocabulary, self.schema, self.tokenizer, self.end_token = path, vocabulary, schema, tokenizer, end_token
+
+    def _pieces(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        if self.tokenizer:
+            yield from _encoded(batch, encoder(self.tokenizer), self.end_token)
+        else:
+            ids = batch.column("ids")
+            yield batch.column("doc_id"), ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), ids.value_lengths().fill_null(0).to_numpy().astype(np.int64)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         part = TaskContext.get().partitionId()
         fs, root = filesystem(self.path)
         name, out, keys, sizes = f"part-{part:05d}-{uuid.uuid4().hex}.ids", None, [], []
-        key = to_arrow_schema(T.StructType([self.schema["doc_id"]]))
+        key = to_arrow_schema(T.StructType([self.schema["doc_id"]])).field(0).type
         for batch in iterator:
             if batch.num_rows == 0:
                 continue
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = FileWriter(fs.open_output_stream(f"{root}/{name}"), bits_for(self.vocabulary))
-            ids = batch.column("ids")
-            out.add(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
-            keys.append(batch.column("doc_id"))
-            sizes.append(ids.value_lengths().cast(pa.int64()))
+            for key_part, ids, n in self._pieces(batch):
+                out.add(ids)
+                keys.append(pa.concat_arrays([key_part]))  # a copy, not a view of the batch
+                sizes.append(pa.array(n))
         if out is None:
             return Written(part)
-        documents = pa.table({"doc_id": pa.chunked_array(keys, key.field(0).type), "n_tokens": pa.chunked_array(sizes, pa.int64())})
+        documents = pa.table({"doc_id": pa.chunked_array(keys, key), "n_tokens": pa.chunked_array(sizes, pa.int64())})
         out.close(documents)
         out.out.close()
         return Written(part, name, documents.num_rows, out.n_ids)
@@ -322,7 +336,7 @@ PRE_TOKENIZERS = [
 PLAIN = "!-~À-ÖØ-öø-ÿ"
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Words, and cuts of words, that a worker remembers before it forgets them.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def _visible() -> dict[int, str]:
@@ -413,27 +427,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(docs: DataFrame, tokenizer_path: str, end_token: int) -> DataFrame:
-    """(doc_id, ids array<int>) of each row, in the order of the rows."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
-        end = _bytes([end_token])
-        for whole in batches:
-            texts = whole.column("text").cast(pa.large_binary())
-            at = 0
-            while at < whole.num_rows:
-                taken: list[bytes] = []
-                while at + len(taken) < whole.num_rows and len(taken) < 500 and sum(map(len, taken[-1:])) < RUN:
-                    taken.append(texts[at + len(taken)].as_py() or b"")
-                ids = [encode(t) + end for t in taken]
-                borders = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = np.frombuffer(b"".join(ids), "<i4")
-                yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(at, len(taken)), pa.ListArray.from_arrays(pa.array(borders), pa.array(values))], names=["doc_id", "ids"])
-                at += len(taken)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+def _encoded(batch: pa.RecordBatch, encode: Encoder, end_token: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, numbers of ids) of the texts of a batch, some at a time."""
+    end, texts, at = _bytes([end_token]), batch.column("text"), 0
+    while at < batch.num_rows:
+        ids: list[bytes] = []
+        size = 0
+        while at + len(ids) < batch.num_rows and size < RUN:
+            text = texts.slice(at + len(ids), 1).cast(pa.large_binary())[0].as_py() or b""
+            ids.append(encode(text) + end)
+            size += len(ids[-1])
+        yield batch.column("doc_id").slice(at, len(ids)), np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        at += len(ids)
 
 
 def register(spark: SparkSession) -> None:
@@ -447,11 +452,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_token: int) -> No
     end is spread over as many files as it fills. Texts are tokenized behind the sort, so each is encoded once.
     """
     register(docs.sparkSession)
-    vocabulary = max(Encoder(tokenizer_path).vocabulary, end_token + 1)
     keys = ["doc_id", "_hash", "_place"]
     placed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
-    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    _encoded(ordered, tokenizer_path, end_token).write.format(FORMAT).option("path", path).option("vocabulary", vocabulary).mode("append").save()
+    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    ordered.write.format(FORMAT).options(path=path, tokenizer=tokenizer_path, end_token=end_token).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

@@ -170,6 +170,16 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path, many_files):
     assert empty.collect() == [] and empty.columns == list(token_files.COLUMNS)
 
 
+def test_ids_that_exist_already(spark, tmp_path):
+    path = str(tmp_path / "given")
+    token_files.register(spark)
+    rows = spark.createDataFrame([(1, [5, 0, 99]), (2, []), (3, None), (4, [7])], "doc_id long, ids array<int>").coalesce(1)
+    rows.write.format(token_files.FORMAT).options(path=path, vocabulary=100).mode("append").save()
+    assert token_files.manifest(path)["bits"] == 7
+    got = token_files.read(spark, path, ("doc_id", "start", "ids")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, [5, 0, 99]), (2, 3, []), (3, 3, []), (4, 3, [7])]
+
+
 def test_ids_of_documents_may_be_strings(spark, tmp_path):
     path = written(spark.createDataFrame([("b", "x"), ("a", "y y")], "doc_id string, text string"), tmp_path)
     assert [(r.doc_id, r.start) for r in token_files.read(spark, path).orderBy("start").collect()] == [("a", 0), ("b", 3)]
