@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.engine import Engine
 from scriptorium.functions import files, payload, text
-from scriptorium.operators import catalog, chunks, retention, search
+from scriptorium.operators import catalog, chunks, everywhere, grams, retention, search
+from scriptorium.scratch import new_folder
 from scriptorium.sources import uploads
 from scriptorium.sources.extract import docx_of, pdf_of, pdf_page_rows
 from scriptorium.sources.store import TextStore
@@ -47,14 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own below spark.checkpoint.dir; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.gettempdir()).rstrip('/')}/lake-{uuid.uuid4().hex}"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -144,6 +136,33 @@ def search_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode(search.hits(F.col("text"), "license", 2**31 - 1)).alias("line"))
 
 
+_QUESTIONS = ["the and", "License", "The WITH by", "zzzz", "rights reserved."]
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS question, * FROM ({_search_sql(search.words_of(q))})" for q in _QUESTIONS))
+def search_by_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches through an index of all texts: common, rare and absent words."""
+    docs = documents(spark, sf_dir)
+    index = grams.indexed(docs)
+    found = [index.search_lines(docs, q).select(F.lit(q).alias("question"), "doc_id", "hit_no", "line") for q in _QUESTIONS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    f"""
+    WITH asked AS (SELECT conv_id, turn, string_split(text, ' ')[-1] AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+    words AS (SELECT DISTINCT question, list_filter(string_split(replace(lower(question), chr(10), ' '), ' '), lambda w: length(w) > 2) AS ws FROM asked),
+    met AS (SELECT question, row_number() OVER (PARTITION BY question ORDER BY doc_id, line_no) AS n, doc_id, line FROM words, ({_LINES}) l WHERE len(list_filter(ws, lambda w: NOT contains(lower(line), w))) = 0)
+    SELECT conv_id, turn, CAST(n AS INT) AS hit_no, doc_id, line FROM asked JOIN met USING (question) WHERE n <= 8
+    """
+)
+def ask_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last word of every user turn, asked of all documents: the first eight hits of each."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
+    asked = turns.select("conv_id", "turn", F.substring_index("text", " ", -1).alias("question"))
+    return everywhere.ask_everywhere(asked, documents(spark, sf_dir)).select("conv_id", "turn", "hit_no", "doc_id", "line")
+
+
 _ASKED_SQL = """
     SELECT q.conv_id, q.turn, trim(coalesce(q.text, '')) AS question, coalesce(d.text, '') AS text
     FROM (SELECT conv_id, turn, {question} AS text FROM conversations WHERE role = 'user') q

@@ -1,0 +1,94 @@
+"""The substring index and questions to all documents, against plain scans."""
+
+import random
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from scriptorium.operators import everywhere, grams, search
+from scriptorium.scratch import new_folder
+
+DDL = "doc_id long, text string, lang string"
+
+
+@given(st.text(max_size=30))
+def test_grams_of(text):
+    want = {text[i : i + 3] for i in range(len(text) - 2) if not any(c.isspace() for c in text[i : i + 3])}
+    unpacked = {"".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0)) for g in grams.grams_of(text).tolist()}
+    assert unpacked == {w.encode("utf-8", "surrogatepass").decode("utf-8", "replace") for w in want} or unpacked == want
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(4)
+    words = "abc abcd bcd Été été xyz xyzzy the The [x] a.b 𝄞𝄞𝄞 of to".split()
+    rows = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randrange(5))) for _ in range(rng.randrange(6))), "en") for i in range(400)]
+    rows += [(7, "abc again\nxyz", "en"), (1000, None, "en"), (1001, "", "en"), (None, "abc abcd", "en"), (1002, "x" * 50_000 + " end\n" + "rareword", "en")]
+    return spark.createDataFrame(rows, DDL).repartition(5).cache()
+
+
+QUESTIONS = ["abc", "abcd xyzzy", "ÉTÉ", "rareword", "x" * 40, "a.b [x]", "𝄞𝄞𝄞", "nothing", "abcxyz", "of to", "", "abc nothing"]
+
+
+def same_as_scan(index, docs, question):
+    got = sorted(tuple(r) for r in index.search_lines(docs, question).collect())
+    assert got == sorted(tuple(r) for r in search.search_lines(docs.where("doc_id is not null"), question).collect())
+
+
+@pytest.mark.parametrize(("segment", "buckets", "named"), [(4096, 8, 1000), (7, 3, 5)])
+def test_as_the_scan(spark, docs, monkeypatch, segment, buckets, named):
+    monkeypatch.setattr(grams, "SEGMENT", segment)
+    monkeypatch.setattr(grams, "NAMED", named)
+    named_docs = docs.where("doc_id is not null")
+    index = grams.GramIndex(spark, new_folder(spark, "grams"), buckets)
+    index.add(named_docs.where("doc_id % 2 = 0"))
+    index.add(named_docs.where("doc_id % 2 = 1"))  # it grows
+    for q in QUESTIONS:
+        same_as_scan(index, named_docs, q)
+
+
+def test_what_a_search_reads(spark, docs, monkeypatch):
+    """Only the folders of its own grams, and of the texts only those that the candidates' ids leave."""
+    index = grams.indexed(docs, 16)
+    assert [r.doc_id for r in index.candidates(["rareword"]).collect()] == [1002]
+    assert len(index._lists(index.rarest(["rareword"])).inputFiles()) <= len(spark.read.parquet(index.path).inputFiles())
+    plan = index._lists(index.rarest(["rareword"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "In(gram" in plan
+    assert index.search_lines(docs, "rareword").count() == 1
+
+
+def test_an_empty_index(spark, docs):
+    index = grams.indexed(docs.limit(0).unionByName(docs.where("doc_id = 1001")))
+    assert index.search_lines(docs.where("doc_id = 1001"), "abc").collect() == []
+
+
+def brute(questions, rows, top):
+    texts = sorted((i, t) for i, t, _ in rows if i is not None and t is not None)
+    out = []
+    for number, q in questions:
+        words = [w for w in (q or "").lower().split() if len(w) > 2]
+        hits = [(i, line.strip()) for i, t in texts for line in t.split("\n") if line.strip() and all(w in line.lower() for w in words)]
+        out += [(number, k, i, line) for k, (i, line) in enumerate(hits[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("top", "block"), [(8, 1 << 20), (3, 40), (1, 10)])
+def test_every_question_of_every_document(spark, docs, top, block):
+    rows = [tuple(r) for r in docs.collect() if r.doc_id != 7] + [(7, "abc again\nxyz", "en")]
+    once = spark.createDataFrame(rows, DDL).repartition(6)
+    questions = [*enumerate(QUESTIONS), (90, None), (91, "abc"), (92, "xyz the"), (93, "THE xyz xyz")]
+    asked = spark.createDataFrame([(n, q, 1) for n, q in questions], "number long, question string, line_no int")
+    got = everywhere.ask_everywhere(asked, once, top, block)
+    assert got.columns == ["number", "question", "line_no", "hit_no", "doc_id", "line"]
+    assert sorted((r.number, r.hit_no, r.doc_id, r.line) for r in got.collect()) == brute(questions, rows, top)
+
+
+def test_no_questions_and_no_documents(spark, docs):
+    asked = spark.createDataFrame([(1, "abc")], "n long, question string")
+    assert everywhere.ask_everywhere(asked.limit(0), docs).collect() == []
+    assert everywhere.ask_everywhere(asked, docs.limit(0)).collect() == []
+    twice = docs.where("doc_id = 7").select("doc_id", F.lit("abc").alias("text"))
+    assert [r.hit_no for r in everywhere.ask_everywhere(asked, twice).collect()] == [1]  # rows that share id and text are one
