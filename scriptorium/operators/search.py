@@ -70,13 +70,41 @@ def search_answers(docs: DataFrame, question: str, top: int = TOP) -> DataFrame:
     return docs.select("doc_id", answer_of(hits(F.col("text"), question, top)).alias("answer"))
 
 
-def ask(questions: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
-    """Questions (with doc_id and question, and any other columns) answered from the texts of their documents: ok, answer."""
-    asked = questions.withColumn("_asked", strip(F.coalesce("question", F.lit("")))).withColumn("_words", query_words(F.col("_asked")))
-    texts = docs.select(F.col("doc_id"), F.col("text").alias("_text"))
-    joined = asked.join(texts, "doc_id", "left").withColumn("_text", F.coalesce("_text", F.lit("")))
-    matched = F.filter(raw_lines(F.col("_text")), lambda s: F.forall("_words", lambda w: F.contains(F.lower(s), w)) & s.rlike(f"(?!{SPACE})(?s:.)"))
+def answered(asked: DataFrame, top: int = TOP) -> DataFrame:
+    """Rows with question and _text (empty where there is none), with ok and answer."""
+    rows = asked.withColumn("_asked", strip(F.coalesce("question", F.lit("")))).withColumn("_words", query_words(F.col("_asked")))
+    matched = F.filter(raw_lines(F.col("_text")), lambda s: _holds(s, F.col("_words")))
     found = F.transform(F.slice(matched, 1, top), strip)
-    ok = (F.col("_asked") != "") & (F.col("_text") != "")
-    answer = F.when(F.col("_asked") == "", F.lit(NO_QUESTION)).when(F.col("_text") == "", F.lit(NO_TEXT)).otherwise(answer_of(found))
-    return joined.select(*questions.columns, ok.alias("ok"), answer.alias("answer"))
+    return _judged(rows, found, F.col("_text") != "")
+
+
+def _holds(line: Column, wanted: Column) -> Column:
+    return F.forall(wanted, lambda w: F.contains(F.lower(line), w)) & line.rlike(f"(?!{SPACE})(?s:.)")
+
+
+def _judged(rows: DataFrame, found: Column, has_text: Column) -> DataFrame:
+    answer = F.when(F.col("_asked") == "", F.lit(NO_QUESTION)).when(~has_text, F.lit(NO_TEXT)).otherwise(answer_of(found))
+    return rows.withColumns({"ok": (F.col("_asked") != "") & has_text, "answer": answer})
+
+
+#: Questions that share a copy of a text.
+TOGETHER = 64
+
+
+def ask(questions: DataFrame, docs: DataFrame, top: int = TOP) -> DataFrame:
+    """Questions (with doc_id and question, and any other columns) answered from the texts of their documents: ok, answer.
+
+    Distinct sets of words travel to a text, in groups of about ``TOGETHER``, so that a text is copied once for so many questions and
+    split into lines once for them, and the questions of one document, however many, are as many tasks' work as they fill.
+    """
+    columns = questions.columns
+    rows = questions.withColumn("_asked", strip(F.coalesce("question", F.lit("")))).withColumn("_words", F.array_sort(F.array_distinct(query_words(F.col("_asked")))))
+    sets = rows.where("doc_id is not null and _asked != ''").select("doc_id", "_words").distinct()
+    many = sets.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_groups"))
+    dealt = sets.join(many, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("_words"), F.col("_groups")).alias("_group")).agg(F.collect_list("_words").alias("_sets"))
+    texts = docs.where("text != ''").select("doc_id", F.col("text").alias("_text"))
+    met = dealt.join(texts, "doc_id").select("doc_id", "_sets", raw_lines(F.col("_text")).alias("_lines"))
+    found = F.transform("_sets", lambda ws: F.struct(ws.alias("_words"), F.transform(F.slice(F.filter("_lines", lambda s: _holds(s, ws)), 1, top), strip).alias("_found")))
+    hits_ = met.select("doc_id", F.explode(found).alias("h")).select("doc_id", "h._words", "h._found")
+    out = rows.join(hits_, ["doc_id", "_words"], "left")
+    return _judged(out, F.col("_found"), F.col("_found").isNotNull()).select(*columns, "ok", "answer")

@@ -14,7 +14,7 @@ from scriptorium.operators import catalog, chunks, everywhere, grams, retention,
 from scriptorium.scratch import new_folder
 from scriptorium.sources import uploads
 from scriptorium.sources.extract import docx_of, pdf_of, pdf_page_rows
-from scriptorium.sources.store import TextStore
+from scriptorium.sources.store import TextStore, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -365,11 +365,12 @@ def _as_uploads(docs: DataFrame) -> DataFrame:
     """
 )
 def doc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred uploads exist already, the others come in."""
+    """The first hundred uploads exist already, the others come in, folded into the buckets of their ids."""
     rows = _as_uploads(documents(spark, sf_dir))
-    first = rows.where("seq < 100").drop("seq")
-    table_ = catalog.upsert_documents(first, rows.where("seq >= 100"))
-    return table_.select("doc_id", "user_id", "filename", "status", "size_bytes", "total_pages", F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"))
+    engine = Engine(spark, new_folder(spark))
+    engine.upsert(rows.where("seq < 100"))
+    engine.upsert(rows.where("seq >= 100"))
+    return engine.catalog().select("doc_id", "user_id", "filename", "status", "size_bytes", "total_pages", F.unix_seconds("created_at").alias("created_s"), F.unix_seconds("updated_at").alias("updated_s"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id = 7 THEN 'indexed' ELSE 'uploaded' END AS status FROM documents")
@@ -433,6 +434,42 @@ def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.index(docs.select("doc_id", F.col("lang").alias("extracted_text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS created_at FROM events")
+def chunk_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk rows made at the times of events, in whole seconds."""
+    events = table(spark, sf_dir, "events")
+    rows = catalog.chunk_table_rows(events.withColumn("chunk_id", F.col("event_id").cast("string")), F.col("ts"))
+    return rows.select(F.col("chunk_id").cast("long").alias("event_id"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("SELECT doc_id || '.txt' AS filename, CASE WHEN strlen(text) > 4096 THEN 'file too large' END AS error FROM documents WHERE text IS NOT NULL")
+def upload_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are over a limit of 4 KiB."""
+    rows = documents(spark, sf_dir).where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.encode("text", "UTF-8").alias("content"))
+    accepted, rejected = uploads.within_limit(rows, 4096)
+    return accepted.select("filename", F.lit(None).cast("string").alias("error")).unionByName(rejected)
+
+
+@query("SELECT TRUE AS ok, TRUE AS store, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS texts")
+def store_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a store of all documents can be read, and how many texts it holds."""
+    engine = Engine(spark, new_folder(spark))
+    engine.store.put(documents(spark, sf_dir))
+    return engine.health().crossJoin(engine.store.versions().agg(F.count(F.lit(1)).alias("texts")))  # a row each
+
+
+_LISTED = ["documents", "embeddings", "events", "pages"]
+
+
+@query(" UNION ALL ".join(f"SELECT 'listed_{t}' AS name, TRUE AS is_temporary, count(*) AS n FROM {t}" for t in _LISTED))
+def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of the session that were made of tables, and their rows."""
+    for t in _LISTED:
+        table(spark, sf_dir, t).createOrReplaceTempView(f"listed_{t}")
+    sizes = reduce(DataFrame.unionByName, [spark.table(f"listed_{t}").agg(F.lit(f"listed_{t}").alias("name"), F.count(F.lit(1)).alias("n")) for t in _LISTED])
+    return tables(spark).join(sizes, "name")
+
+
 # --- sources, store and flow ------------------------------------------------------------------------------------------
 
 
@@ -533,6 +570,27 @@ def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get(docs.select(F.col("doc_id").cast("string").alias("doc_id")), AS_OF).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+_TTL = 7200
+
+
+@query(
+    f"""
+    WITH stored AS (SELECT user_id, ts, CASE WHEN event_type <> 'purchase' THEN event_id || ' ' || event_type ELSE '' END AS text FROM events WHERE event_type IN ('signup', 'view', 'purchase')),
+    asked AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+    SELECT event_id, CASE WHEN s.ts >= a.ts - INTERVAL {_TTL} SECOND THEN s.text ELSE '' END AS text FROM asked a ASOF LEFT JOIN stored s ON a.user_id = s.user_id AND a.ts >= s.ts
+    """
+)
+def as_of_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored and cleared at the times of events, and read at the times of others; two hours is how long they live."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("stored_at"), "event_type")
+    store = TextStore(spark, new_folder(spark), _TTL)
+    body = F.concat(F.col("event_id").cast("string"), F.lit(" "), F.col("event_type"))
+    store.put(events.where("event_type in ('signup', 'view')").withColumn("text", body))
+    store.put(events.where("event_type = 'purchase'").withColumn("text", F.lit("")))
+    asked = events.where("event_type = 'click'").select("event_id", "doc_id", F.col("stored_at").alias("asked_at"))
+    return store.texts_as_of(asked).select("event_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 @query("SELECT doc_id || '.txt' AS filename, 'store' AS storage, CAST(strlen(text) AS BIGINT) AS size_bytes, 'uploaded' AS status, CAST(strlen(text) AS BIGINT) AS stored_bytes FROM documents WHERE text <> ''")
 def ingest_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads through the whole flow: texts, then metadata, then chunk rows."""

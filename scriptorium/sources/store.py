@@ -1,83 +1,81 @@
-"""The text store and the catalog tables as Parquet snapshots, and reading tables from a database."""
+"""The text store, and tables of a database."""
 
 from __future__ import annotations
 
-import uuid
+import time
 from urllib.parse import quote_plus
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium import schema
+from scriptorium.operators.asof import as_of as as_of_join
 from scriptorium.operators.retention import TTL_SECONDS, alive, latest
-
-
-class Table:
-    """Versions of a table under one folder. A version is written beside the others and then named as the current one."""
-
-    def __init__(self, spark: SparkSession, path: str, ddl: str) -> None:
-        self.spark, self.path, self.ddl = spark, path.rstrip("/"), ddl
-
-    def _names(self) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        done = (s.getPath() for s in fs.listStatus(folder))
-        return sorted(p.getName() for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        names = self._names()
-        if not names:
-            return self.spark.createDataFrame([], self.ddl)
-        return self.spark.read.schema(self.ddl).parquet(f"{self.path}/{names[-1]}")
-
-    def replace(self, rows: DataFrame) -> None:
-        """The next version; rows may be computed from the current one, which stays as it is."""
-        number = int(self._names()[-1][1:9]) + 1 if self._names() else 0
-        rows.write.parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
-
-    def append(self, rows: DataFrame) -> None:
-        names = self._names()
-        if names:
-            rows.write.mode("append").parquet(f"{self.path}/{names[-1]}")
-        else:
-            self.replace(rows)
+from scriptorium.scratch import broadcast_if_few, materialize
+from scriptorium.sources.tables import Table
 
 
 class TextStore:
-    """Texts by id with a time to live; the last text stored under an id counts."""
+    """Texts by id with a time to live; the last text stored under an id counts. Parquet compresses what is stored.
+
+    A text is found by its row's own id: which row counts is decided on narrow columns, and texts are fetched last.
+    """
 
     def __init__(self, spark: SparkSession, path: str, ttl: int = TTL_SECONDS) -> None:
         self.table, self.ttl = Table(spark, path, schema.DOC_TEXT), ttl
 
+    def _rows(self, texts: DataFrame, text: Column, at: Column, cleared: bool) -> DataFrame:
+        return texts.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"), at.alias("stored_at"), F.lit(time.time_ns()).cast("long").alias("written"), F.uuid().alias("row_id"), F.lit(cleared).alias("cleared"))
+
     def put(self, texts: DataFrame) -> None:
         """Rows with doc_id and text; those without an id are not stored."""
         at = F.col("stored_at") if "stored_at" in texts.columns else F.current_timestamp()
-        self.table.append(texts.where(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), at.alias("stored_at")))
+        self.table.append(self._rows(texts.where(F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != ""), F.coalesce("text", F.lit("")), at, False))
+
+    def clear(self, ids: DataFrame, at: object = None) -> None:
+        """Mark the ids as cleared: a row without text, which is the last stored one. compact() drops what no longer counts."""
+        when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+        self.table.append(self._rows(ids.where("doc_id is not null").select("doc_id").distinct(), F.lit(None).cast("string"), when, True))
+
+    def versions(self, ids: DataFrame | None = None) -> DataFrame:
+        """(doc_id, stored_at, written, row_id, cleared) of all that was stored; only the folders of the ids are read, and no text."""
+        rows = self.table.read(ids).select("doc_id", "stored_at", "written", "row_id", "cleared")
+        return rows if ids is None else rows.join(ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def texts(self, as_of: object = None, ids: DataFrame | None = None) -> DataFrame:
-        """(doc_id, text) of the texts that are alive, all or those of the ids, which are looked up before any text is shuffled."""
+        """(doc_id, text) of the texts that are alive at a time, all or those of the ids."""
         now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-        rows = self.table.read()
-        if ids is not None:
-            rows = rows.join(ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return latest(rows).where(alive(F.col("stored_at"), now, self.ttl) & F.col("text").isNotNull()).select("doc_id", "text")
+        newest = latest(self.versions(ids).where(F.col("stored_at") <= now), "doc_id", ["stored_at", "written", "row_id"])
+        live = newest.where(alive(F.col("stored_at"), now, self.ttl) & ~F.col("cleared"))
+        return self._fetched(live.select("doc_id", "row_id"), ids)
+
+    def _fetched(self, live: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+        few = broadcast_if_few(materialize(live, "live-texts"))
+        return self.table.read(ids).select("doc_id", "row_id", "text").join(few, ["doc_id", "row_id"], "left_semi").select("doc_id", "text")
+
+    def texts_as_of(self, asked: DataFrame, asked_at: str = "asked_at") -> DataFrame:
+        """asked (doc_id, asked_at, other columns) with the text that was alive at each row's own time, or empty."""
+        named = asked.withColumn("doc_id", F.col("doc_id").cast("string"))
+        seen = as_of_join(named, self.versions(named), "doc_id", asked_at, "stored_at", ["written", "row_id"])
+        live = alive(F.col("version.stored_at"), F.col(asked_at), self.ttl) & ~F.col("version.cleared")
+        seen = materialize(seen.select(*asked.columns, F.when(live, F.col("version.row_id")).alias("_row")), "seen-texts")
+        rows = materialize(seen.where("_row is not null").select("_row").distinct(), "seen-rows")
+        texts = self.table.read(named).select(F.col("row_id").alias("_row"), "text").join(broadcast_if_few(rows), "_row", "left_semi")
+        return seen.join(texts, "_row", "left").select(*asked.columns, F.coalesce("text", F.lit("")).alias("text"))
 
     def get(self, ids: DataFrame, as_of: object = None) -> DataFrame:
         """(doc_id, text) of the ids; empty where nothing is stored, or no longer."""
         wanted = ids.select("doc_id").distinct()
         return wanted.join(self.texts(as_of, wanted), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def clear(self, ids: DataFrame, at: object = None) -> None:
-        """Mark the ids as cleared: a row without text, which is the last stored one. compact() drops what no longer counts."""
-        when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
-        self.table.append(ids.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), when.alias("stored_at")))
-
     def compact(self) -> None:
-        """The next version of the table, with the last text of each id and without cleared ones."""
-        self.table.replace(latest(self.table.read()).where("text is not null").select("doc_id", "text", "stored_at"))
+        """Keep the last text of each id and nothing of cleared ones, in the buckets that have several folders."""
+
+        def fold(rows: DataFrame) -> DataFrame:
+            newest = latest(rows.drop("text"), "doc_id", ["stored_at", "written", "row_id"]).where(~F.col("cleared"))
+            return rows.join(broadcast_if_few(materialize(newest.select("row_id"), "kept-texts")), "row_id", "left_semi").select(*rows.columns)
+
+        self.table.compact(fold)
 
     def healthy(self) -> bool:
         try:

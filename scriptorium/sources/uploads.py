@@ -38,6 +38,12 @@ def read_forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return payloads(rows, "form.txt")
 
 
+def within_limit(files: DataFrame, limit: int = MAX_UPLOAD) -> tuple[DataFrame, DataFrame]:
+    """(those within the limit, rejected) of rows with filename and content."""
+    large = F.octet_length("content") > limit
+    return files.where(~F.coalesce(large, F.lit(False))), files.where(large).select("filename", F.lit(TOO_LARGE).alias("error"))
+
+
 def read_files(spark: SparkSession, path: str, limit: int = MAX_UPLOAD) -> tuple[DataFrame, DataFrame]:
     """Files under a path; larger ones are not read at all, as the limit is pushed into the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
