@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.engine import Engine
 from scriptorium.functions import files, payload, text
-from scriptorium.operators import catalog, chunks, everywhere, grams, retention, search
+from scriptorium.operators import catalog, chunks, everywhere, grams, intervals, retention, search
 from scriptorium.scratch import new_folder
 from scriptorium.sources import uploads
 from scriptorium.sources.extract import docx_of, pdf_of, pdf_page_rows
 from scriptorium.sources.store import TextStore, tables
+from scriptorium.streaming import expiry
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -434,6 +435,88 @@ def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.index(docs.select("doc_id", F.col("lang").alias("extracted_text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+_LOCATED = """
+    SELECT *, coalesce(CAST(strlen(array_to_string(parts[1:line_no - 1], chr(10))) AS BIGINT) + CASE WHEN line_no > 1 THEN 1 ELSE 0 END, 0) AS line_start
+    FROM (SELECT doc_id, i AS line_no, parts, parts[i] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), range(1, len(parts) + 1) AS r(i) WHERE trim(parts[i]) <> '')
+"""
+
+
+@query(
+    f"""
+    WITH hits AS (
+      SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS hit_no, line_start, line_start + strlen(raw) AS line_end FROM ({_LOCATED}) WHERE contains(lower(raw), 'the') AND contains(lower(raw), 'and')) WHERE hit_no <= 8),
+    pieces AS (SELECT doc_id, k AS chunk_index, k * 512 AS a, least((k + 1) * 512, strlen(text)) AS b FROM documents, range(0, CAST(ceil(strlen(text) / 512) AS BIGINT)) AS r(k))
+    SELECT doc_id, CAST(hit_no AS INT) AS hit_no, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, CAST(chunk_index AS INT) AS chunk_index FROM hits JOIN pieces USING (doc_id) WHERE line_start < b AND a < line_end
+    """
+)
+def hits_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of 512 bytes in which each hit's line lies."""
+    docs = documents(spark, sf_dir)
+    hits = intervals.located_hits(docs, "the and")
+    pieces = chunks.split_chunks(docs, 512).select("doc_id", "chunk_index", "start_offset", "end_offset")
+    return intervals.chunks_of_hits(hits, pieces, 512).select("doc_id", "hit_no", "line_start", "line_end", "chunk_index")
+
+
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+    own AS (SELECT doc_id, ws, len(ws) AS n, k AS chunk_index, k * 48 AS own FROM w, range(0, CAST(ceil(len(ws) / 48) AS BIGINT)) AS r(k)),
+    looked AS (
+      SELECT *, list_position(list_reverse(list_transform(ws[greatest(own - 15, 1) : own], lambda x: regexp_matches(x, '[.!?…]["''”’»)\]]*$'))), TRUE) AS behind, least(n, own + 64) AS least FROM own),
+    ahead AS (SELECT *, CASE WHEN least < n THEN list_position(list_transform(ws[least : least + 16], lambda x: regexp_matches(x, '[.!?…]["''”’»)\]]*$')), TRUE) END AS more FROM looked),
+    cut AS (
+      SELECT doc_id, chunk_index, ws, CASE WHEN own > 0 AND behind > 0 THEN own - behind + 1 WHEN own <= 16 THEN 0 ELSE own END AS a, CASE WHEN more > 0 THEN least + more - 1 ELSE least END AS b FROM ahead)
+    SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, a AS start_offset, b AS end_offset, CAST(b - a AS INT) AS token_count, array_to_string(ws[a + 1 : b], ' ') AS text FROM cut
+    """
+)
+def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 64 words that share 16, by sentences where these are near."""
+    return intervals.sentence_chunks(documents(spark, sf_dir), 64, 16)
+
+
+@query(
+    """
+    WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS first FROM events),
+    numbered AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 2 HOUR) AS end_us, count(*) AS n FROM numbered GROUP BY user_id, k
+    """
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = expiry.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "2 hours")
+    return found.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
+
+
+#: Seconds that a text of the stream lives, and the parts in which its events come.
+_STREAM_TTL, _PARTS = 21_600, 3
+
+
+@query(
+    f"""
+    WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events),
+    mark AS (SELECT epoch_us(max(ts)) - 600000000 AS m FROM events)
+    SELECT user_id AS doc_id, t AS at_us, CASE WHEN t - before <= {_STREAM_TTL}000000 THEN 'renewed' ELSE 'put' END AS what FROM e
+    UNION ALL SELECT user_id, t + {_STREAM_TTL}000000, 'expired' FROM e, mark WHERE after - t > {_STREAM_TTL}000000 OR after IS NULL AND (t + {_STREAM_TTL}000000) // 1000 + 1 <= m // 1000
+    """
+)
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of puts in three parts, of which the last comes after the query has been stopped: puts, renewals and expiries."""
+    folder = new_folder(spark, "stream")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("stored_at"))
+    low, high = events.agg(F.min("stored_at"), F.max("stored_at")).first()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", expiry.STATE_STORE)
+
+    def run() -> DataFrame:
+        puts = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        return expiry.run_to_end(expiry.lifetimes(puts, _STREAM_TTL), f"{folder}/out", f"{folder}/mark")
+
+    part = F.least(F.lit(_PARTS - 1), F.floor((F.unix_micros("stored_at") - F.unix_micros(F.lit(low))) * _PARTS / F.greatest(F.lit(1), F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)))))
+    for k in range(_PARTS):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if k != _PARTS - 2:
+            found = run()
+    return found.select("doc_id", F.unix_micros("at").alias("at_us"), "what")
+
+
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS created_at FROM events")
 def chunk_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk rows made at the times of events, in whole seconds."""
