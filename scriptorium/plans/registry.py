@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.engine import Engine
 from scriptorium.functions import files, payload, text
-from scriptorium.operators import catalog, chunks, everywhere, grams, intervals, retention, search
+from scriptorium.operators import catalog, chunks, everywhere, grams, intervals, ranking, retention, search, vectors
 from scriptorium.scratch import new_folder
 from scriptorium.sources import uploads
 from scriptorium.sources.extract import docx_of, pdf_of, pdf_page_rows
@@ -164,6 +164,62 @@ def ask_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return everywhere.ask_everywhere(asked, documents(spark, sf_dir)).select("conv_id", "turn", "hit_no", "doc_id", "line")
 
 
+_RANKED = ["license rights reserved", "the river and the stone", "zzzz"]
+
+
+def _bm25_sql(question: str) -> str:
+    words = ", ".join(f"'{w}'" for w in sorted(set(question.split(" "))))
+    return f"""
+    SELECT '{question}' AS question, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, round(score, 6) AS score FROM (
+      SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score
+      FROM tf JOIN df USING (term) JOIN sizes USING (doc_id), corpus WHERE term IN ({words}) GROUP BY doc_id) QUALIFY rank <= 10
+    """
+
+
+@query(
+    r"""
+    WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+    sizes AS (SELECT doc_id, len(ws) AS size FROM words), corpus AS (SELECT count(*) AS n, avg(size) AS mean FROM sizes),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM words) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+    """
+    + " UNION ALL ".join(f"SELECT * FROM ({_bm25_sql(q)})" for q in _RANKED)
+)
+def rank_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most relevant documents of several questions, by an index of all texts."""
+    index = ranking.indexed(documents(spark, sf_dir))
+    found = [index.search(q, 10).select(F.lit(q).alias("question"), "rank", "doc_id", F.round("score", 6).alias("score")) for q in _RANKED]
+    return reduce(DataFrame.unionByName, found)
+
+
+_UNITS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+@query(
+    f"""
+    SELECT asked, CAST(rank AS INT) AS rank, vec_id, score, 'c' || vec_id AS chunk_id FROM (
+      SELECT asked, vec_id, score, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS rank
+      FROM (SELECT q.vec_id AS asked, d.vec_id, round(list_cosine_similarity(q.v, d.v), 9) AS score FROM {_UNITS} q JOIN {_UNITS} d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)) WHERE rank <= 5
+    """
+)
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every twentieth, among all, with the chunks that point to them."""
+    rows = table(spark, sf_dir, "embeddings")
+    engine = Engine(spark, new_folder(spark))
+    engine.map_embeddings(rows.select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.col("vec_id").alias("vector_index")))
+    found = vectors.VectorIndex.build(rows).search(rows.where("vec_id % 20 = 0"), 5)
+    return vectors.chunks_of(found, engine.embeddings_map.read()).select("asked", "rank", "vec_id", "score", "chunk_id")
+
+
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest vectors of every twentieth the index finds when it probes a part of its lists."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.VectorIndex.build(rows)
+    asked = rows.where("vec_id % 20 = 0")
+    near, exact = index.search(asked, 10, vectors.PROBES), index.search(asked, 10)
+    return exact.join(near.select("asked", "vec_id", F.lit(1).alias("found")), ["asked", "vec_id"], "left").groupBy("asked").agg(F.count(F.lit(1)).alias("n_exact"), F.count("found").alias("n_found"))
+
+
 _ASKED_SQL = """
     SELECT q.conv_id, q.turn, trim(coalesce(q.text, '')) AS question, coalesce(d.text, '') AS text
     FROM (SELECT conv_id, turn, {question} AS text FROM conversations WHERE role = 'user') q
