@@ -53,10 +53,16 @@ def docx_of(text: Column) -> Column:
 
 def pdf_text(content: bytes) -> tuple[str, str | None]:
     """The pages of a PDF, a form feed behind each."""
+    return pdf_read(content)[:2]
+
+
+def pdf_read(content: bytes) -> tuple[str, str | None, int | None]:
+    """The same, and the number of pages."""
     try:
-        return "".join(f"{page}\n\f" for page in pdf.page_texts(content)), None
-    except Exception as e:
-        return f"{PDF_ERROR}{e}", str(e)
+        pages = pdf.page_texts(content)
+    except Exception as e:  # perhaps it can be counted, if not read
+        return f"{PDF_ERROR}{e}", str(e), pdf.page_count(content)
+    return "".join(f"{page}\n\f" for page in pages), None, len(pages)
 
 
 def pdf_of(text: Column, lines_per_page: int = 50) -> Column:
@@ -113,11 +119,16 @@ def extract(files: DataFrame, readers: dict[str, Callable] | None = None) -> Dat
     typed = files.withColumn("_ext", extension(F.col("filename")))
     plain = typed.where(F.col("_ext").isin(*PLAIN)).select(*kept, utf8_or_latin1(F.col("content")).alias("text"), F.lit(None).cast("string").alias("extract_error"), F.lit(None).cast("int").alias("total_pages"))
 
+    def read(kind: str, content: bytes) -> tuple[str, str | None, int | None]:
+        if kind == "pdf" and readers.get("pdf") is pdf_text:
+            return pdf_read(content)
+        text, error = readers[kind](content) if kind in readers else ("", None)
+        return text, error, pdf.page_count(content) if kind == "pdf" else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [readers[e](bytes(c)) if e in readers else ("", None) for e, c in zip(batch["_ext"], batch["content"], strict=True)]
-            pages = [pdf.page_count(bytes(c)) if e == "pdf" else None for e, c in zip(batch["_ext"], batch["content"], strict=True)]
-            yield batch[kept].assign(text=[t for t, _ in found], extract_error=[e for _, e in found], total_pages=pd.array(pages, "Int32"))
+            found = [read(e, bytes(c)) for e, c in zip(batch["_ext"], batch["content"], strict=True)]
+            yield batch[kept].assign(text=[t for t, _, _ in found], extract_error=[e for _, e, _ in found], total_pages=pd.array([n for _, _, n in found], "Int32"))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     other = typed.where(~F.col("_ext").isin(*PLAIN)).mapInPandas(run, f"{kinds}, text string, extract_error string, total_pages int")

@@ -1,4 +1,4 @@
-"""Text and page counts of PDF files, with the standard library alone.
+"""Text and page counts of PDF files, without a library for them.
 
 Objects are found by the cross-reference tables or streams that the file names, of all its revisions, and where these are
 broken by looking for objects themselves. A page's content streams are run for their text operators only: what is shown
@@ -17,6 +17,8 @@ import zlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
+
 SPACES = b"\0\t\n\f\r "
 TOKEN = re.compile(
     rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*(?:(?P<number>[+-]*(?:\d+\.?\d*|\.\d+)(?![^\0\t\n\f\r ()<>\[\]{}/%]))|(?P<name>/[^\0\t\n\f\r ()<>\[\]{}/%]*)"
@@ -49,10 +51,16 @@ class Stream(NamedTuple):
 
 
 def _name(token: bytes) -> Name:
-    return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), token[1:]).decode("latin-1"))
+    if b"#" in token:
+        token = re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), token)
+    return Name(token[1:], "latin-1")
 
 
 def _hex(token: bytes) -> bytes:
+    try:
+        return bytes.fromhex(token[1:-1].decode())
+    except ValueError:  # another sign, or an odd number of digits
+        pass
     digits = re.sub(rb"[^0-9A-Fa-f]", b"", token)
     return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
@@ -326,8 +334,8 @@ class Document:
         return None
 
     def decoded(self, stream: Stream) -> bytes:
-        told = {k: self.get(v) for k, v in stream.told.items()}
-        filters, params = told.get("Filter", told.get("F")) or [], told.get("DecodeParms", told.get("DP")) or []
+        told = {k: self.get(stream.told.get(k)) for k in ("Filter", "F", "DecodeParms", "DP")}
+        filters, params = told["Filter"] or told["F"] or [], told["DecodeParms"] or told["DP"] or []
         filters = filters if isinstance(filters, list) else [filters]
         params = params if isinstance(params, list) else [params]
         data = stream.raw
@@ -339,7 +347,7 @@ class Document:
             elif name in ("LZWDecode", "LZW"):
                 data = _predicted(_lzw(data, given.get("EarlyChange", 1)), given)
             elif name in ("ASCIIHexDecode", "AHx"):
-                data = _hex(data.split(b">")[0])
+                data = _hex(b"<" + data.split(b">")[0] + b">")
             elif name in ("ASCII85Decode", "A85"):
                 data = _ascii85(data)
             elif name in ("RunLengthDecode", "RL"):
@@ -444,7 +452,7 @@ def unicode_map(data: bytes) -> tuple[dict[bytes, str], set[int]]:
 
 
 class Font:
-    """Codes of a font as (text, width, whether the code is the single byte of a space)."""
+    """The texts and widths of a font's codes."""
 
     def __init__(self, doc: Document, told: dict) -> None:
         get = doc.get
@@ -452,6 +460,7 @@ class Font:
         mapped = get(told.get("ToUnicode"))
         self.texts, lengths = unicode_map(doc.decoded(mapped)) if isinstance(mapped, Stream) else ({}, set())
         self.widths: dict[int, float] = {}
+        self.table: np.ndarray | None = None
         encoding = get(told.get("Encoding"))
         if self.composite:
             below = get((get(told.get("DescendantFonts")) or [{}])[0]) or {}
@@ -488,14 +497,41 @@ class Font:
                     self.widths.update(dict.fromkeys(range(w[k], min(w[k + 1], w[k] + 0xFFFF) + 1), float(w[k + 2])))
                 k += 3
 
-    def shown(self, codes: bytes) -> Iterator[tuple[str, float, bool]]:
-        for at in range(0, len(codes), self.size):
-            code = codes[at : at + self.size]
-            number = int.from_bytes(code, "big")
-            text = self.texts.get(code)
-            if text is None:
-                text = _utf16(code) if self.wide else f"(cid:{number})" if self.composite else self.simple.get(number, "")
-            yield text, self.widths.get(number, self.usual), code == b" "
+    def _prepared(self) -> None:
+        """A text for each code that has one, and a table of widths."""
+        if self.wide:
+            self.by_code = {}
+        elif self.composite:
+            self.by_code = _Undefined()
+        else:
+            self.by_code = dict(self.simple)
+        self.by_code.update((int.from_bytes(c, "big"), t) for c, t in self.texts.items() if len(c) == self.size)
+        self.table = np.full(1 << 8 * min(self.size, 2), self.usual)
+        for c, w in self.widths.items():
+            if 0 <= c < len(self.table):
+                self.table[c] = w
+
+    def shown(self, codes: bytes) -> tuple[str, float, int, int]:
+        """(text, sum of widths, codes, single bytes that are spaces) of a string."""
+        if self.table is None:
+            self._prepared()
+        if self.size == 1:
+            numbers = np.frombuffer(codes, np.uint8)
+        else:
+            codes += bytes(-len(codes) % self.size)
+            numbers = np.frombuffer(codes, ">u2") if self.size == 2 else np.frombuffer(codes, np.uint8).reshape(-1, self.size)[:, -2:].copy().view(">u2").reshape(-1)
+        if self.wide and not self.by_code:
+            text = _utf16(codes)
+        else:
+            text = numbers.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").translate(self.by_code)
+        return text, float(self.table[numbers].sum()) if self.widths else self.usual * len(numbers), len(numbers), codes.count(b" ") if self.size == 1 else 0
+
+
+class _Undefined(dict):
+    """The sign for a code without a text."""
+
+    def __missing__(self, code: int) -> str:
+        return f"(cid:{code})"
 
 
 class Run(NamedTuple):
@@ -582,10 +618,8 @@ class Interpreter:
                             text = _times((1, 0, 0, 1, -part / 1000 * state["size"] * state["stretch"], 0), text)
 
     def _show(self, codes: bytes, state: dict, text: tuple, matrix: tuple) -> tuple:
-        parts, moved = [], 0.0
-        for shown, width, space in state["font"].shown(codes):
-            parts.append(shown)
-            moved += (width / 1000 * state["size"] + state["sign"] + (state["word"] if space else 0)) * state["stretch"]
+        shown, width, n, spaces = state["font"].shown(codes)
+        moved = (width / 1000 * state["size"] + n * state["sign"] + spaces * state["word"]) * state["stretch"]
         after = _times((1, 0, 0, 1, moved, 0), text)
         here, there = _times((1, 0, 0, 1, 0, state["rise"]), _times(text, matrix)), _times(after, matrix)
         size = abs(state["size"]) * max(abs(here[2]) + abs(here[3]), 1e-9)
@@ -593,7 +627,7 @@ class Interpreter:
         length = (here[0] ** 2 + here[1] ** 2) ** 0.5 or 1.0
         along, across = (here[0] / length, here[1] / length), (-here[1] / length, here[0] / length)
         at = [p[4] * d[0] + p[5] * d[1] for p, d in ((here, along), (here, across), (there, along))]
-        self.runs.append(Run(*at, size, "".join(parts)))
+        self.runs.append(Run(*at, size, shown))
         return after
 
 
@@ -638,12 +672,13 @@ def written(text: str, lines_per_page: int = 50) -> bytes:
     """A text as a PDF file, a line a line: compressed pages, packed objects, a reference stream, and a font that maps to Unicode."""
     lines = text.split("\n")
     code = {c: k for k, c in enumerate(sorted(set(text) - {"\n"}), 1)}
+    coded = {ord(c): k for c, k in code.items()}
     packed: dict[int, str] = {}
     streams: dict[int, tuple[str, bytes]] = {}
     pages = [lines[k : k + lines_per_page] for k in range(0, len(lines), lines_per_page)]
     kids = []
     for k, page in enumerate(pages):
-        shown = " T* ".join("<" + "".join(f"{code[c]:04x}" for c in line) + "> Tj" if line else "" for line in page)
+        shown = " T* ".join(f"<{line.translate(coded).encode('utf-16-be', 'surrogatepass').hex()}> Tj" if line else "" for line in page)
         streams[10 + 2 * k] = ("", f"BT /F1 10 Tf 12 TL 40 {12 * lines_per_page + 40} Td {shown} ET".encode())
         packed[11 + 2 * k] = f"<</Type/Page/Parent 2 0 R/Contents {10 + 2 * k} 0 R>>"
         kids.append(f"{11 + 2 * k} 0 R")
@@ -664,7 +699,7 @@ def written(text: str, lines_per_page: int = 50) -> bytes:
     out, places = bytearray(b"%PDF-1.5\n"), {}
     for n, (told, data) in streams.items():
         places[n] = len(out)
-        data = zlib.compress(data)
+        data = zlib.compress(data, 1)
         out += f"{n} 0 obj\n<<{told}/Filter/FlateDecode/Length {len(data)}>>\nstream\n".encode() + data + b"\nendstream\nendobj\n"
     places[7] = len(out)
     size = max([*places, *packed]) + 1

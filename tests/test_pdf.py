@@ -140,6 +140,13 @@ def test_broken_references(spoilt):
     assert pdf.page_count(data) == 1
 
 
+def test_tables_are_followed_where_they_are_whole(monkeypatch):
+    """The search for objects is for broken files alone."""
+    monkeypatch.setattr(pdf.Document, "_look_for_objects", lambda self: pytest.fail("looked for objects"))
+    for data in (pdf.written("one\ntwo\n\nthree", 2), built(nested())):
+        assert pdf.page_texts(data)[0]
+
+
 def test_packed_objects_without_their_table():
     data = pdf.written("one\ntwo\n\nthree", 2)
     assert pdf.page_texts(data) == pdf.page_texts(data.split(b"startxref")[0]) == ["one\ntwo", "three"]
