@@ -76,11 +76,13 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty shards under the law `bytes`, by the latest version of a stored slot map."""
-    rows = sharding.dealt(materialize(sharding.records(table(spark, sf_dir, "documents")), "shard-records"))
+    """Forty shards under the law `bytes`: a stored map of 39 shards is rebalanced to one more, and the next version read back."""
+    rows = materialize(sharding.records(table(spark, sf_dir, "documents")), "shard-records")
+    heavy = sharding.heavy_ids(rows)
+    rows = materialize(sharding.slotted(rows, heavy), "shard-slots")
     path = new_path(spark, "shard-map")
-    sharding.store(sharding.slot_map(rows, 40), spark, path)
-    sharding.store(sharding.rebalance(sharding.stored(spark, path)), spark, path)
+    sharding.store(sharding.slot_map(rows, 39, heavy), spark, path)
+    sharding.store(sharding.rebalance(sharding.stored(spark, path), 40), spark, path)
     placed = sharding.assign(rows, sharding.stored(spark, path))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 

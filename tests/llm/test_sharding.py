@@ -10,7 +10,13 @@ from scriptorium.llm.common import materialize
 @pytest.fixture(scope="module")
 def rows(spark, prose):
     docs = [(i, prose(1 + i * 7 % 90, i)) for i in range(900)] + [(1000 + i, "same text") for i in range(500)] + [(5000, "ä" * 2000)]
-    return materialize(sharding.records(spark.createDataFrame(docs, "doc_id long, text string")), "test-records")
+    return slotted(spark.createDataFrame(docs, "doc_id long, text string"))[0]
+
+
+def slotted(docs, n_slots=sharding.N_SLOTS):
+    rows = materialize(sharding.records(docs), "test-records")
+    heavy = sharding.heavy_ids(rows, n_slots)
+    return materialize(sharding.slotted(rows, heavy, n_slots), "test-slots"), heavy
 
 
 def test_shards(rows):
@@ -33,7 +39,7 @@ def test_records(spark, odd_docs):
 
 
 def test_a_slot_never_changes(spark, rows):
-    again = sharding.records(spark.createDataFrame([(5, "another text")], "doc_id long, text string")).first().vslot
+    again = slotted(spark.createDataFrame([(5, "another text")], "doc_id long, text string"))[0].first().vslot
     assert rows.where("doc_id = 5").first().vslot == again
 
 
@@ -68,26 +74,74 @@ def test_versions_of_a_stored_map(spark, rows, tmp_path):
     second = sharding.stored(spark, path)
     assert (second.version, second.n_shards) == (2, 11)
     assert sharding.stored(spark, path, 1) == first
-    before, after = ({r.place: (r.vslot, r.shard) for r in sharding.assign(rows, m).collect()} for m in (first, second))
+    before, after = ({r.doc_id: (r.vslot, r.shard) for r in sharding.assign(rows, m).collect()} for m in (first, second))
     assert all(before[p][0] == after[p][0] for p in before)
     assert {after[p][1] for p in before if before[p][1] != after[p][1]} == {10}
 
 
+def loads(placed):
+    load = defaultdict(int)
+    for r in placed:
+        load[r.shard] += r["size"]
+    return list(load.values())
+
+
 @pytest.mark.parametrize("hot", ["null", "7"])
 def test_bytes_stay_near_equal_with_a_hot_id(spark, hot):
     """A third of the rows have no id, or one and the same."""
     docs = spark.range(20_000, numPartitions=4).selectExpr(f"if(id % 3 = 0, {hot}, id) as doc_id", "if(id % 3 = 0, null, repeat('x', 40 + cast(id % 50 as int))) as text")
-    rows = sharding.dealt(materialize(sharding.records(docs.selectExpr("cast(doc_id as long) as doc_id", "text")), "test-records"))
-    placed = sharding.assign(rows, sharding.slot_map(rows, 40)).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    rows, heavy = slotted(docs.selectExpr("cast(doc_id as long) as doc_id", "text"))
+    assert len(heavy) == 1
+    placed = sharding.assign(rows, sharding.slot_map(rows, 40, heavy)).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
     load = [r["sum(size)"] for r in placed]
     assert len(load) == 40 and max(load) <= 1.02 * sum(load) / 40 and min(load) >= 0.98 * sum(load) / 40
     assert all(r["max(slot)"] == r["count(1)"] - 1 for r in placed)
     assert rows.groupBy("vslot").count().agg({"count": "max"}).first()[0] < 40
 
 
+def test_bytes_stay_near_equal_with_heavy_bytes_under_one_id(spark):
+    """Few rows, but large ones."""
+    small = spark.range(20_000, numPartitions=4).selectExpr("id as doc_id", "repeat('x', 90 + cast(id % 50 as int)) as text")
+    large = spark.range(20).selectExpr("cast(77777 as long) as doc_id", "repeat(cast(id as string), 10000) as text")
+    rows, heavy = slotted(small.unionByName(large))
+    owner = sharding.slot_map(rows, 40, heavy)
+    placed = sharding.assign(rows, owner).collect()
+    load = loads(placed)
+    assert max(load) <= 1.02 * sum(load) / 40
+    assert max(loads(sharding.assign(rows, sharding.rebalance(sharding.slot_map(rows, 39, heavy), 40)).collect())) <= 1.02 * sum(load) / 40
+
+
+def test_no_other_id_of_the_slot_moves(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'text' as text")
+    before = {r.doc_id: r.vslot for r in slotted(docs)[0].collect()}
+    rows, heavy = slotted(docs.unionByName(spark.range(60).selectExpr("cast(7 as long) as doc_id", "cast(id % 5 as string) as text")))
+    after = defaultdict(list)
+    for r in rows.collect():
+        after[r.doc_id].append(r.vslot)
+    assert len(heavy) == 1 and len(set(after[7])) > 40
+    assert all(after[i] == [v] for i, v in before.items() if i != 7)
+
+
+def test_slots_do_not_go_with_the_files(spark):
+    """Repeated rows of a heavy id and of none, split in two ways."""
+    rows = [(7, f"t{i % 9}") for i in range(200)] + [(None, "same")] * 90 + [(i, "x") for i in range(1000, 1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted((repr(r.doc_id), r.text_crc32, r.vslot) for r in slotted(d)[0].collect()) for d in (docs.coalesce(1), docs.repartition(13)))
+    assert one == two
+
+
+def test_heavy_ids_are_part_of_the_map(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"t{i}") for i in range(50)] + [(i, "x") for i in range(1000, 1300)], "doc_id long, text string")
+    rows, heavy = slotted(docs)
+    path = str(tmp_path / "map")
+    sharding.store(sharding.slot_map(rows, 4, heavy), spark, path)
+    sharding.store(sharding.rebalance(sharding.stored(spark, path), 5), spark, path)
+    assert sharding.stored(spark, path).heavy == sharding.stored(spark, path, 1).heavy == heavy != frozenset()
+
+
 def test_odd_rows(odd_docs, no_docs):
     for docs, n in ((odd_docs, 12), (no_docs, 0)):
-        rows = sharding.dealt(materialize(sharding.records(docs), "test-records"))
-        placed = sharding.assign(rows, sharding.slot_map(rows, 3)).collect()
+        rows, heavy = slotted(docs)
+        placed = sharding.assign(rows, sharding.slot_map(rows, 3, heavy)).collect()
         assert len(placed) == n
         assert len({(r.shard, r.slot) for r in placed}) == n
