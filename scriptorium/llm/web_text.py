@@ -4,7 +4,8 @@ A small tree is built of each page. Every element subtree gets a hash of its tag
 per section of a host (the first directory of the path), on how many pages a hash occurs, and subtrees that recur on
 many of these pages are deleted before the content is chosen. Inside an article or main element that the page marks,
 what recurs may be prose that the site repeats; only blocks of links or controls, and containers at its edges, are
-taken for template there. Menus, forms, adverts, comments of readers and the like go everywhere by what they call themselves.
+taken for template there. Menus, forms, adverts, comments of readers and the like go everywhere by what they call themselves, if they
+call themselves nothing else. The headline and lead that stand before a lone article in its main element belong to it, unless the site repeats them.
 
 Per host and section only the recurring hashes are kept. As a page adds its subtrees once to each, at most ``subtrees
 per page / share`` of them can recur, however large the host is. They are joined to the pages by host and section:
@@ -49,6 +50,10 @@ CHROME = frozenset(
     "share sharing social related recommended search login pagination pager widget contentinfo complementary skiplink".split()
 )
 HEADERS = frozenset("header masthead".split())
+#: Words that only say where or what such an element is: a name may hold them beside those above, but no other word.
+BESIDE = frozenset("left right top bottom upper lower area box bar block container wrapper wrap inner outer list section widget primary secondary site page post entry global local main item items link links button buttons form panel zone slot unit content header".split())
+#: What may stand before an article in the main element that holds it: its headline and lead.
+LEADS = frozenset("h1 h2 h3 p header hgroup".split())
 #: Names that describe a layout and not the element: has-sidebar, no-menu.
 LAYOUT = re.compile(r"^(?:has|with|without|no|is|hide|show)[-_]", re.I)
 #: Elements that hold blocks of a page, and parts that only chrome has.
@@ -156,8 +161,14 @@ def hash_subtrees(root: Node) -> None:
 
 
 def named(node: Node, names: frozenset[str]) -> bool:
-    """Whether a part of one of the element's names is among the names."""
-    return bool(node.label) and any(part in names for token in node.label.lower().split() if not LAYOUT.match(token) for part in re.split(r"[-_]+", token))
+    """Whether one of the element's names is made of the names, and of words that say where it is; related-work is not."""
+    if not node.label:
+        return False
+    for token in node.label.lower().split():
+        parts = [p for p in re.split(r"[-_]+", token) if p and not p.isdigit()]
+        if not LAYOUT.match(token) and any(p in names for p in parts) and all(p in names or p in BESIDE or p in CHROME for p in parts):
+            return True
+    return False
 
 
 def measure(root: Node) -> None:
@@ -240,6 +251,31 @@ def contents(root: Node) -> list[Node]:
     return [root]
 
 
+def leads(root: Node, article: Node) -> list[Node]:
+    """The headline and lead that stand before an article in the main element around it."""
+    path = {id(article)}
+    for node in reversed(list(walk(root))):
+        if any(id(c) in path for c in node.inside):
+            path.add(id(node))
+    inner = [x for x in walk(root) if id(x) in path and x.tag == "main"]
+    if not inner or article.tag == "main":
+        return []
+    found, pending = [], list(reversed(inner[-1].inside))
+    while pending:
+        x = pending.pop()
+        if x is article:
+            break
+        if not isinstance(x, Node) or x.tag in RAW:
+            continue
+        if id(x) in path:
+            pending.extend(reversed(x.inside))
+        elif x.tag in LEADS and not x.hidden and not named(x, CHROME) and not of_links(x):
+            found.append(x)
+        elif x.tag in ("div", "section") and not x.hidden and not named(x, CHROME | HEADERS):
+            pending.extend(reversed(x.inside))
+    return found
+
+
 def prune(root: Node, template: set[int] | frozenset[int]) -> None:
     """Delete the recurring subtrees: outside marked content all, inside it those that are chrome by form or place."""
     tops = [x for x in contents(root) if x is not root]
@@ -288,7 +324,7 @@ def chosen(root: Node) -> list[Node]:
             for x in walk(root):
                 x.inside = [c for c in x.inside if id(c) not in held]
             return contents(root)
-    return tops
+    return [*leads(root, tops[0]), *tops] if len(tops) == 1 and tops[0] is not root else tops
 
 
 def signed(h: int) -> int:

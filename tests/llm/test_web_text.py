@@ -40,6 +40,13 @@ def test_article():
         ("<article>t</article><div class='related'><article>teaser</article></div><section id='comments'><article>c</article></section>", "t"),
         ("<div class='site-header'>s</div><div><p>t</p></div><div class='page-footer'>f</div>", "t"),
         ("<article><p class='leadership'>loaded</p></article>", "loaded"),
+        ("<article><p class='social-sciences-side note'>a</p><p class='search-results'>b</p><section class='related-work'><p>c</p></section></article>", "a\n\nb\n\nc"),
+        ("<article><p>a</p><div class='related-links'>b</div><div class='share_buttons-2'>c</div><div id='ad-top-right'>d</div></article>", "a"),
+        ("<main><h1>Headline</h1><p>Lead…</p><article><p>Body</p></article><p>After</p></main>", "Headline\n\nLead…\n\nBody"),
+        ("<main><div><header><h1>Head</h1></header></div><div><p><a href=x>Home</a></p><article>Body</article></div></main>", "Head\n\nBody"),
+        ("<h1>Site</h1><article>Body</article>", "Body"),
+        ("<main><h1>List</h1><article>one</article><article>two</article></main>", "one\n\ntwo"),
+        ("<main><nav><p>menu</p></nav><form><p>f</p></form><div class=ad><p>buy</p></div><p>Lead</p><article>Body</article></main>", "Lead\n\nBody"),
     ],
 )
 def test_pages(html, text):
@@ -103,6 +110,25 @@ def test_recurring_chrome_inside_articles(spark):
     assert got[50] == "First half\n\nOther half"
 
 
+def test_a_lead_that_the_site_repeats_is_template(spark):
+    rows = [(i, "https://a.example.com/p", f"<main><h1>Our site</h1><p>Lead {i}</p><article>Story {i}</article></main>", 1, "t") for i in range(20)]
+    got = {r.page_id: r.text for r in web_text.extract(pages_of(spark, rows)).collect()}
+    assert got == {i: f"Lead {i}\n\nStory {i}" for i in range(20)}
+
+
+def test_a_site_without_names(spark):
+    """Menus, notices and footers of plain elements: the method alone changes every page, and leaves what is the page's own."""
+
+    def page(i):
+        menu = "".join(f"<li><a href=/{k}>Part {k}</a>" for k in range(6))
+        return f"<body><div><ul>{menu}</ul></div><div><p>Read our notice</p></div><div><h2>Title {i}</h2><p>Story {i} is told</p><p>And {i} ends</p></div><div><p>Made by us</p></div></body>"
+
+    rows = [(i, "https://a.example.com/p", page(i), 1, "t") for i in range(40)] + [(100 + i, f"https://h{i}.example.com/", page(i), 1, "t") for i in range(4)]
+    got = {r.page_id: r.text for r in web_text.extract(pages_of(spark, rows)).collect()}
+    assert all(got[i] == f"Title {i}\n\nStory {i} is told\n\nAnd {i} ends" for i in range(40))
+    assert all(got[100 + i].startswith("Part 0") and "Made by us" in got[100 + i] for i in range(4))  # too few pages to be a site
+
+
 def test_template_of_a_section(spark):
     rows = [(i, f"https://a.example.com/{'news' if i < 6 else f's{i}'}/p", f"<body>{'<div>News desk</div>' if i < 6 else ''}<div><p>Story {i}</p></div></body>", 1, "t") for i in range(60)]
     got = {r.page_id: r.text for r in web_text.extract(pages_of(spark, rows)).collect()}
