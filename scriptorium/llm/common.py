@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Estimated bytes up to which a side of a join is sent to every executor; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Rows for each core up to which a round of an iteration is written as one file for each core.
+FEW_ROWS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,9 +53,12 @@ class Latest:
     def __init__(self, label: str) -> None:
         self.label, self.path = label, None
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write the next round's table; where it is known to have so many rows at most, a few of them as few files."""
         spark, before = df.sparkSession, self.path
         self.path = new_path(spark, self.label)
+        if rows is not None and rows < FEW_ROWS * spark.sparkContext.defaultParallelism:
+            df = df.coalesce(spark.sparkContext.defaultParallelism)
         df.write.parquet(self.path)
         if before:
             remove(spark, before)

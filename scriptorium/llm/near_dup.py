@@ -8,7 +8,7 @@ rest is confirmed exactly on the full sets.
 
 Groups are never expanded into all pairs. First every class is compared with the leaders of its buckets; then, in
 buckets that still hold several components, the classes outside the largest one with a few of its members; and what
-is still outside then with all others there, decided exactly inside the join, which writes links only.
+is still outside then with all others there that share one of the rarest shingles in which it differs from that component.
 A pair at exactly the threshold meets in no band with probability ``(1 - t ** rows) ** bands`` (1.2e-5 by default,
 less for more similar pairs).
 
@@ -177,7 +177,8 @@ def connected(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = rounds.put(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct())
+        # a round has at most twice the edges of the one before, whose number tells how many files are needed
+        edges = rounds.put(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct(), before and before[0])
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -223,34 +224,46 @@ def _likely(mixed: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
 
 
 def _differences(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(main, node, size, n_ref, plus, miss): the full sets around a component, written against a set of that component.
+    """(main, ref_node, node, size, n_ref, differs): the full sets around a component, written against a set of that component.
 
-    Of a set x and the reference r, plus is x - r and miss is r - x, so that of two sets |x & y| is
-    |r| - |miss x| - |miss y| + |miss x & miss y| + |plus x & plus y|, exactly. The reference is the smallest deputy.
+    differs holds the shingles in which a set and the reference differ, so that two sets differ in those that are in one of
+    their differences alone. The reference is the smallest deputy.
     """
     chosen = mixed.select("main", "deputies").distinct().select("main", F.explode("deputies").alias("node")).distinct().join(sets, "node")
-    ref = chosen.groupBy("main").agg(F.min_by("members", F.struct(F.size("members"), "node")).alias("ref"))
-    ref = materialize(ref, "near-references")
+    ref = chosen.groupBy("main").agg(F.min_by(F.struct("node", "members"), F.struct(F.size("members"), "node")).alias("ref"))
+    ref = materialize(ref.select("main", F.col("ref.node").alias("ref_node"), F.col("ref.members").alias("ref")), "near-references")
     each = mixed.select("main", "node").distinct().join(sets, "node").join(broadcast_if_small(ref), "main")
-    return each.select("main", "node", F.size("members").alias("size"), F.size("ref").alias("n_ref"), F.array_except("members", "ref").alias("plus"), F.array_except("ref", "members").alias("miss"))
+    differs = F.concat(F.array_except("members", "ref"), F.array_except("ref", "members"))
+    return each.select("main", "ref_node", "node", F.size("members").alias("size"), F.size("ref").alias("n_ref"), differs.alias("differs"))
 
 
 def _left_over(mixed: DataFrame, sets: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """The links between classes of different components that share a bucket: what lies outside the main one, against all there.
+    """The links of the classes outside a main component with all classes around it, at the cost of the shingles that they share.
 
-    Every pair is decided inside the join, at last exactly on the full sets, so what it writes are links and nothing else.
+    Two sets are linked if they differ in at most c = (100 - percent) / (100 + percent) of their sizes' sum. A class that is not linked with
+    the reference differs from it in more than c of theirs, and whatever it is linked with must have at least half of what is
+    more in its own difference too. So it shares one of its rarest shingles, all but as many less one: those, and they alone, are joined.
+    What else many classes have in common is joined with nothing.
     """
-    rows = mixed.drop("deputies").join(_differences(mixed, sets), ["main", "node"]).join(classes.select("node", "signature"), "node")
-    rows = materialize(rows, "near-mixed")
-    few = rows.where("root != main").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
-    both, n = F.col("x_size") + F.col("size"), F.col("n_ref")
-    lost = lambda c: F.size(F.col(c))
-    enough = lambda shared: 100 * shared >= near.percent * (both - shared)
-    at_most = n - F.greatest(lost("x_miss"), lost("miss")) + F.least(lost("x_plus"), lost("plus"))
-    shared = n - lost("x_miss") - lost("miss") + F.size(F.array_intersect("x_miss", "miss")) + F.size(F.array_intersect("x_plus", "plus"))
-    alike = similarity(F.col("x_signature"), F.col("signature"), near) >= near.least_estimate
-    linked = (F.col("x_key") == F.col("key")) & (F.col("x_root") != F.col("root")) & enough(F.least("x_size", "size")) & enough(at_most) & alike & enough(shared)
-    return few.join(rows, linked).select(F.col("x_node").alias("a"), F.col("node").alias("b"))
+    rows = materialize(_differences(mixed, sets), "near-differences")
+    outside = mixed.where("root != main").select("main", "node").distinct()
+    apart = F.size("differs") * (100 + near.percent) - (100 - near.percent) * (F.col("size") + F.col("n_ref"))
+    few = materialize(rows.join(outside, ["main", "node"]).withColumn("apart", apart), "near-outside")
+    direct = few.where("apart <= 0").select(F.col("node").alias("a"), F.col("ref_node").alias("b"))
+
+    token = rows.select("main", "node", F.explode("differs").alias("token"))
+    often = token.groupBy("main", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = F.ceil(F.col("apart") / (2 * (100 + near.percent)))
+    first = few.where("apart > 0").select("main", "node", (F.size("differs") - least + 1).cast("int").alias("prefix"), F.size("differs").alias("d"), F.explode("differs").alias("token"))
+    # shingles that no other class differs in are the rarest, and need no row: they fill the prefix from its beginning
+    shared = first.join(often, ["main", "token"]).groupBy("main", "node", "prefix", "d").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts"))
+    taken = F.greatest(F.lit(0), F.col("prefix") - (F.col("d") - F.size("ts")))
+    looked = materialize(shared.select("main", F.col("node").alias("a"), F.explode(F.slice("ts", F.lit(1), taken)).alias("t")).select("main", "a", "t.token"), "near-prefixes")
+    sought = materialize(looked.select("main", "token").distinct(), "near-sought")
+    held = token.join(broadcast_if_small(sought), ["main", "token"], "left_semi").withColumnRenamed("node", "b")
+    pairs = looked.join(held, ["main", "token"]).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(_estimated(pairs, classes, near), "near-pairs")
+    return direct.unionByName(_confirmed(pairs, sets, near))
 
 
 def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
