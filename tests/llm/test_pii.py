@@ -161,3 +161,57 @@ def test_odd_rows(odd_docs, no_docs):
 def test_long_runs_are_no_trap(spark):
     docs = spark.createDataFrame([(1, "1" * 40_000), (2, "a." * 30_000 + "@"), (3, "9 " * 30_000), (4, "+1" * 20_000)], "doc_id long, text string")
     assert pii.replace_pii(docs, "key", "n").count() == 4
+
+
+NAMES = {
+    1: "Mr O'Brien met Dr. J. Smith and Mr John F. Kennedy.",
+    2: "Mr Ludwig van Beethoven knew Mrs de la Cruz; Beethoven wrote.",
+    3: "Mr Jos\u00e9 Garc\u00eda came. Then Mr Jose\u0301 Garci\u0301a left.",
+    4: "Mr 田中 and Mr أحمد علي spoke.",
+    5: "Mr May arrived in May 2020; Will agreed with Mr Will Stone. Stone left, and so did Will Stone.",
+    6: "Dr Mike and Dr George met Dr Anna.",
+    7: "From 2001:db8::ff00:42:8329 and fe80::1 and 1:2:3:4:5:6:7:8, not 12:30 or std::vector or a::b::c; call 2125550187, id 2125550187.",
+    8: "Write to ann@firm.example.com and bob@firm.example.com or eve@other.example.com",
+}
+
+
+@pytest.fixture(scope="module")
+def renamed(spark):
+    docs = spark.createDataFrame(list(NAMES.items()), "doc_id long, text string")
+    return {r.doc_id: r.text for r in pii.replace_pii(docs, "key").collect()}
+
+
+def test_names_of_all_kinds_go(renamed):
+    gone = {1: ["Brien", "J. Smith", "Smith", "John", "F. Kennedy", "Kennedy"], 2: ["Ludwig", "Beethoven", "Cruz"], 3: ["Jos", "Garc", "́"], 4: ["田", "中", "أحمد", "علي"], 5: ["Mr May", "Stone", "Will Stone"]}
+    for i, words in gone.items():
+        for w in words:
+            assert w not in renamed[i], (w, renamed[i])
+    assert re.fullmatch(r"Mr \w+ met Dr\. [A-Z]\. \w+ and Mr \w+ [A-Z]\. \w+\.", renamed[1])
+    assert re.fullmatch(r"Mr \w+ van (\w+) knew Mrs de la \w+; \1 wrote\.", renamed[2])
+    assert re.fullmatch(r"Mr \w+ and Mr \w+ \w+ spoke\.", renamed[4])
+
+
+def test_other_uses_of_a_name_stay(renamed):
+    m = re.fullmatch(r"Mr (\w+) arrived in May 2020; Will agreed with Mr (\w+) (\w+)\. (\w+) left, and so did (\w+) (\w+)\.", renamed[5])
+    assert m and m[3] == m[4] == m[6] and m[2] == m[5]
+
+
+def test_one_name_in_both_codings(renamed):
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Then Mr (\w+) (\w+) left\.", renamed[3])
+    assert m and m[1] == m[3] and m[2] == m[4]
+
+
+def test_gender_without_a_title_that_tells(renamed):
+    m = re.fullmatch(r"Dr (\w+) and Dr (\w+) met Dr (\w+)\.", renamed[6])
+    assert m[1].endswith("rt") and m[2].endswith("rt") and m[3].endswith("na")
+
+
+def test_long_addresses_and_unbroken_phones(renamed):
+    h = "[0-9a-f]"
+    assert re.fullmatch(rf"From {h}{{4}}:{h}{{3}}::{h}{{4}}:{h}\d?{h}?:{h}{{4}} and {h}{{4}}::{h} and ({h}:){{7}}{h}, not 12:30 or std::vector or a::b::c; call \d{{10}}, id 2125550187\.", renamed[7]), renamed[7]
+    assert "2001:db8" not in renamed[7] and "call 2125550187" not in renamed[7]
+
+
+def test_one_domain_stays_one(renamed):
+    domains = re.findall(r"@(\S+)", renamed[8])
+    assert domains[0] == domains[1] != domains[2]
