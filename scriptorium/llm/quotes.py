@@ -3,11 +3,13 @@
 A message is split into lines; the leading ``>`` marks give each line its quote level. Runs of quoted lines are quoted
 passages: their text at the next level is normalised and hashed, whole, by paragraphs and by lines. Units are joined by
 hash to the messages whose own (unquoted) text, runs between quotes, paragraphs or lines carry the same normalised
-text; a passage is linked by its largest unit that is found, and there to the latest of the messages found.
+text, and of these to the nearest one before the quote. A passage goes to the message that wrote it whole; else to the one that wrote most of
+it, by the letters of the paragraphs and lines found, the nearer one where two wrote as much. A line by itself that more than ``STOCK`` messages of a
+conversation wrote says nothing about whose it is.
 Conversations are then ordered by the tree of these replies: a message follows the message that it quotes, after the
 earlier replies to that one with all of theirs, and the quotes themselves go.
 
-Only hashes are joined, and the blocks of all messages with one hash are first brought to one row (the earliest), so
+Only hashes are joined, and only those that some quote asks for. Which message was the nearest is an as-of join over range partitions, so
 a passage that very many messages quote or carry makes a row per unit of the quote and never pairs. Numbering runs over
 range partitions, and places in the tree are found by doubling steps along its tour, so that a conversation of any
 size or depth is spread over tasks.
@@ -22,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Latest, ascii_lower, let, materialize, numbered
+from scriptorium.llm.common import Latest, ascii_lower, broadcast_if_small, let, materialize, numbered
+from scriptorium.operators.asof import as_of
 
 #: Lines that announce a quote, which go with it.
 ANNOUNCES = r"(?i)^(?:on .{1,200} wrote|am .{1,200} schrieb.{0,80}|le .{1,200} a écrit|el .{1,200} escribió)\s*:\s*$|^-{2,}\s*original message\s*-{2,}$"
 LINE = r"\r\n|\r|\n"
+#: Messages of a conversation that may have written a line before it is nobody's.
+STOCK = 3
 PARAGRAPH = r"(?>\r\n|\r|\n)(?:[^\S\r\n]*(?>\r\n|\r|\n))+"
 MARKS = r"^(?:\x20{0,3}>)+"
 
@@ -42,8 +47,9 @@ def hashed(texts: Column) -> Column:
 
 
 def units(body: Column) -> Column:
-    """Array of (rank, hash) of a passage: 0 the whole, 1 its paragraphs, 2 its lines."""
-    ranked = lambda texts, k: F.transform(hashed(texts), lambda h: F.struct(F.lit(k).alias("rank"), h.alias("hash")))
+    """Array of (rank, hash, size) of a passage: 0 the whole, 1 its paragraphs, 2 its lines."""
+    sized = lambda texts, k: F.transform(F.filter(F.transform(texts, normalised), lambda b: b != ""), lambda b: F.struct(F.lit(k).alias("rank"), F.xxhash64(b).alias("hash"), F.length(b).alias("size")))
+    ranked = lambda texts, k: F.array_distinct(sized(texts, k))
     return F.concat(ranked(F.array(body), 0), ranked(F.split(body, PARAGRAPH, -1), 1), ranked(F.split(body, LINE, -1), 2))
 
 
@@ -64,7 +70,12 @@ def runs(lines: Column) -> Column:
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, copy, role, own, parts, quoted): own text without quotes, its runs; quoted is an array of (level, units)."""
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
-    rows = numbered(rows, ["conv_id", "turn"], ["role", "text_hash"], "copy")
+    # only rows that share their turn are numbered, so only their texts are sorted
+    shared = materialize(messages.groupBy(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn")).count().where("count > 1").select("_conv", "_turn"), "quotes-shared")
+    same = rows.conv_id.eqNullSafe(shared["_conv"]) & rows.turn.eqNullSafe(shared["_turn"])
+    few = broadcast_if_small(shared)
+    several = numbered(rows.join(few, same, "left_semi"), ["conv_id", "turn"], ["role", "text_hash"], "copy")
+    rows = rows.join(few, same, "left_anti").withColumn("copy", F.lit(1).cast("long")).unionByName(several)
     lines = F.transform(
         F.split("text", LINE, -1),
         lambda s: F.struct(
@@ -82,12 +93,25 @@ def passages(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "copy", "role", F.array_join(parts, "\n").alias("own"), parts.alias("parts"), quoted.alias("quoted"))
 
 
-def blocks(said: DataFrame) -> DataFrame:
-    """(conv_id, hash, turn, copy): the earliest message of a conversation that wrote a text: all of it, a run, a paragraph or a line."""
+def blocks(said: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv_id, hash, turn, copy, writers): the messages that wrote a wanted text, as all of theirs, a run, a paragraph or a line, and how many did."""
     split = lambda by: F.flatten(F.transform("parts", lambda b: F.split(b, by, -1)))
     pieces = F.array_distinct(F.concat(F.array(F.col("own")), F.col("parts"), split(PARAGRAPH), split(LINE)))
     each = said.select("conv_id", F.explode(hashed(pieces)).alias("hash"), "turn", "copy")
-    return each.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "copy")).alias("at")).select("conv_id", "hash", "at.turn", "at.copy")
+    asked = wanted.select(F.col("conv_id").alias("c"), F.col("hash").alias("h"))
+    found = materialize(each.join(broadcast_if_small(asked), each.conv_id.eqNullSafe(asked.c) & (each.hash == asked.h), "left_semi"), "quotes-blocks")
+    many = found.groupBy(F.col("conv_id").alias("c"), F.col("hash").alias("h")).agg(F.count(F.lit(1)).alias("writers"))
+    return found.join(many, found.conv_id.eqNullSafe(many.c) & (found.hash == many.h)).select("conv_id", "hash", "turn", "copy", "writers")
+
+
+def nearest(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """quotes (a row per unit) with t, k and writers of the nearest earlier message that wrote the unit, if any."""
+    wrote = blocks(said, materialize(quotes.select("conv_id", "hash").distinct(), "quotes-wanted"))
+    key = F.struct("conv_id", "hash").alias("key")
+    at = lambda after: F.struct("turn", "copy", F.lit(after).alias("after")).alias("at")
+    versions = wrote.select(key, at(1), F.col("turn").alias("t"), F.col("copy").alias("k"), "writers")  # a message does not see itself
+    seen = as_of(quotes.select("*", key, at(0)), versions, "key", "at", "at")
+    return seen.select(*quotes.columns, F.col("version.t").alias("t"), F.col("version.k").alias("k"), F.col("version.writers").alias("writers"), F.col("version").isNotNull().alias("found"))
 
 
 def tree_places(rows: DataFrame) -> DataFrame:
@@ -129,12 +153,17 @@ def conversations(messages: DataFrame) -> DataFrame:
     """
     said = materialize(passages(messages), "quotes-said")
     runs = said.where(F.size("quoted") > 0).select("conv_id", "turn", "copy", F.posexplode("quoted").alias("run", "q"))
-    quotes = runs.select("conv_id", "turn", "copy", "run", F.col("q.level").alias("level"), F.explode("q.units").alias("u")).select("conv_id", "turn", "copy", "run", "level", "u.rank", "u.hash")
-    wrote = blocks(said).select(F.col("conv_id").alias("c"), F.col("hash").alias("h"), F.col("turn").alias("t"), F.col("copy").alias("k"))
-    same = quotes.conv_id.eqNullSafe(wrote.c) & (quotes.hash == wrote.h)
-    earlier = F.struct("t", "k") < F.struct("turn", "copy")
-    met = quotes.join(wrote, same & earlier, "left")
-    linked = met.groupBy("conv_id", "turn", "copy", "run", "level").agg(F.max(F.when(F.col("h").isNotNull(), F.struct(-F.col("rank"), "t", "k"))).alias("best"))
+    quotes = runs.select("conv_id", "turn", "copy", "run", F.col("q.level").alias("level"), F.explode("q.units").alias("u")).select("conv_id", "turn", "copy", "run", "level", "u.rank", "u.hash", "u.size")
+    quotes = materialize(quotes, "quotes-units")
+    if quotes.isEmpty():
+        return _numbered_only(said)
+    met = nearest(quotes, said).where("found").where((F.col("rank") < 2) | (F.col("writers") <= STOCK))
+    keys = ["conv_id", "turn", "copy", "run", "level"]
+    scored = met.groupBy(*keys, "t", "k").agg(F.max(F.col("rank") == 0).alias("whole"), F.sum("size").alias("size"))
+    best = scored.groupBy(*keys).agg(F.max(F.struct("whole", "size", "t", "k")).alias("best"))
+    all_runs = quotes.select(*keys).distinct()
+    same = all_runs.conv_id.eqNullSafe(best.conv_id) & all_runs.turn.eqNullSafe(best.turn) & (all_runs["copy"] == best["copy"]) & (all_runs.run == best.run)
+    linked = all_runs.join(best, same, "left").select(*(all_runs[c] for c in keys), "best")
     found = linked.groupBy(F.col("conv_id").alias("qc"), F.col("turn").alias("qt"), F.col("copy").alias("qk")).agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("best").alias("n_linked"), F.max(F.when(F.col("best").isNotNull(), F.struct(-F.col("level"), F.col("best.t").alias("t"), F.col("best.k").alias("k")))).alias("to")
     )
@@ -143,6 +172,17 @@ def conversations(messages: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", said.turn, said["copy"], "role", F.col("own").alias("text"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_quotes", "n_linked")), F.col("to.turn").alias("reply_turn"), F.col("to.copy").alias("reply_copy"))
     names = rows.columns
     placed = materialize(numbered(rows, ["conv_id"], ["turn", "copy"], "nth"), "quotes-placed")
+    if placed.where("reply_copy is not null").isEmpty():
+        return placed.select(*names, (F.col("nth") - 1).alias("position"))
     places = tree_places(placed.select("conv_id", "nth", "turn", "copy", "reply_turn", "reply_copy"))
     told = placed.join(places, placed.conv_id.eqNullSafe(places.c) & (placed.nth == places.v), "left")
     return told.select(*names, F.coalesce("place", F.col("nth") - 1).alias("position"))
+
+
+def _numbered_only(said: DataFrame) -> DataFrame:
+    """The result where nothing is quoted: messages by turn."""
+    none = F.lit(0).cast("long")
+    rows = said.select("conv_id", "turn", "copy", "role", F.col("own").alias("text"), none.alias("n_quotes"), none.alias("n_linked"), F.lit(None).cast(said.schema["turn"].dataType).alias("reply_turn"), F.lit(None).cast("long").alias("reply_copy"))
+    narrow = numbered(rows.select("conv_id", "turn", "copy"), ["conv_id"], ["turn", "copy"], "nth").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("copy").alias("k"), "nth")
+    told = rows.join(narrow, rows.conv_id.eqNullSafe(narrow.c) & rows.turn.eqNullSafe(narrow.t) & (rows["copy"] == narrow.k))
+    return told.select(*rows.columns, (F.col("nth") - 1).alias("position"))

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from scriptorium.llm import quotes
@@ -95,3 +98,94 @@ def test_excerpts_and_reply_paths(spark):
     assert [(of(got, 1, t).reply_turn, of(got, 1, t).n_quotes, of(got, 1, t).n_linked) for t in range(7)] == [(None, 0, 0), (None, 0, 0), (0, 2, 2), (1, 1, 1), (2, 1, 1), (4, 1, 1), (0, 1, 1)]
     assert [t for _, t in sorted((r.position, r.turn) for r in got if r.conv_id == 1)] == [0, 2, 4, 5, 6, 1, 3]
     assert [of(got, None, t).position for t in (None, 1)] == [0, 1]
+
+
+def test_the_message_that_wrote_most(spark):
+    """Two lines of one message outweigh a later stock line, which by itself is nobody's; a passage written twice is the nearer one's."""
+    said = [
+        (0, "fact one\nfact two"), (1, "something"), (2, "I agree"), (3, "> fact one\n> fact two\n> I agree\nyes"), (4, "I agree"), (5, "I agree"), (6, "I agree"),
+        (7, "> I agree\n> nobody\nwhy"), (8, "fact two"), (9, "> fact two\n> nobody\nthat again"), (10, "> I agree\nme too"),
+    ]
+    rows = spark.createDataFrame([(1, t, "user", x) for t, x in said], "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(rows).collect()
+    assert [of(got, 1, t).reply_turn for t in (3, 7, 9, 10)] == [0, None, 8, 6]
+
+
+def normal(text):
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def brute(messages):
+    """(turn, reply turn, position) of one conversation, by plain loops."""
+    written, quoted = {}, {}
+    for t, text in messages:
+        found, level, body = [], None, []
+        for line in [*text.split("\n"), None]:
+            marks = re.match(r"(?: {0,3}>)*", line)[0] if line is not None else None
+            now = marks.count(">") if line is not None else None
+            if now != level and body:
+                found.append((level, "\n".join(body)))
+                body = []
+            if line is not None:
+                level = now
+                body.append(re.sub(r"^(?: {0,3}>)+ ?", "", line))
+        own = [b.strip() for k, b in found if k == 0 and b.strip()]
+        pieces = ["\n".join(own), *own, *(p for b in own for p in re.split(r"\n(?:[ \t]*\n)+", b)), *(x for b in own for x in b.split("\n"))]
+        written[t] = {normal(p) for p in pieces} - {""}
+        quoted[t] = []
+        for k, b in found:
+            units = [{normal(b)}, {normal(p) for p in re.split(r"\n(?:[ \t]*\n)+", b)}, {normal(x) for x in b.split("\n")}]
+            if k and units[2] - {""}:
+                quoted[t].append((k, [(r, u) for r, us in enumerate(units) for u in us - {""}]))
+    reply = {}
+    for t, runs in quoted.items():
+        links = []
+        for level, units in runs:
+            score = {}
+            for rank, u in units:
+                writers = [m for m in written if u in written[m]]
+                before = [m for m in writers if m < t]
+                if before and (rank < 2 or len(writers) <= quotes.STOCK):
+                    whole, size = score.get(max(before), (False, 0))
+                    score[max(before)] = (whole or rank == 0, size + len(u))
+            if score:
+                links.append((-level, max((*v, m) for m, v in score.items())[2]))
+        if links:
+            reply[t] = max(links)[1]
+    order, turns = [], sorted(written)
+
+    def visit(t):
+        order.append(t)
+        for c in turns:
+            if reply.get(c) == t:
+                visit(c)
+
+    for t in turns:
+        if t not in reply:
+            visit(t)
+    return sorted((t, reply.get(t), order.index(t)) for t in turns)
+
+
+def test_random_conversations_by_brute_force(spark):
+    rng = random.Random(11)
+    stock = ["yes", "i agree", "no"]
+    rows = []
+    for c in range(40):
+        lines = []
+        for t in range(12):
+            parts = []
+            for _ in range(rng.randrange(1, 4)):
+                if lines and rng.random() < 0.5:
+                    block = rng.choice(lines)
+                    k = rng.randrange(len(block))
+                    parts += [f"{rng.choice(['> ', '>', '>> '])}{x.upper() if rng.random() < 0.2 else x}" for x in block[k : k + 3]]
+                    if rng.random() < 0.3:
+                        parts.append("> nobody wrote this")
+                else:
+                    parts += [rng.choice([*stock, f"line {rng.randrange(30)} of {c}", ""]) for _ in range(rng.randrange(1, 4))]
+            lines.append([re.sub(r"^[> ]+", "", p) for p in parts] or [""])
+            rows.append((c, t, "user", "\n".join(parts)))
+    got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    for c in range(40):
+        mine = sorted((r.turn, r.reply_turn, r.position) for r in got if r.conv_id == c)
+        assert mine == brute([(t, x) for k, t, _, x in rows if k == c])
