@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,32 +66,46 @@ def pdf_read(content: bytes) -> tuple[str, str | None, int | None]:
     return "".join(f"{page}\n\f" for page in pages), None, len(pages)
 
 
-def pdf_of(text: Column, lines_per_page: int = 50) -> Column:
-    """Texts as PDF files, a line a line."""
+def _few(batches: Iterator[pa.RecordBatch], size: int = 1 << 20, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, of about a size: what is made of one is on its way before the next is read."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
+                n //= 2
+            yield batch.slice(at, n)
+            at += n
 
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: pdf.written(t, lines_per_page), na_action="ignore")
 
-    return F.pandas_udf(run, "binary")(text)
+def pdf_files(texts: DataFrame, lines_per_page: int = 50) -> DataFrame:
+    """The rows with their column text written as a PDF file, content, a line a line; null where there is no text."""
+    kept = [f for f in texts.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            made = [None if t is None else pdf.written(t, lines_per_page) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(made, pa.binary())], names=[*(f.name for f in kept), "content"])
+
+    return texts.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "content binary")
 
 
 def pdf_page_rows(files: DataFrame) -> DataFrame:
     """A row (all but content, page_no, page_text) for each page of the files; one with nulls for what is no PDF that can be read."""
-    kept = [c for c in files.columns if c != "content"]
+    kept = [f for f in files.schema.fields if f.name != "content"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.iloc[[k]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            pages: list[tuple[int, int | None, str | None]] = []
+            for k, content in enumerate(batch.column("content")):
                 try:
-                    pages = list(enumerate(pdf.page_texts(bytes(row["content"].iloc[0])), 1))
+                    pages += [(k, n, text) for n, text in enumerate(pdf.page_texts(content.as_py()), 1)]
                 except Exception:
-                    pages = [(None, None)]
-                out = row[kept].loc[row.index.repeat(len(pages))]
-                yield out.assign(page_no=pd.array([n for n, _ in pages], "Int32"), page_text=[t for _, t in pages])
+                    pages.append((k, None, None))
+            at = pa.array([k for k, _, _ in pages], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(at) for f in kept), pa.array([n for _, n, _ in pages], pa.int32()), pa.array([t for _, _, t in pages], pa.string())], names=[*(f.name for f in kept), "page_no", "page_text"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.schema.fields if f.name != "content")
-    return files.mapInPandas(run, f"{kinds}page_no int, page_text string")
+    return files.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "page_no int, page_text string")
 
 
 def image_text(content: bytes) -> tuple[str, str | None]:
@@ -125,11 +140,13 @@ def extract(files: DataFrame, readers: dict[str, Callable] | None = None) -> Dat
         text, error = readers[kind](content) if kind in readers else ("", None)
         return text, error, pdf.page_count(content) if kind == "pdf" else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [read(e, bytes(c)) for e, c in zip(batch["_ext"], batch["content"], strict=True)]
-            yield batch[kept].assign(text=[t for t, _, _ in found], extract_error=[e for _, e, _ in found], total_pages=pd.array([n for _, _, n in found], "Int32"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            found = [read(e, b"" if c is None else c) for e, c in zip(batch.column("_ext").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            texts = [t.encode("utf-8", "replace").decode() for t, _, _ in found]  # a file may name half a sign
+            columns = [pa.array(texts, pa.string()), pa.array([e for _, e, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "text", "extract_error", "total_pages"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    other = typed.where(~F.col("_ext").isin(*PLAIN)).mapInPandas(run, f"{kinds}, text string, extract_error string, total_pages int")
+    other = typed.where(~F.col("_ext").isin(*PLAIN)).mapInArrow(run, f"{kinds}, text string, extract_error string, total_pages int")
     return plain.unionByName(other)

@@ -191,7 +191,7 @@ def test_written_texts_come_back(text, per_page):
 
 def test_files_as_rows(spark):
     texts = [("a.pdf", "x\ny\nz"), ("b.pdf", "")]
-    files = spark.createDataFrame(texts, "filename string, text string").select("filename", extract.pdf_of("text", 2).alias("content"))
+    files = spark.createDataFrame(texts, "filename string, text string").transform(lambda df: extract.pdf_files(df, 2))
     bad = spark.createDataFrame([("c.pdf", bytearray(b"no PDF"))], "filename string, content binary")
     read = {r.filename: r for r in extract.extract(files.unionByName(bad)).collect()}
     assert (read["a.pdf"].text, read["a.pdf"].total_pages, read["a.pdf"].extract_error) == ("x\ny\n\fz\n\f", 2, None)
