@@ -2,8 +2,9 @@
 
 Strong patterns are reported wherever they are found. The parts of a multipart credential are weak by themselves: an
 access identifier, a secret-looking value, an endpoint. They are reported only when complementary parts occur within
-the same scope: at most ``RADIUS`` code points apart in one text, from the end of one to the start of the other. The interval join is made with window functions over
-the starts and ends of the parts of a document in order: for each other role the last end up to a part's start and the
+the same scope: in one section of a text, and there at most ``RADIUS`` code points apart, from the end of one to the start of the other. A section ends
+where the next begins: at a name in brackets, an empty line, a line of dashes, or where one object of braces follows another. The interval join is made with window functions over
+the starts and ends of the parts of a section in order: for each other role the last end up to a part's start and the
 first start from its end on decide, so parts are never paired with each other and none that overlap hide another.
 
 Positions are code points. Matches are found once; what lies between them, from splitting at the same pattern, gives
@@ -37,6 +38,8 @@ WEAK = {
     r"|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9A-Z+/_=-]*+[a-z])(?=[0-9a-z+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{20,}+",
     "weak_endpoint": r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+]{1,20}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?",
 }
+#: Where a section begins: [name], an empty line, a line of dashes, and the next object of a list.
+BORDER = r"(?<![^\s])\[[A-Za-z0-9_.: /-]{1,64}\](?=\s)|\n[\x20\t\r]*\n|\n(?:---+|===+)[\x20\t\r]*\n|\}[\s,]*\{"
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
 ORDER = {kind: k for k, kind in enumerate([*STRONG, *WEAK])}
 #: What a text has that any pattern can match in; the hex alternative asks for a long run.
@@ -91,7 +94,7 @@ def written(found: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, strong, weak): spans of every row, in one scan."""
+    """(doc_id, text_hash, strong, weak, borders): spans of every row, in one scan; borders only of rows with weak spans."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     strong = F.concat(*(spans(F.col("_text"), k, *v) for k, v in STRONG.items()))
@@ -99,7 +102,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("_text"))
     hint = F.col("_text").rlike(HINT)
     long = F.col("_text").rlike(WEAK["weak_secret"])
-    return rows.select("doc_id", F.xxhash64("_text").alias("text_hash"), F.when(hint, strong).otherwise(none).alias("strong"), F.when(hint | long, weak).otherwise(none).alias("weak"))
+    found = rows.select("doc_id", "_text", F.xxhash64("_text").alias("text_hash"), F.when(hint, strong).otherwise(none).alias("strong"), F.when(hint | long, weak).otherwise(none).alias("weak"))
+    borders = F.when(F.size("weak") > 0, spans(F.col("_text"), "border", BORDER)).otherwise(none)
+    return found.select("doc_id", "text_hash", "strong", "weak", borders.alias("borders"))
 
 
 def linked(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -108,11 +113,17 @@ def linked(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     An identifier needs a secret, a secret needs an identifier or an endpoint, an endpoint needs both.
     """
     of = ["doc_id", "text_hash"]
-    parts = rows.where(F.size("weak") > 0).select(*of, F.explode(F.concat("strong", "weak")).alias("s")).distinct().select(*of, "s.*")
+    parts = rows.where(F.size("weak") > 0).select(*of, F.explode(F.concat("strong", "weak", "borders")).alias("s")).distinct().select(*of, "s.*")
     role = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))
     parts = parts.withColumn("role", F.try_element_at(role, F.col("kind")))
     # an end comes before a start at the same place: parts that touch are apart by nothing, and do not overlap
     edges = parts.select("*", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("edge")), F.struct(F.col("end").alias("at"), F.lit(0).alias("edge")))).alias("e")).select(*parts.columns, "e.*")
+    # a border counts where it ends, before what begins there
+    border = F.col("kind") == "border"
+    edges = edges.where(~border | (F.col("edge") == 0)).withColumn("edge", F.when(border, -1).otherwise(F.col("edge")))
+    so_far = Window.partitionBy(*of).orderBy("at", "edge").rowsBetween(Window.unboundedPreceding, 0)
+    edges = edges.withColumn("section", F.count(F.when(border, 1)).over(so_far)).where(~border)
+    of = [*of, "section"]
     before = Window.partitionBy(*of).orderBy("at", "edge").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*of).orderBy(F.desc("at"), F.desc("edge")).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -123,6 +134,7 @@ def linked(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
         return F.coalesce(F.when(F.col("edge") == 1, F.col("at") - ahead <= radius).otherwise(behind - F.col("at") <= radius), F.lit(False))
 
     met = edges.select("*", *(near(r).alias(f"near_{r}") for r in ("id", "secret", "endpoint")))
+    of = of[:-1]
     met = met.groupBy(*of, "kind", "role", "start", "end").agg(*(F.max(f"near_{r}").alias(f"near_{r}") for r in ("id", "secret", "endpoint")))
     whole = (
         F.when(F.col("role") == "id", F.col("near_secret"))

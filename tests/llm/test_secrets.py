@@ -135,3 +135,36 @@ def test_links_against_all_pairs(spark):
                 want.add((r.doc_id, kind, start, end))
     assert len(want) > 50
     assert got == want
+
+
+def test_parts_of_other_sections_are_no_complement(spark):
+    texts = [
+        "[prod] client_id=abcdef [dev] private_key=0123456789abc",
+        "[prod]\nclient_id=abcdef\nprivate_key=0123456789abc\n[dev]\nuser=bob",
+        "client_id=abcdef\n\nprivate_key=0123456789abc",
+        '[{"client_id": "abcdef"}, {"private_key": "0123456789abc"}]',
+        '[{"client_id": "abcdef", "private_key": "0123456789abc"}]',
+        "client_id=abcdef\n---\nprivate_key=0123456789abc",
+        "list[3] client_id=abcdef x[4] private_key=0123456789abc",
+    ]
+    got = {r.doc_id: len(r.linked) for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 2, 2: 0, 3: 0, 4: 2, 5: 0, 6: 2}
+
+
+def test_sections_against_all_pairs(spark):
+    """Every weak part against every other part of its section, borders anywhere."""
+    rng = random.Random(8)
+    bits = ["user=bob", "password=hunter2hunter2", "https://api.host.org:8443", "AKIA" + "A1B2" * 4, "secret_access_key=aaaaBBBB", "[one]", "[two x]", "\n\n", "\n---\n", "} {", "word", "y " * 40]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(2, 25))) + " " for _ in range(150)]
+    rows = materialize(secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "test-sections")
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in secrets.linked(rows, 60).collect() for s in r.linked}
+    needs = {"id": lambda m: "secret" in m, "secret": lambda m: m & {"id", "endpoint"}, "endpoint": lambda m: {"id", "secret"} <= m}
+    want = set()
+    for r in rows.collect():
+        section = lambda at: sum(b.end <= at for b in r.borders)  # noqa: B023, E731
+        parts = [(s.kind, s.start, s.end) for s in [*r.strong, *r.weak]]
+        for k, a, b in [tuple(s) for s in r.weak]:
+            met = {secrets.ROLE[x] for x, c, d in parts if (0 <= a - d <= 60 or 0 <= c - b <= 60) and section(c) == section(a)}
+            if needs[secrets.ROLE[k]](met):
+                want.add((r.doc_id, k, a, b))
+    assert len(want) > 50 and got == want
