@@ -231,10 +231,12 @@ def _reputation_sql() -> str:
       FROM after),
     labelled AS (SELECT p.*, greatest(l.toxic, 1 - l.quality) AS bad FROM p LEFT JOIN labels l ON l.doc_id = p.shown),
     hosts AS (
-      SELECT host, regexp_replace(host, ':\d*$', '') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM labelled GROUP BY host),
+      SELECT host, regexp_replace(host, '{reputation.OUTSIDE}', '', 'g') AS name, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM labelled GROUP BY host),
     labels AS (SELECT *, string_split(name, '.') AS l FROM hosts),
     cut AS (SELECT *, {_suffix_sql()} AS k FROM labels),
-    levels AS (SELECT *, array_to_string(l[greatest(len(l) - k + 1, 1):], '.') AS suffix, array_to_string(l[greatest(len(l) - k, 1):], '.') AS domain FROM cut),
+    levels AS (
+      SELECT *, CASE WHEN regexp_matches(name, '{reputation.ADDRESS}') THEN '{reputation.ADDRESSES}' ELSE array_to_string(l[greatest(len(l) - k + 1, 1):], '.') END AS suffix,
+        CASE WHEN regexp_matches(name, '{reputation.ADDRESS}') THEN name ELSE array_to_string(l[greatest(len(l) - k, 1):], '.') END AS domain FROM cut),
     top AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS m, (SELECT sum(n) FROM hosts) AS backed FROM levels GROUP BY suffix),
     top_rate AS ({_shrunk_sql("top", "suffix")}),
     middle AS (SELECT domain, d.n, d.bad, t.m, t.backed FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM levels GROUP BY ALL) d JOIN top_rate t USING (suffix)),

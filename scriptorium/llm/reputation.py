@@ -7,7 +7,8 @@ page is blocked when even the lower bound of its host's posterior bad rate is ov
 
 The registered domain of a host is the suffix and one label more. Suffixes come from a bounded set of rules, a parameter: the
 longest rule that fits counts, ``*.`` stands for any one label, ``!`` marks an exception, whose suffix is one label shorter; where
-no rule fits, the last label is the suffix.
+no rule fits, the last label is the suffix. User names, ports and closing dots belong to no level, and numeric addresses are domains of their own,
+under one suffix of all of them.
 
 Only counts per host are joined back, never pages with each other, so a host of any size is one narrow row.
 
@@ -48,6 +49,12 @@ SUFFIX_RULES = frozenset(f"{name}.{country}" for name, countries in SECOND_LEVEL
 }
 
 
+#: What of a host belongs to no level, numeric addresses, and the suffix that stands for all of these.
+OUTSIDE = r"^.*@|\.*(?::\d*)?$"
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$"
+ADDRESSES = "[address]"
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     after = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url)))
     host = ascii_lower(F.coalesce(F.regexp_extract(after, r"^[^/?#]*", 0), F.lit("")))
@@ -69,7 +76,8 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple
 
 def levels(host: Column, rules: Iterable[str] = SUFFIX_RULES) -> tuple[Column, Column]:
     """The registered domain and its suffix."""
-    labels = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.", -1)
+    name = F.regexp_replace(host, OUTSIDE, "")
+    labels = F.split(name, r"\.", -1)
     rules = sorted(rules)
     plain = [r for r in rules if r[0] not in "*!"]
     any_label = [r.removeprefix("*.") for r in rules if r.startswith("*.")]
@@ -85,7 +93,8 @@ def levels(host: Column, rules: Iterable[str] = SUFFIX_RULES) -> tuple[Column, C
         n = F.when((F.size(labels) >= k) & (last(k).isin(plain) | last(k - 1).isin(any_label)), k).otherwise(n)
     for k in range(2, deepest + 1):
         n = F.when((F.size(labels) >= k) & last(k).isin(exceptions), k - 1).otherwise(n)
-    return last(n + 1), last(n)
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).otherwise(last(n + 1)), F.when(address, ADDRESSES).otherwise(last(n))
 
 
 def strength(children: DataFrame) -> float:

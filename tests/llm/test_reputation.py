@@ -10,7 +10,10 @@ from scriptorium.llm.queries import URL_RULES
 
 def registered(host):
     """(registered domain, suffix) by trying every rule on the labels."""
-    labels = re.sub(r":\d*$", "", host).split(".")
+    name = re.sub(r":\d*$", "", host.split("@")[-1]).rstrip(".")
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}|\[.*\]", name):
+        return name, "[address]"
+    labels = name.split(".")
     fitting = []
     for rule in reputation.SUFFIX_RULES:
         wanted = rule.lstrip("!").split(".")
@@ -134,3 +137,13 @@ def test_bad_hosts_are_blocked(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert reputation.judge(pages, spark.createDataFrame([], "page_id long, bad int"), URL_RULES).count() == 0
+
+
+def test_addresses_dots_and_users(spark):
+    hosts = {
+        "192.168.1.5": ("192.168.1.5", "[address]"), "10.0.1.5:8080": ("10.0.1.5", "[address]"), "[2001:db8::1]:443": ("[2001:db8::1]", "[address]"), "[::1]": ("[::1]", "[address]"),
+        "a.example.com.": ("example.com", "com"), "b.example.com.:80": ("example.com", "com"), "user@evil.com": ("evil.com", "com"), "u:p@www.evil.co.uk:81": ("evil.co.uk", "co.uk"), "1.2.3": ("2.3", "3"), "": ("", ""),
+    }
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in frame.select("host", *(c.alias(n) for n, c in zip(("domain", "suffix"), reputation.levels(frame.host), strict=True))).collect()}
+    assert got == hosts
