@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from urllib.parse import quote_plus
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +105,26 @@ def write_database(rows: DataFrame, url: str, table: str, batch: int = 100) -> N
     rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch).mode("append").save()
 
 
+def conflict_sql(table: str, staging: str, columns: list[str], key: str, mutable: list[str] | None = None) -> str:
+    """Insert the rows of a staging table; what is there already keeps all but its mutable columns, or stays as it is where none are named."""
+    names = ", ".join(columns)
+    rule = f"UPDATE SET {', '.join(f'{c} = EXCLUDED.{c}' for c in mutable)}" if mutable else "NOTHING"
+    return f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging} ON CONFLICT ({key}) DO {rule}"
+
+
+def upsert_database(rows: DataFrame, url: str, table: str, key: str, mutable: list[str] | None = None, batch: int = 100) -> None:
+    """Bring rows (one for each key) into a table of a database by its own conflict rule: tasks fill a staging table, and one statement takes it over."""
+    staging = f"{table}_{uuid.uuid4().hex[:12]}"
+    write_database(rows, url, staging, batch)
+    connection = rows.sparkSession.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        statement = connection.createStatement()
+        statement.executeUpdate(conflict_sql(table, staging, rows.columns, key, mutable))
+        statement.executeUpdate(f"DROP TABLE {staging}")
+    finally:
+        connection.close()
+
+
 def tables(spark: SparkSession) -> DataFrame:
     """(name, is_temporary) of the tables and views of the session."""
     rows = [(t.name, t.isTemporary) for t in spark.catalog.listTables()]

@@ -211,3 +211,25 @@ def test_many_questions_of_one_document(spark):
         hits = [f"• line{k} end" for k in range(300) if f"line{i % 250}" in f"line{k}"][:8]
         assert got[i] == search.HEADING + "\n".join(hits)
     assert got[500] == search.NO_QUESTION and got[501] == search.NO_TEXT
+
+
+def test_conflict_rules_in_a_database(spark):
+    """The statements, run by another engine, do what the folds do."""
+    import duckdb
+
+    from scriptorium.sources import store
+
+    ddl = "doc_id VARCHAR PRIMARY KEY, user_id VARCHAR, filename VARCHAR, size_bytes BIGINT, total_pages INT, updated_at INT"
+    names = [c.split(" ")[0] for c in ddl.split(", ")]
+    held, new = [("a", "u1", "x", 1, 2, 1), ("b", "u2", "y", 3, 4, 1)], [("a", "u3", "z", None, 9, 2), ("c", "u4", "w", 5, None, 2)]
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE documents ({ddl})")
+    db.execute(f"CREATE TABLE staged ({ddl})")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?, ?)", held)
+    db.executemany("INSERT INTO staged VALUES (?, ?, ?, ?, ?, ?)", new)
+    kinds = "doc_id string, user_id string, filename string, size_bytes long, total_pages int, updated_at int"
+    folded = catalog.upsert_documents(spark.createDataFrame(held, kinds), spark.createDataFrame([(*r, 1) for r in new], kinds + ", seq long"))
+    db.execute(store.conflict_sql("documents", "staged", names, "doc_id", [*catalog.MUTABLE, "updated_at"]))
+    assert sorted(db.execute("SELECT * FROM documents").fetchall(), key=repr) == sorted((tuple(r) for r in folded.collect()), key=repr)
+    db.execute(store.conflict_sql("staged", "documents", names, "doc_id"))
+    assert sorted(db.execute("SELECT doc_id, user_id FROM staged").fetchall()) == [("a", "u3"), ("b", "u2"), ("c", "u4")]
