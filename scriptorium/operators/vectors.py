@@ -22,7 +22,7 @@ from scriptorium.scratch import new_folder
 
 LISTS, SAMPLE, ROUNDS = 64, 16_384, 12
 #: Lists that a search probes where it need not be exact.
-PROBES = 24
+PROBES = 40
 QUESTIONS = 4096
 DECIMALS = 9
 
@@ -78,7 +78,7 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], names=["vec_id", "unit", "list"])
 
         path = new_folder(spark, "vectors")
-        rows.mapInArrow(run, f"vec_id {kind}, unit array<double>, list int").write.partitionBy("list").parquet(path)
+        rows.mapInArrow(run, f"vec_id {kind}, unit array<double>, list int").hint("rebalance", F.col("list")).write.partitionBy("list").parquet(path)
         return cls(spark, path, centres, kind)
 
     def search(self, questions: DataFrame, k: int, probes: int | None = None) -> DataFrame:
