@@ -36,6 +36,8 @@ def _cased(titles: str) -> str:
 MALE = _cased("Mr|Mister|Sir|Herr|Señor|Monsieur|Господин|Κύριος")
 FEMALE = _cased("Mrs|Ms|Miss|Madam|Frau|Señora|Señorita|Madame|Mme|Mlle|Госпожа|Κυρία")
 ANY = _cased("Dr|Prof")
+#: What titles begin with, so that most places of a text are passed at once.
+BEGIN = "".join(sorted({t[0] for t in f"{MALE}|{FEMALE}|{ANY}".split("|")}))
 TITLE = rf"^(?:{MALE}|{FEMALE}|{ANY})\.? "
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -59,11 +61,11 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "card": r"(?<![\p{L}\p{N}+])\d(?:[ -]?\d){12,18}" + _END,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}" + _END + r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}" + _END + r"|(?<![\p{L}\p{N}+.-])\d{3}([ .-])\d{3}\1\d{4}(?![\p{L}\p{N}]|[.-]\d)|(?<!\d)\d{10}(?<=(?:" + _CALLS + r")\d{10})" + _END,
-    "name": _EDGE + rf"(?:{MALE}|{FEMALE}|{ANY})\.? (?:(?:{_PARTICLE}) )*{_NAME}(?:(?:[ -]| (?:(?:{_PARTICLE}) )+){_NAME}){{0,3}}",
+    "name": rf"(?=[{BEGIN}])" + _EDGE + rf"(?:{MALE}|{FEMALE}|{ANY})\.? (?:(?:{_PARTICLE}) )*{_NAME}(?:(?:[ -]| (?:(?:{_PARTICLE}) )+){_NAME}){{0,3}}",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What every entity contains; other texts are not searched.
-HINT = rf"[@0-9]|::|{MALE}|{FEMALE}|{ANY}"
+HINT = rf"[@0-9]|::|(?=[{BEGIN}]){_EDGE}(?:{MALE}|{FEMALE}|{ANY})"
 #: Syllables of surrogate names, their letters, and the same letters in other scripts.
 SYLLABLES = [c + v for c in "bdfghjklmnprstvz" for v in "aeio"]
 LETTERS = "abdefghijklmnoprstvz"
