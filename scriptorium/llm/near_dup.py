@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Latest, broadcast_if_small, materialize
+from scriptorium.llm.common import Latest, broadcast_if_small, materialize, text_batches
 
 
 @dataclass(frozen=True)
@@ -271,7 +271,8 @@ def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
 
     in_play = large.select("node").unionByName(first.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = materialize(classes.join(in_play, "node", "left_semi").select("at.*"), "near-wanted")
-    sets = materialize(full_sets(docs, wanted, near), "near-sets")
+    with text_batches(docs.sparkSession):
+        sets = materialize(full_sets(docs, wanted, near), "near-sets")
     roots = materialize(connected(_confirmed(first, sets, near)), "near-roots")
 
     def merged(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -288,7 +289,8 @@ def link(rows: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
 def components(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component, component_id): component is a hash, component_id its smallest doc_id."""
     near = near or Near()
-    rows = materialize(sketches(docs, near), "near-rows")
+    with text_batches(docs.sparkSession):
+        rows = materialize(sketches(docs, near), "near-rows")
     roots = link(rows, docs, near)
     labelled = rows.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
     labelled = materialize(labelled.select("doc_id", "text_hash", "n_shingles", "component"), "near-labelled")

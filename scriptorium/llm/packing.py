@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm.common import materialize, numbered
+from scriptorium.llm.common import materialize, numbered, text_batches
 
 LENGTH = 1024
 END_TOKEN = 2
@@ -286,4 +286,6 @@ def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer_path, length), "pack-pieces"), length)
+    with text_batches(spark):
+        rows = materialize(pieces(docs, tokenizer_path, length), "pack-pieces")
+    return pack(rows, length)

@@ -40,6 +40,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
+from scriptorium.llm.common import text_batches
+
 FORMAT = "packed_ids"
 MAGIC = b"IDPACK01"
 MANIFEST = "_manifest.json"
@@ -455,7 +457,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_token: int) -> No
     keys = ["doc_id", "_hash", "_place"]
     placed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
     ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    ordered.write.format(FORMAT).options(path=path, tokenizer=tokenizer_path, end_token=end_token).mode("append").save()
+    with text_batches(docs.sparkSession):
+        ordered.write.format(FORMAT).options(path=path, tokenizer=tokenizer_path, end_token=end_token).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
