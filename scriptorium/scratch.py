@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few narrow columns up to which a side of a join is broadcast; some 32 MB.
-SMALL_ROWS = 500_000
+#: Rows of a few narrow columns, ids of some forty signs among them, up to which a side of a join is broadcast; some 32 MB.
+SMALL_ROWS = 200_000
 
 
 def new_folder(spark: SparkSession, label: str = "lake") -> str:
