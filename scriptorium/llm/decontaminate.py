@@ -8,7 +8,7 @@ document are given the items that have them. Windows are compared by 64-bit hash
 by letter, so two different ones are taken for the same with a probability of some 2 ** -63.
 Items shorter than a window are one window of their own length and are joined by the hash of all of it.
 
-Defined results: null or empty text has no words; items without words match nothing; repeated rows are judged alike
+Defined results: null or empty text has no words; items without words match nothing; very long texts and items are compared whole; repeated rows are judged alike
 and kept apart; an empty documents or benchmark table is no error; other columns of the inputs are left out by
 ``contamination`` and kept by ``clean``.
 """

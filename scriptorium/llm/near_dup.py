@@ -14,7 +14,7 @@ less for more similar pairs).
 
 Defined results: null text, empty text or text without words gives the empty set, linked with nothing; texts of
 fewer words than a shingle are one shingle; repeated rows are copies; a null doc_id takes part in linking but never
-names a component that has other ids; an empty table gives an empty result; other columns are left out by
+names a component that has other ids; very long texts are shingled whole; an empty table gives an empty result; other columns are left out by
 ``components`` and kept by ``drop_near_duplicates``.
 """
 

@@ -16,7 +16,8 @@ entity of the corpus, all but the first take their next attempt, until none is l
 attempts, as where a form has hardly any values left, gets its type and a keyed hash instead of its format, so that this ends. The
 few entities that did not keep their first attempt are joined back to the documents that mention them; all others need no join.
 
-Defined results: null text stays null, text without entities stays as it is, repeated rows change alike, very long texts are
+Defined results: null text stays null, text without entities stays as it is, repeated rows change alike, of entities that
+tie for a surrogate the one with fewer attempts, then the lesser normal form, keeps it, very long texts are
 searched whole, an empty table stays empty, and all other columns (of any name) are kept.
 """
 

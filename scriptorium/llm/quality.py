@@ -3,7 +3,7 @@
 Every rule is evaluated once per document. The ledger keeps the measurements and one integer whose bits are the
 failed rules; policies are versioned masks over these bits, and ablations are sums over the (few) distinct masks.
 
-Defined results: null or empty text has no words and fails the length rule; repeated rows are judged alike and
+Defined results: null or empty text has no words and fails the length rule; very long texts are measured whole; repeated rows are judged alike and
 kept apart; an empty table gives an empty ledger; all columns of the input may be carried along, and where one has
 a name of the ledger's, the ledger's own columns win.
 """

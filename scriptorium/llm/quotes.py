@@ -16,7 +16,7 @@ size or depth is spread over tasks.
 
 Defined results: null or empty text is a message without own text; a null turn sorts first; repeated rows are messages
 of their own, numbered on; quotes whose passage nobody wrote, or only the quoting message itself or a later one, stay
-unlinked and still go; an empty table gives an empty result; other columns are left out.
+unlinked and still go; very long messages are split whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations

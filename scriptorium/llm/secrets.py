@@ -10,7 +10,7 @@ first start from its end on decide, so parts are never paired with each other an
 Positions are code points. Matches are found once; what lies between them, from splitting at the same pattern, gives
 their places.
 
-Defined results: null or empty text has no secrets; repeated rows are scanned alike and kept apart; very long texts and
+Defined results: null or empty text has no secrets; repeated rows are scanned alike and kept apart; of complements at one distance any will do; very long texts and
 values are scanned whole; an empty table gives an empty result; a null doc_id is an id like any other; other columns are left out.
 """
 

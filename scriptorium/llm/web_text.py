@@ -12,7 +12,7 @@ per page / share`` of them can recur, however large the host is. They are joined
 broadcast when counted and small, else shuffled, where a large host's pages are split.
 
 Defined results: null or empty html gives an empty text; a page with a null or unusable url belongs to no site, so nothing
-of it is a template; repeated rows are extracted alike and kept apart, and count as pages of their own; pages of any length and
+of it is a template; repeated rows are extracted alike and kept apart, and count as pages of their own; subtrees that recur on exactly the least share of pages are template; pages of any length and
 depth are read whole; an empty table gives an empty result; other columns are left out.
 """
 

@@ -77,3 +77,12 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.summary(odd_docs, items.where("false")).where("contaminated").count() == 0
     assert decontaminate.clean(odd_docs, items.where("false")).count() == 12
     assert decontaminate.clean(no_docs, items).count() == 0
+
+
+def test_a_very_long_item(spark, prose):
+    """All of an item of 40,000 words counts, wherever a document shares a window with it."""
+    long = " ".join(f"{w}q{i}" for i, w in enumerate(prose(40_000, 77).split()))
+    some = " ".join(long.split()[31_000:31_012])
+    docs = spark.createDataFrame([(1, f"before {some} after"), (2, long), (3, " ".join(long.split()[:9]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.summary(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()}
+    assert got == {1: (12, True), 2: (40_000, True), 3: (0, False)}

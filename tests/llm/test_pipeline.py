@@ -107,3 +107,11 @@ def test_empty_table(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.collect() == []
         assert name == "packing" or out.columns == docs.columns
+
+
+def test_no_benchmark(spark, prose, tmp_path):
+    """Without items nothing is contaminated."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd_rows(spark, [(i, prose(90, 7100 + i)) for i in range(5)])
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(5))

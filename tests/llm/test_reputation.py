@@ -147,3 +147,11 @@ def test_addresses_dots_and_users(spark):
     frame = spark.createDataFrame([(h,) for h in hosts], "host string")
     got = {r.host: (r.domain, r.suffix) for r in frame.select("host", *(c.alias(n) for n, c in zip(("domain", "suffix"), reputation.levels(frame.host), strict=True))).collect()}
     assert got == hosts
+
+
+def test_very_long_urls(spark):
+    long = "http://" + "a." * 3000 + "example.com/en/" + "x" * 100_000 + "?q=1"
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "b" * 50_000)], "page_id long, url string")
+    got = {r.page_id: r for r in reputation.judge(pages, spark.createDataFrame([], "page_id long, bad int"), URL_RULES).collect()}
+    assert got[1].host == "a." * 3000 + "example.com" and len(got[1].path) == 100_004 and got[1].rule == "example.com/en/"
+    assert got[2].host == "b" * 50_000 and got[2].verdict == "allow"
