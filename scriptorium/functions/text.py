@@ -57,3 +57,8 @@ def utf8_or_latin1(content: Column) -> Column:
 def or_default(value: Column, default: str) -> Column:
     """The value, or the default where it is null or empty."""
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+
+
+def quote_plus(text: Column) -> Column:
+    """Text as part of a URL, spaces as plus signs."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -589,6 +589,20 @@ def upload_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.select("filename", F.lit(None).cast("string").alias("error")).unionByName(rejected)
 
 
+@query("SELECT doc_id, replace(url_encode(text), '%20', '+') AS quoted FROM documents")
+def url_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", text.quote_plus(F.col("text")).alias("quoted"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_ids, count(*) AS n_formed FROM documents")
+def upload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that uploads get: as many as there are, and all of the one form."""
+    rows = documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text")
+    ids = materialize(uploads.as_documents(rows).select("doc_id"), "upload-ids")
+    formed = F.col("doc_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_ids"), F.count_if(formed).alias("n_formed"))
+
+
 @query("SELECT TRUE AS ok, TRUE AS store, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS texts")
 def store_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a store of all documents can be read, and how many texts it holds."""

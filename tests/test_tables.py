@@ -233,3 +233,17 @@ def test_conflict_rules_in_a_database(spark):
     assert sorted(db.execute("SELECT * FROM documents").fetchall(), key=repr) == sorted((tuple(r) for r in folded.collect()), key=repr)
     db.execute(store.conflict_sql("staged", "documents", names, "doc_id"))
     assert sorted(db.execute("SELECT doc_id, user_id FROM staged").fetchall()) == [("a", "u3"), ("b", "u2"), ("c", "u4")]
+
+
+def test_a_database_round_trip(spark):
+    """Rows written to a database by JDBC and read again; the one that comes with Spark, in memory."""
+    from scriptorium.sources import store
+
+    url = "jdbc:derby:memory:round;create=true"
+    rows = spark.createDataFrame([("a", 1, START), ("b", None, None)], "doc_id string, n int, at timestamp").repartition(2)
+    store.write_database(rows, url, "kept")
+    store.write_database(rows.limit(1), url, "kept")
+    got = store.read_database(spark, url, "kept").toDF("doc_id", "n", "at")
+    assert got.count() == 3 and {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.collect()}
+    with pytest.raises(RuntimeError):
+        store.write_database(rows, "", "kept")

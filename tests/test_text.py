@@ -80,3 +80,11 @@ def test_payloads(spark):
     assert [bytes(got[i][0] or b"").startswith(payload.MARKER) for i in range(4)] == [False, False, True, False]
     odd = spark.createDataFrame([(b"gzip:no gzip",), (b"\xff\xfe",)], "b binary")
     assert [r[0] for r in odd.select(payload.text_of(F.col("b"))).collect()] == ["gzip:no gzip", ""]
+
+
+def test_quote_plus(spark):
+    from urllib.parse import quote_plus
+
+    texts = ["", "a b+c", "p@ss/w:rd?&=#%", "~*'()!_.-", "äß€𝄞\n\t", "".join(map(chr, range(32, 127)))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.quote_plus(F.col("t")).alias("q")).collect()
+    assert {r.t: r.q for r in got} == {t: quote_plus(t) for t in texts}
