@@ -293,13 +293,14 @@ class Document:
         m = OBJECT.match(self.data, re.compile(rb"[\0\t\n\f\r ]*").match(self.data, at).end())
         if m is None:
             raise ValueError("no object where the table says")
-        value, end = next(((v, e) for v, e in parse(self.data, m.end())), (None, m.end()))
-        for word, after in parse(self.data, m.end()):
-            if isinstance(word, Word):
-                if word == b"stream" and isinstance(value, dict):
+        value, found = None, False
+        for v, after in parse(self.data, m.end()):
+            if isinstance(v, Word):
+                if v == b"stream" and isinstance(value, dict):
                     return self._stream(value, after)
                 break
-            end = after
+            if not found:
+                value, found = v, True
         return value
 
     def _stream(self, told: dict, pos: int) -> Stream:
@@ -424,30 +425,34 @@ def _utf16(code: bytes) -> str:
     return code.decode("utf-16-be", "replace")
 
 
+SECTION = re.compile(rb"begin(codespacerange|bfchar|bfrange)(.*?)end\1", re.S)
+CODE = re.compile(rb"<([0-9A-Fa-f\s]*)>")
+
+
 def unicode_map(data: bytes) -> tuple[dict[bytes, str], set[int]]:
     """(texts by code, lengths of codes) of a map to Unicode."""
     texts: dict[bytes, str] = {}
     lengths: set[int] = set()
-    held: list = []
-    for value, _ in parse(data):
-        if not isinstance(value, Word):
-            held.append(value)
+    for kind, body in SECTION.findall(data):
+        if kind != b"bfrange":
+            codes = [_hex(b"<" + c + b">") for c in CODE.findall(body)]
+            if kind == b"codespacerange":
+                lengths |= {len(c) for c in codes}
+            else:
+                texts.update((c, _utf16(t)) for c, t in zip(codes[::2], codes[1::2], strict=False))
             continue
-        if value == b"endcodespacerange":
-            lengths |= {len(v) for v in held if isinstance(v, bytes)}
-        elif value == b"endbfchar":
-            texts.update((c, _utf16(t)) for c, t in zip(held[::2], held[1::2], strict=False) if isinstance(c, bytes) and isinstance(t, bytes))
-        elif value == b"endbfrange":
-            for low, high, to in zip(held[::3], held[1::3], held[2::3], strict=False):
-                first, last = int.from_bytes(low, "big"), int.from_bytes(high, "big")
-                for k in range(min(last - first, 0xFFFF) + 1):
-                    code = (first + k).to_bytes(len(low), "big")
-                    if isinstance(to, list):
-                        if k < len(to) and isinstance(to[k], bytes):
-                            texts[code] = _utf16(to[k])
-                    elif isinstance(to, bytes) and to:
-                        texts[code] = _utf16((int.from_bytes(to, "big") + k).to_bytes(len(to) + 1, "big")[1:])
-        held = []
+        held = [v for v, _ in parse(body)]
+        for low, high, to in zip(held[::3], held[1::3], held[2::3], strict=False):
+            if not isinstance(low, bytes) or not isinstance(high, bytes):
+                continue
+            first, last = int.from_bytes(low, "big"), int.from_bytes(high, "big")
+            for k in range(min(last - first, 0xFFFF) + 1):
+                code = (first + k).to_bytes(len(low), "big")
+                if isinstance(to, list):
+                    if k < len(to) and isinstance(to[k], bytes):
+                        texts[code] = _utf16(to[k])
+                elif isinstance(to, bytes) and to:
+                    texts[code] = _utf16((int.from_bytes(to, "big") + k).to_bytes(len(to) + 1, "big")[1:])
     return texts, {n for n in lengths if n}
 
 
@@ -576,7 +581,10 @@ class Interpreter:
                 if not isinstance(value, Word):
                     held.append(value)
                     continue
-                op, a, held = bytes(value), held, []
+                op, a, held = value, held, []
+                if op == b"Tj" and a and state["font"] and isinstance(a[-1], bytes):
+                    text = self._show(a[-1], state, text, matrix)
+                    continue
                 numbers = [float(v) for v in a if isinstance(v, (int, float))]
                 if op == b"BI":  # the data of an inline image is no operators
                     end = INLINE_END.search(content, pos)
