@@ -13,7 +13,6 @@ ranked each.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from math import log
 
@@ -41,21 +40,52 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def _block(ids: list, lengths: list[int], found: dict[str, tuple[list[int], list[int]]], part: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    names = ["part", "term", "n", "numbers", "times", "most", "least", "ids", "lengths"]
-    size = np.array(lengths)
-    ordered = sorted(found)
-    for at in range(0, len(ordered), 20_000):
-        some = ordered[at : at + 20_000]
-        lists = [found[t] for t in some]
-        borders = pa.array(np.cumsum([0, *(len(n) for n, _ in lists)]).astype(np.int32))
-        numbers = np.concatenate([n for n, _ in lists])
-        columns = [pa.array([part] * len(some)), pa.array(some), pa.array([len(n) for n, _ in lists], pa.int32()), pa.ListArray.from_arrays(borders, pa.array(numbers.astype(np.int16))),
-                   pa.ListArray.from_arrays(borders, pa.array(np.concatenate([t for _, t in lists]).astype(np.int32))), pa.array([max(t) for _, t in lists], pa.int32()),
-                   pa.array([int(size[n].min()) for n, _ in lists], pa.int32()), pa.nulls(len(some), pa.list_(kind)), pa.nulls(len(some), pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-    none = [pa.nulls(1, k) for k in (pa.list_(pa.int16()), pa.list_(pa.int32()), pa.int32(), pa.int32())]
-    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.nulls(1, pa.string()), pa.array([len(ids)], pa.int32()), *none, pa.array([ids], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int32()))], names=names)
+class _Block:
+    """Documents of a block, and their terms with how often each holds them."""
+
+    def __init__(self) -> None:
+        self.ids, self.lengths, self.numbers, self.times, self.terms = [], [], [], [], []
+        self.n = self.postings = 0
+
+    def add(self, ids: pa.Array, lengths: np.ndarray, numbers: np.ndarray, times: np.ndarray, terms: pa.Array) -> None:
+        """Documents, and postings whose numbers count from the first of these."""
+        self.ids.append(ids)
+        self.lengths.append(lengths)
+        self.numbers.append(numbers + self.n)
+        self.times.append(times)
+        self.terms.append(terms)
+        self.n, self.postings = self.n + len(ids), self.postings + len(numbers)
+
+    def rows(self, part: int) -> Iterator[pa.RecordBatch]:
+        names = ["part", "term", "n", "numbers", "times", "most", "least", "ids", "lengths"]
+        ids, lengths = pa.concat_arrays(self.ids), np.concatenate(self.lengths).astype(np.int32)
+        coded = pa.chunked_array(self.terms, pa.string()).combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        numbers, times = np.concatenate(self.numbers)[order], np.concatenate(self.times)[order].astype(np.int32)
+        starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        for at in range(0, len(coded.dictionary), 20_000):
+            some = starts[at : at + 20_001]
+            low, high, k = some[0], some[-1], len(some) - 1
+            borders = pa.array((some - low).astype(np.int32))
+            columns = [pa.array(np.full(k, part)), coded.dictionary.slice(at, k), pa.array(np.diff(some).astype(np.int32)), pa.ListArray.from_arrays(borders, pa.array(numbers[low:high].astype(np.int16))),
+                       pa.ListArray.from_arrays(borders, pa.array(times[low:high])), pa.array(np.maximum.reduceat(times[low:high], some[:-1] - low)),
+                       pa.array(np.minimum.reduceat(lengths[numbers[low:high]], some[:-1] - low)), pa.nulls(k, pa.list_(ids.type)), pa.nulls(k, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        none = [pa.nulls(1, k) for k in (pa.list_(pa.int16()), pa.list_(pa.int32()), pa.int32(), pa.int32())]
+        own = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, pa.array(lengths))]
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.nulls(1, pa.string()), pa.array([len(ids)], pa.int32()), *none, *own], names=names)
+
+
+def _counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(lengths, documents, times, terms): each term of each document of a batch once, documents in order."""
+    lists = batch.column("terms")
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    many = max(1, len(coded.dictionary))
+    keys = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) * many + coded.indices.to_numpy(zero_copy_only=False)
+    found, times = np.unique(keys, return_counts=True)
+    return lengths, found // many, times, coded.dictionary.take(pa.array(found % many))
 
 
 class RankIndex:
@@ -74,24 +104,22 @@ class RankIndex:
         kind = source.schema["doc_id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, held = base + (TaskContext.get().partitionId() << 24), 0
-            ids, lengths, found, arrow = [], [], {}, None
+            part, block = base + (TaskContext.get().partitionId() << 24), _Block()
             for batch in batches:
-                arrow = batch.column("doc_id").type
-                for doc_id, words in zip(batch.column("doc_id").to_pylist(), batch.column("terms"), strict=True):
-                    words = words.as_py()
-                    for term, n in Counter(words).items():
-                        numbers, times = found.setdefault(term, ([], []))
-                        numbers.append(len(ids))
-                        times.append(n)
-                        held += 1
-                    ids.append(doc_id)
-                    lengths.append(len(words))
-                    if len(ids) == BLOCK or held >= POSTINGS:
-                        yield from _block(ids, lengths, found, part, arrow)
-                        part, held, ids, lengths, found = part + 1, 0, [], [], {}
-            if ids:
-                yield from _block(ids, lengths, found, part, arrow)
+                lengths, documents, times, found = _counted(batch)
+                ends, at = np.searchsorted(documents, np.arange(batch.num_rows + 1)), 0
+                while at < batch.num_rows:
+                    # as many documents as the block has room for, at least one
+                    room = int(np.searchsorted(ends, ends[at] + max(0, POSTINGS - block.postings), "right")) - 1
+                    stop = min(batch.num_rows, at + BLOCK - block.n, max(at + 1, room))
+                    low, high = ends[at], ends[stop]
+                    block.add(batch.column("doc_id").slice(at, stop - at), lengths[at:stop], documents[low:high] - at, times[low:high], found.slice(low, high - low))
+                    if block.n == BLOCK or block.postings >= POSTINGS or stop < batch.num_rows:
+                        yield from block.rows(part)
+                        part, block = part + 1, _Block()
+                    at = stop
+            if block.n:
+                yield from block.rows(part)
 
         lists = source.mapInArrow(run, f"part long, term string, n int, numbers array<smallint>, times array<int>, most int, least int, ids array<{kind}>, lengths array<int>")
         dealt = lists.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", F.col("bucket"))
