@@ -47,6 +47,15 @@ def split_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return rows.select("doc_id", "chunk_index", start.alias("start_offset"), (start + F.octet_length(payload)).alias("end_offset"), payload.alias("payload"))
 
 
+def chunk_spans(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, chunk_index, start_offset, end_offset) of the same slices, from the sizes of the texts alone."""
+    size = F.octet_length("text")
+    rows = docs.where(size > 0).select("doc_id", size.cast("long").alias("size"))
+    rows = rows.select("doc_id", "size", F.explode(F.sequence(F.lit(0), chunk_count(F.col("size"), chunk_bytes).cast("int") - 1)).alias("chunk_index"))
+    start = F.col("chunk_index").cast("long") * chunk_bytes
+    return rows.select("doc_id", "chunk_index", start.alias("start_offset"), F.least(start + chunk_bytes, F.col("size")).alias("end_offset"))
+
+
 def chunk_rows(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, single: int = MAX_SINGLE, preview: int = PREVIEW_BYTES) -> DataFrame:
     """Metadata of the stored chunks: one row for a text that is stored whole, else one for each chunk."""
     size = F.octet_length("text")

@@ -509,7 +509,7 @@ def hits_to_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of 512 bytes in which each hit's line lies."""
     docs = documents(spark, sf_dir)
     hits = intervals.located_hits(docs, "the and")
-    pieces = chunks.split_chunks(docs, 512).select("doc_id", "chunk_index", "start_offset", "end_offset")
+    pieces = chunks.chunk_spans(docs, 512)
     return intervals.chunks_of_hits(hits, pieces, 512).select("doc_id", "hit_no", "line_start", "line_end", "chunk_index")
 
 
