@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,8 @@ BLOCK = 1 << 16
 #: Ids that a reader unpacks at once, and ids of a split; a longer document is read alone.
 RUN = 1 << 20
 SPLIT = 1 << 23
+#: Bytes of texts that are tokenized at once; a longer text is tokenized alone.
+TEXT_BYTES = 1 << 22
 COLUMNS = ("doc_id", "start", "n_tokens", "ids", "ids_crc32")
 
 
@@ -337,7 +340,7 @@ PRE_TOKENIZERS = [
 #: Signs that no normalizer joins or changes but to lower case, and where the pattern cuts words of them.
 PLAIN = "!-~À-ÖØ-öø-ÿ"
 CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Words, and cuts of words, that a worker remembers before it forgets them.
+#: Words, and cuts of words, that make a generation of what a worker remembers; it holds two at most.
 REMEMBERED = 300_000
 
 
@@ -352,43 +355,57 @@ def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Cuts(dict):
+class _Recent(dict):
+    """What is remembered of the last keys asked for: a full generation is kept until the next is full, and what is asked for again moves up."""
+
+    def __init__(self) -> None:
+        self.before: dict = {}
+
+    def made(self, key: str | bytes) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.made(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class _Cuts(_Recent):
     """Ids of the cuts of words, by the model of the library alone."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
         self.tokenize, self.signs = tokenizer.model.tokenize, _visible()
 
-    def __missing__(self, cut: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def made(self, cut: str) -> bytes:
         signs = cut if cut.isascii() else cut.encode().decode("latin-1").translate(self.signs)
-        ids = self[cut] = _bytes([t.id for t in self.tokenize(signs)])
-        return ids
+        return _bytes([t.id for t in self.tokenize(signs)])
 
 
-class _Words(dict):
+class _Words(_Recent):
     """Ids of words without white space."""
 
     def __init__(self, tokenizer: Tokenizer, special: list[str]) -> None:
+        super().__init__()
         self.whole, self.cuts = tokenizer.encode, _Cuts(tokenizer)
         # a sign that special tokens begin with is left to the library
         self.plain = re.compile(f"(?:(?![{re.escape(''.join({t[0] for t in special}))}])[{PLAIN}])+" if special else f"[{PLAIN}]+")
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def made(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters alone
-            ids = self.cuts[word.lower().decode()]
-        elif self.plain.fullmatch(text := word.decode("utf-8", "replace")):
-            ids = b"".join(map(self.cuts.__getitem__, CUT.findall(text.lower())))
-        else:
-            ids = _bytes(self.whole(text, add_special_tokens=False).ids)
-        if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+            return self.cuts[word.lower().decode()]
+        if self.plain.fullmatch(text := word.decode("utf-8", "replace")):
+            return b"".join(map(self.cuts.__getitem__, CUT.findall(text.lower())))
+        return _bytes(self.whole(text, add_special_tokens=False).ids) if word else b""
 
 
-#: Bytes of the longest word that is remembered.
+#: Length of the longest word or cut that is remembered.
 LONGEST = 256
 
 
@@ -422,6 +439,23 @@ class Encoder:
             return _bytes(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         return b"".join(map(self.words.__getitem__, text.split()))  # at the six ASCII spaces
 
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of many texts, where a word that repeats in them is looked up once; null texts have none."""
+        if not self.by_word:
+            found = [self(t or b"") for t in texts.cast(pa.large_binary()).to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))  # the same six; a text that begins or ends with them has an empty word there
+        coded = lists.flatten().dictionary_encode()
+        rows = list(map(self.words.__getitem__, coded.dictionary.cast(pa.large_binary()).to_pylist()))
+        ids, sizes = np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[at]
+        ends = np.cumsum(each)
+        # a word's ids lie together among those of the distinct words
+        shift = (np.cumsum(sizes) - sizes)[at] - ends + each
+        borders = np.r_[0, ends][np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]]
+        return ids[np.repeat(shift, each) + np.arange(ends[-1] if len(ends) else 0)], np.diff(borders)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -431,16 +465,14 @@ def encoder(path: str) -> Encoder:
 
 def _encoded(batch: pa.RecordBatch, encode: Encoder, end_token: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, ids, numbers of ids) of the texts of a batch, some at a time."""
-    end, texts, at = _bytes([end_token]), batch.column("text"), 0
+    texts = batch.column("text")
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
     while at < batch.num_rows:
-        ids: list[bytes] = []
-        size = 0
-        while at + len(ids) < batch.num_rows and size < RUN:
-            text = texts.slice(at + len(ids), 1).cast(pa.large_binary())[0].as_py() or b""
-            ids.append(encode(text) + end)
-            size += len(ids[-1])
-        yield batch.column("doc_id").slice(at, len(ids)), np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
-        at += len(ids)
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        ids, sizes = encode.texts(texts.slice(at, stop - at))
+        yield batch.column("doc_id").slice(at, stop - at), np.insert(ids, np.cumsum(sizes), end_token), sizes + 1
+        at = stop
 
 
 def register(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -88,6 +89,36 @@ def test_what_is_remembered_is_bounded(own, monkeypatch):
     assert len(e.words) <= 3 and len(e.words.cuts) <= 3
 
 
+def test_what_is_asked_for_again_is_remembered(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 8)
+    e, asked = token_files.Encoder(WORD), []
+    tokenize = e.words.cuts.tokenize
+    e.words.cuts.tokenize = lambda cut: asked.append(cut) or tokenize(cut)
+    letters = "abcdefghij"
+    for a in letters:
+        for b in letters:
+            e(f"river {a}{b}x".encode())
+    assert asked.count("river") == 1 and len(asked) == 101
+
+
+def test_texts_of_a_batch_together(own, monkeypatch):
+    texts = ["the river the", None, "", " \n\t", "\x0bthe  river\r\n ", "don't Ab9 é ́x <|endoftext|> \x1cd", "the " * 3000, "x"]
+    want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    e, asked = token_files.Encoder(WORD), []
+    get = e.words.made
+    e.words.made = lambda word: asked.append(word) or get(word)
+    for kind in (pa.string(), pa.large_string()):
+        for part in (slice(0, 8), slice(1, 4), slice(4, 8), slice(0, 0)):
+            ids, sizes = e.texts(pa.array(texts, kind)[part.start : part.stop])
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == want[part]
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 20)
+    batch = pa.record_batch({"doc_id": pa.array(range(8)), "text": pa.array(texts)})
+    found = list(token_files._encoded(batch, e, 2))
+    assert len(found) > 3 and [k for d, _, _ in found for k in d.to_pylist()] == list(range(8))
+    assert [i for _, ids, _ in found for i in ids.tolist()] == [i for w in want for i in [*w, 2]] and [n for _, _, n in found for n in n.tolist()] == [len(w) + 1 for w in want]
+
+
 def test_other_tokenizer_files_run_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     e = token_files.Encoder(path)
