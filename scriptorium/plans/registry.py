@@ -555,19 +555,20 @@ _STREAM_TTL, _PARTS = 21_600, 3
     """
 )
 def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of puts in three parts, of which the last comes after the query has been stopped: puts, renewals and expiries."""
+    """Events as a stream of puts in three parts, of which the others come after the query has been stopped: puts, renewals and expiries."""
     folder = new_folder(spark, "stream")
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("stored_at"))
     low, high = events.agg(F.min("stored_at"), F.max("stored_at")).first()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", expiry.STATE_STORE)
 
     def run() -> DataFrame:
-        puts = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        puts = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
         return expiry.run_to_end(expiry.lifetimes(puts, _STREAM_TTL), f"{folder}/out", f"{folder}/mark")
 
     part = F.least(F.lit(_PARTS - 1), F.floor((F.unix_micros("stored_at") - F.unix_micros(F.lit(low))) * _PARTS / F.greatest(F.lit(1), F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)))))
     for k in range(_PARTS):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        # as many files as tasks write; what a run finds is one batch, so that no file of a part is late
+        events.where(part == k).write.mode("append").parquet(f"{folder}/in")
         if k != _PARTS - 2:
             found = run()
     return found.select("doc_id", F.unix_micros("at").alias("at_us"), "what")

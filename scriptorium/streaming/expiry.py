@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: The state store that timers need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PUT, RENEWED, EXPIRED = "put", "renewed", "expired"
+HAPPENED = Row("doc_id", "at_us", "what")
 
 
 class Expiry(StatefulProcessor):
@@ -34,12 +34,8 @@ class Expiry(StatefulProcessor):
         """The first whole millisecond at which a text that was put at that moment lives no longer."""
         return (at + self.ttl) // 1000 + 1
 
-    def _rows(self, key: tuple, found: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
-        if found:
-            yield pd.DataFrame({"doc_id": [key[0]] * len(found), "at_us": [a for a, _ in found], "what": [w for _, w in found]})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        puts = sorted(int(t) for batch in rows for t in batch["stored_us"])
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        puts = sorted(r[1] for r in rows)
         before = self.stored.get()[0] if self.stored.exists() else None
         last, found = before, []
         for at in puts:
@@ -56,13 +52,13 @@ class Expiry(StatefulProcessor):
                 self.handle.deleteTimer(self._timer(before))
             self.stored.update((last,))
             self.handle.registerTimer(self._timer(last))
-        yield from self._rows(key, found)
+        return (HAPPENED(key[0], at, what) for at, what in found)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         last = self.stored.get()[0] if self.stored.exists() else None
         if last is not None and self._timer(last) <= expiredTimerInfo.getExpiryTimeInMs():
             self.stored.clear()
-            yield from self._rows(key, [(last + self.ttl, EXPIRED)])
+            yield HAPPENED(key[0], last + self.ttl, EXPIRED)
 
     def close(self) -> None:
         pass
@@ -76,7 +72,7 @@ def lifetimes(puts: DataFrame, ttl: int, late: str = "10 minutes") -> DataFrame:
     marked = puts.where("doc_id is not null and stored_at is not null").withWatermark("stored_at", late)
     rows = marked.select("doc_id", F.unix_micros("stored_at").alias("stored_us"), "stored_at")
     kind = puts.schema["doc_id"].dataType.simpleString()
-    out = rows.groupBy("doc_id").transformWithStateInPandas(Expiry(ttl * 1_000_000), f"doc_id {kind}, at_us long, what string", "Append", "EventTime")
+    out = rows.groupBy("doc_id").transformWithState(Expiry(ttl * 1_000_000), f"doc_id {kind}, at_us long, what string", "Append", "EventTime")
     return out.select("doc_id", F.timestamp_micros("at_us").alias("at"), "what")
 
 

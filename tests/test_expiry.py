@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.plans import registry
 from scriptorium.streaming import expiry
 
 TTL = 100
@@ -89,3 +90,16 @@ def test_sessions_of_a_batch_and_of_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     closed = read(expiry.run_to_end(expiry.sessions(stream, "k", "ts"), str(tmp_path / "out"), str(tmp_path / "mark")))
     assert closed == sorted(w for w in want if w[2] <= 90_000 - 600)
+
+
+def test_parts_of_the_query_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).selectExpr("id % 40 as user_id", "timestamp_seconds(1704067200 + id * 60) as ts")
+    rows.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(registry, "new_folder", lambda *_: str(tmp_path / "stream"))
+    try:
+        found = registry.stream_expiry(spark, str(tmp_path))
+        assert len(list((tmp_path / "stream" / "in").glob("part-*.parquet"))) >= 6
+        assert found.where("what <> 'expired'").count() == 6000
+        assert {(r.doc_id, r.at_us, r.what) for r in found.collect() if r.doc_id == 7} >= {(7, 1704067200000000 + 7 * 60_000_000, "put"), (7, 1704067200000000 + 47 * 60_000_000, "renewed")}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
