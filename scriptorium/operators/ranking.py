@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.scratch import broadcast_if_few, new_folder
+from scriptorium.scratch import broadcast_if_few, new_folder, text_batches
 
 TERM = r"[\p{L}\p{N}]+"
 #: The usual parameters of the ranking.
@@ -123,7 +123,8 @@ class RankIndex:
 
         lists = source.mapInArrow(run, f"part long, term string, n int, numbers array<smallint>, times array<int>, most int, least int, ids array<{kind}>, lengths array<int>")
         dealt = lists.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", F.col("bucket"))
-        dealt.sortWithinPartitions("bucket", "term", "part").write.mode("append").partitionBy("bucket").parquet(self.path)
+        with text_batches(self.spark):
+            dealt.sortWithinPartitions("bucket", "term", "part").write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def search(self, question: str, top: int) -> DataFrame:
         """(rank, doc_id, score) of the best documents for a question."""

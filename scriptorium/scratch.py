@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,25 @@ def new_folder(spark: SparkSession, label: str = "lake") -> str:
     return f"{(shared or tempfile.gettempdir()).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of texts that go to a Python worker at once.
+TEXTS = 1000
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written from texts that pass through Python, few of them do so at once, whatever the session says of other rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= TEXTS:
+        yield
+        return
+    spark.conf.set(name, TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder, written once: no lost executor costs what lies before it."""
     path = new_folder(df.sparkSession, label)

@@ -1,5 +1,7 @@
 """Ranking by relevance, by brute force."""
 
+from contextlib import contextmanager
+
 import random
 import re
 from collections import Counter
@@ -7,6 +9,7 @@ from math import log
 
 import pytest
 
+from scriptorium import scratch
 from scriptorium.operators import ranking
 from scriptorium.scratch import new_folder
 
@@ -63,3 +66,18 @@ def test_blocks_below_the_worst_score_are_not_read(spark, monkeypatch):
     monkeypatch.setattr(ranking, "broadcast_if_few", lambda df: read.append(df.count()) or join(df))
     assert sorted(r.doc_id for r in index.search("x", 10).collect()) == list(range(10))
     assert read == [1, 0]
+
+
+def test_few_texts_pass_through_python_at_once(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    @contextmanager
+    def noted(session):
+        with scratch.text_batches(session):
+            seen.append(session.conf.get(name))
+            yield
+
+    monkeypatch.setattr(ranking, "text_batches", noted)
+    before = spark.conf.get(name)
+    ranking.indexed(spark.createDataFrame([(1, "a river")], "doc_id long, text string"), 1)
+    assert seen == ["1000"] and spark.conf.get(name) == before
