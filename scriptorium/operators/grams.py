@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import search
-from scriptorium.scratch import broadcast_if_few, materialize, new_folder
+from scriptorium.scratch import broadcast_if_few, materialize, new_folder, text_batches
 
 WIDTH = 3
 SEGMENT = 4096
 #: Postings after which a segment ends, also if it has fewer documents.
-POSTINGS = 4_000_000
+POSTINGS = 2_000_000
 BUCKETS = 64
 #: The bucket of the rows that say which documents a segment's numbers are.
 NUMBERS = -1
@@ -103,7 +103,8 @@ class GramIndex:
 
         lists = source.mapInArrow(run, f"bucket int, part long, gram long, n int, numbers array<smallint>, ids array<{kind}>")
         # lists of one bucket may be split over several files, so that a common gram is nobody's burden
-        lists.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram", "part").write.mode("append").partitionBy("bucket").parquet(self.path)
+        with text_batches(self.spark):
+            lists.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram", "part").write.mode("append").partitionBy("bucket").parquet(self.path)
 
     def _lists(self, grams: list[int]) -> DataFrame:
         there = sorted(set(bucket_of(np.array(grams, np.int64), self.buckets).tolist()))

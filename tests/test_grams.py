@@ -1,12 +1,14 @@
 """The substring index and questions to all documents, against plain scans."""
 
 import random
+from contextlib import contextmanager
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scriptorium import scratch
 from scriptorium.operators import everywhere, grams, search
 from scriptorium.scratch import new_folder
 
@@ -92,3 +94,18 @@ def test_no_questions_and_no_documents(spark, docs):
     assert everywhere.ask_everywhere(asked, docs.limit(0)).collect() == []
     twice = docs.where("doc_id = 7").select("doc_id", F.lit("abc").alias("text"))
     assert [r.hit_no for r in everywhere.ask_everywhere(asked, twice).collect()] == [1]  # rows that share id and text are one
+
+
+def test_few_texts_pass_through_python_at_once(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    @contextmanager
+    def noted(session):
+        with scratch.text_batches(session):
+            seen.append(session.conf.get(name))
+            yield
+
+    monkeypatch.setattr(grams, "text_batches", noted)
+    before = spark.conf.get(name)
+    grams.indexed(spark.createDataFrame([(1, "a river")], "doc_id long, text string"), 1)
+    assert seen == ["1000"] and spark.conf.get(name) == before
