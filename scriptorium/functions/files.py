@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scriptorium.functions.text import strip
 
@@ -29,18 +28,32 @@ def is_allowed(filename: Column) -> Column:
     return extension(filename).isin(*ALLOWED)
 
 
-def _decomposed(names: pd.Series) -> pd.Series:
-    return names.map(lambda name: unicodedata.normalize("NFKD", name), na_action="ignore")
+@cache
+def _ascii_parts() -> dict[str, str]:
+    """What is ASCII in the compatibility decomposition (NFKD) of each other sign, where anything is; signs come apart one by one."""
+    apart = (chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(c)))
+    parts = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in apart}
+    return {c: p for c, p in parts.items() if p}
 
 
-def secure_filename(filename: Column) -> Column:
-    """An ASCII name without folders: letters lose their marks, ligatures come apart, white space becomes one underscore, other signs go.
+def _ascii(name: Column) -> Column:
+    """The name with its signs decomposed, and without what is not ASCII."""
+    single = {c: p for c, p in _ascii_parts().items() if len(p) == 1}
+    longer = sorted(((p, c) for c, p in _ascii_parts().items() if len(p) > 1), key=lambda x: -len(x[0]))
+    signs, rest = "".join(c for _, c in longer), "".join(map(chr, range(128)))
+
+    def part(c: Column, k: int) -> Column:
+        # signs without a counterpart are dropped, so that only the first part holds what is ASCII already
+        return F.translate(c, signs + rest if k else signs, "".join(p[k] for p, _ in longer if len(p) > k))
+
+    lone = F.translate(name, "".join(single), "".join(single.values()))
+    by_sign = F.transform(F.split(lone, ""), lambda c: F.concat(*(part(c, k) for k in range(len(longer[0][0])))))
+    return F.regexp_replace(F.when(lone.rlike(f"[{signs}]"), F.array_join(by_sign, "")).otherwise(lone), r"[^\x00-\x7F]", "")
 
-    Only names that are not ASCII go through Python.
-    """
-    other = filename.rlike(r"[^\x00-\x7F]")
-    decomposed = F.pandas_udf(_decomposed, T.StringType())(F.when(other, filename))
-    plain = F.when(other, F.regexp_replace(decomposed, r"[^\x00-\x7F]", "")).otherwise(filename)
+
+def secure_filename(filename: Column) -> Column:
+    """An ASCII name without folders: letters lose their marks, ligatures come apart, white space becomes one underscore, other signs go."""
+    plain = F.when(filename.rlike(r"[^\x00-\x7F]"), _ascii(filename)).otherwise(filename)
     flat = F.regexp_replace(F.regexp_replace(F.translate(plain, "/\\", "  "), r"[\t-\r\x1C-\x20]+", " "), r"^ | $", "")
     return F.regexp_replace(F.regexp_replace(F.translate(flat, " ", "_"), r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
 

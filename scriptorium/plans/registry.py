@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.engine import Engine
 from scriptorium.functions import files, payload, text
 from scriptorium.operators import catalog, chunks, everywhere, grams, intervals, ranking, retention, search, vectors
-from scriptorium.scratch import materialize, new_folder
+from scriptorium.scratch import materialize, new_folder, text_batches
 from scriptorium.sources import uploads
 from scriptorium.sources.extract import docx_of, pdf_files, pdf_page_rows
 from scriptorium.sources.store import TextStore, tables
@@ -648,7 +648,8 @@ _PDF_LINES = """(SELECT doc_id, string_agg(trim(line), chr(10) ORDER BY k) AS te
 
 
 def _as_pdf(docs: DataFrame) -> DataFrame:
-    return materialize(pdf_files(docs.where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "text")), "pdfs")
+    with text_batches(docs.sparkSession):
+        return materialize(pdf_files(docs.where("text is not null").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), "text")), "pdfs")
 
 
 @query(

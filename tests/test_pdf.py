@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scriptorium.sources import extract, pdf
+from scriptorium.plans import registry
+from scriptorium.sources import extract, pdf, uploads
 
 
 def built(objects, root=1, trailer="", head=b"%PDF-1.4\n"):
@@ -198,3 +199,20 @@ def test_files_as_rows(spark):
     assert read["b.pdf"].text == "\n\f" and read["c.pdf"].text.startswith("[PDF extract error] ") and read["c.pdf"].total_pages is None
     pages = sorted((tuple(r) for r in extract.pdf_page_rows(files.unionByName(bad)).collect()), key=repr)
     assert pages == [("a.pdf", 1, "x\ny"), ("a.pdf", 2, "z"), ("b.pdf", 1, ""), ("c.pdf", None, None)]
+
+
+def test_a_task_that_reads_files_has_one_python_worker(spark):
+    """One step of the plan runs Python: with names judged in others, each task had three workers at once."""
+    files = spark.createDataFrame([("a.pdf", bytearray(pdf.written("one")))], "filename string, content binary")
+    plan = uploads.accept(files)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_few_texts_are_written_as_files_at_once(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    write = registry.materialize
+    monkeypatch.setattr(registry, "materialize", lambda df, label: seen.append(spark.conf.get(name)) or write(df, label))
+    before = spark.conf.get(name)
+    made = registry._as_pdf(spark.createDataFrame([(1, "one\ntwo"), (2, None)], "doc_id long, text string"))
+    assert [(r.filename, pdf.page_texts(bytes(r.content))) for r in made.collect()] == [("1.pdf", ["one\ntwo"])]
+    assert seen == ["1000"] and spark.conf.get(name) == before

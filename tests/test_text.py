@@ -1,6 +1,7 @@
 """String rules against Python's own strings."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,19 @@ def test_secure_filename(spark):
     assert column(spark, ["../../etc/passwd", "My cool movie.mov", "Ünï côde.txt", "..", "a/b\\c.md", "Čapek żółw.txt", "ﬁle.txt", None], files.secure_filename) == ["etc_passwd", "My_cool_movie.mov", "Uni_code.txt", "", "a_b_c.md", "Capek_zow.txt", "file.txt", None]
 
 
+def test_secure_filename_takes_signs_apart_as_python_does(spark):
+    """Each sign that leaves something of ASCII, and mixed names."""
+    signs = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.normalize("NFKD", c) != c]
+    rng = random.Random(5)
+    names = [f"{c}x" for c in signs] + ["".join(rng.choice([rng.choice(signs), "a", "Z", " ", "é", "中", "\u0301", "\U0001f600"]) for _ in range(rng.randrange(1, 10))) + rng.choice([".pdf", "\uff0e\uff50\uff44\uff46"]) for _ in range(2000)]
+    assert column(spark, names, files.secure_filename) == column(spark, [unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names], files.secure_filename)
+
+
+def test_names_do_not_go_through_python(spark):
+    plan = spark.createDataFrame([("ü.txt",)], "v string").select(files.secure_filename(F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def test_byte_preview(spark):
     payload = F.encode(F.lit("é" * 200), "UTF-8")
     cut, whole = spark.range(1).select(text.byte_preview(payload, 255), text.byte_preview(payload, 256)).first()
